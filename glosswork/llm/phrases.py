@@ -10,7 +10,7 @@ found in at least two documents. Every occurrence in every document is located:
 3. Runs of consecutive recurring windows in the documents where they live are the passages. They are sharded by that
    document, and each shard becomes an Aho-Corasick automaton (pyahocorasick over word numbers) of SEED-word seeds at
    every STRIDE words: any window of MIN_WORDS words holds a whole seed.
-4. All documents that hold a recurring key are streamed through the automata of the shards where their keys live; a
+4. All documents that hold a recurring window are streamed through the automata of the shards where their windows live; a
    hit is extended to both sides word by word and counts from MIN_WORDS words on.
 
 Nothing is sampled. Documents go to the shards that they need and to no other, so work grows with the text and not
@@ -24,6 +24,8 @@ Columns of other names aren't read.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -67,12 +69,12 @@ def _slide_min(a: np.ndarray, w: int) -> np.ndarray:
 def keys(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, document, first window, number of windows, window hashes of all in a row) of the winnowed windows."""
     empty = np.zeros(0, np.uint64)
-    lists = [[words[w] for w in t.lower().split()] if t else [] for t in texts]
+    lists = [list(map(words.__getitem__, t.lower().split())) if t else [] for t in texts]
     sizes = np.array([len(x) for x in lists], np.int64)
     n = int(sizes.sum())
     if n < MIN_WORDS:
         return empty, empty.astype(np.int64), empty.astype(np.int64), empty.astype(np.int64), empty
-    flat = np.fromiter((h for x in lists for h in x), np.uint64, n)
+    flat = np.fromiter(chain.from_iterable(lists), np.uint64, n)
     owner = np.repeat(np.arange(len(lists)), sizes)
     first = np.cumsum(sizes) - sizes
     up, down = _powers(n)
@@ -138,7 +140,7 @@ def _passages(tables):
         for start, texts in batches(table, "t"):
             for i, t in enumerate(texts):
                 at = np.sort(np.asarray(places[start + i].values))
-                flat = np.array([words[w] for w in t.lower().split()], np.uint64)
+                flat = np.array(list(map(words.__getitem__, t.lower().split())), np.uint64)
                 for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                     out.append((start + i, int(run[0]), flat[run[0] : run[-1] + MIN_WORDS].view(np.int64)))
         take = pa.array([x[0] for x in out], pa.int64())
@@ -210,7 +212,7 @@ def _stream(tables):
             if t is None:
                 shard.add(ids[i].as_py(), firsts[i].as_py(), np.asarray(lists[i].values).view(np.uint64))
             else:
-                for hit in shard.find(np.array([words[w] for w in t.lower().split()], np.uint64)):
+                for hit in shard.find(np.array(list(map(words.__getitem__, t.lower().split())), np.uint64)):
                     who.append(i)
                     found.append(hit)
         take = pa.array(who, pa.int64())
@@ -231,11 +233,13 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keyed = cut(window_rows(rows, kind, None).join(known.hint("merge"), "h", "left_semi"))
     each = keyed.select("h", "id", "k", "first", F.posexplode("ws").alias("p", "w"))
     confirmed = each.groupBy("h", "w").agg(F.min(F.struct("id", "k", (F.col("first") + F.col("p")).alias("at"))).alias("home"), F.max("id").alias("last")).where("home.id < last")
-    confirmed = cut(confirmed.select("h", "home.id", "home.k", "home.at"))
+    confirmed = cut(confirmed.select("h", "w", "home.id", "home.k", "home.at"))
     n_shards = max(1, -(-confirmed.count() // shard_words))
     shard = F.pmod(F.xxhash64("id", "k"), F.lit(n_shards)).cast("int")
     homes = cut(confirmed.groupBy("id", "k").agg(F.collect_list("at").alias("places")).withColumn("shard", shard))
-    routes = keyed.select("h", F.col("id").alias("d"), F.col("k").alias("dk")).join(confirmed.select("h", shard.alias("shard")).distinct(), "h").select("d", "dk", "shard").distinct()
+    # a key may recur in many contexts: only the windows themselves say where a document must go
+    here = each.select("h", "w", F.col("id").alias("d"), F.col("k").alias("dk"))
+    routes = here.join(confirmed.select("h", "w", shard.alias("shard")), ["h", "w"]).select("d", "dk", "shard").distinct()
     routes = cut(routes)
     n_routes = routes.count()
     salts = max(1, -(-n_routes // (n_shards * task_docs)))
