@@ -2,10 +2,586 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timezone
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scores, text
+from ..operators import bootstrap, graph, search, signals, stats, tagging, tuning
+from ..sources import corpus as sources
+from ..sources.corpus import table
+from ..streaming import store
+
+STOPS = ("the", "and", "of", "der", "die", "und", "le", "la", "des", "el", "los", "que")
+SYNONYMS = {"is": "be", "was": "be", "are": "be", "ist": "sein", "est": "etre", "es": "ser"}
+TAXONOMY = {"sectors": {"english": ["the", "of", "that"], "german": ["der", "und", "nicht"]}, "events": {"french": ["le", "dans", "pour"], "english": ["with"]}, "regions": {"spanish": ["el", "los", "para"], "stale": ["dinosaur", "sushi"]}, "entities": {"ending": {"tion": ["tion"], "ung": ["ung ", "heit"]}, "mark": {"mail": ["@"], "licence": ["license", "copyright"]}}}
+PHRASES = [("of the", ["of the"]), ("in the", ["in the"]), ("de la", ["de la", "de las"]), ("that is", ["that is", "that was"])]
+FACTS = [("is_a", "gpt", "transformer"), ("is_a", "transformer", "neural-network"), ("is_a", "neural-network", "model"), ("used_for", "gpt", "text"), ("used_for", "text", "search"), ("related_to", "model", "data"), ("related_to", "data", "corpus"), ("related_to", "corpus", "data"), ("related_to", "corpus", "text"), ("related_to", "that", "with"), ("related_to", "with", "for")]
+NOW = datetime(2024, 6, 1, tzinfo=timezone.utc)
+#: Vocabulary for pair statistics, as shares of the documents: rarer tokens have no reliable pairs, commoner ones are hubs.
+PAIR = {"least": 0.005, "most": 0.1, "floor": 5}
+#: Vocabulary from which stop words are found.
+COMMON = 0.02
+STOP = tuning.StopThresholds(df_percent=15.0, pmi_max=0.6, entropy=-1.0, bootstrap_df_percent=15.0)
+MODES = ("view", "click", "purchase")
+
+
+def _docs(spark: SparkSession, sf: str, stops=()) -> DataFrame:
+    d = sources.as_docs(table(spark, sf, "documents"))
+    return d.withColumn("tokens", text.tokens(F.col("text"), stops))
+
+
+def _stats(spark: SparkSession, sf: str, stops=()) -> tuple[DataFrame, int, DataFrame, DataFrame]:
+    """corpus, documents, members, frequencies."""
+    d = _docs(spark, sf, stops)
+    occ = stats.members(d)
+    return d, d.count(), occ, stats.frequencies(occ)
+
+
+def _banded(spark, sf, normal=True):
+    d, n, occ, df = _stats(spark, sf)
+    return d, n, stats.scored(stats.pairs(occ, stats.band(df, n, **PAIR)), n, normal)
+
+
+def _common(spark, sf):
+    d, n, occ, df = _stats(spark, sf)
+    df = stats.cut(df)
+    found = stats.cut(stats.scored(stats.pairs(occ, stats.band(df, n, COMMON)), n))
+    factors = stats.cut(stats.damping_factors(found, stats.band(df, n, COMMON), stats.band(df, n, COMMON).count()))
+    return d, n, df, found, factors
+
+
+def _r(name: str):
+    return F.round(name, 6).alias(name)
+
+
+def tokenize_clean(spark, sf):
+    return _docs(spark, sf, STOPS).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+def lexicon_tokens(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text"), STOPS, SYNONYMS).alias("tokens"))
+    return d.select("doc_id", F.explode("tokens").alias("token")).where(F.col("token").isin(*set(SYNONYMS.values()))).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def clean_text_urls(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.squeezed(text.without_links(F.col("html"))).alias("clean"))
+
+
+def strip_html(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.stripped_html(F.col("html")).alias("stripped"))
+
+
+def categorize_pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.array_join(text.labelled(F.concat_ws(" ", "url", "html"), sources.TOPICS, "tech"), ",").alias("topics"))
+
+
+def category_codes(spark, sf):
+    return table(spark, sf, "events").select(text.coded(F.concat("event_type", F.lit("."), F.col("user_id").cast("string")), {"view": "look", "purchase.1": "first-buyers"}).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def story_titles(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.shortened(text.story_title(F.col("text")), 80).alias("title"))
+
+
+def doc_validity(spark, sf):
+    d = sources.as_docs(table(spark, sf, "documents")).withColumn("title", text.story_title(F.col("text")))
+    return d.groupBy("outlet").agg(F.count_if(sources.valid()).alias("valid"), F.count(F.lit(1)).alias("n"))
+
+
+def doc_frequency(spark, sf):
+    _, n, _, df = _stats(spark, sf)
+    return stats.frequency_stats(df, n).select("token", "df", _r("df_percent"), _r("idf"))
+
+
+def high_df_tokens(spark, sf):
+    _, n, _, df = _stats(spark, sf)
+    return stats.frequency_stats(df, n).select("token", "df", _r("df_percent")).orderBy(F.desc("df"), "token").limit(20)
+
+
+def bigram_counts(spark, sf):
+    return stats.bigrams(_docs(spark, sf)).where("n >= 2")
+
+
+def skipgram_counts(spark, sf):
+    return stats.skipgrams(_docs(spark, sf)).where("n >= 5")
+
+
+def doc_pair_counts(spark, sf):
+    return _banded(spark, sf)[2].where("n >= 5").select("t1", "t2", "n")
+
+
+def pmi_pairs(spark, sf):
+    return _banded(spark, sf, False)[2].where("n >= 5").select("t1", "t2", "n", _r("score"))
+
+
+def npmi_pairs(spark, sf):
+    return _banded(spark, sf)[2].where("n >= 5").select("t1", "t2", "n", _r("score"))
+
+
+def basket_npmi(spark, sf):
+    d = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("tokens"))
+    occ, n = stats.members(d), d.count()
+    return stats.scored(stats.pairs(occ, stats.frequencies(occ)), n).select("t1", "t2", "n", _r("score"))
+
+
+def event_pair_npmi(spark, sf):
+    d = table(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.collect_set("event_type").alias("tokens"))
+    occ, n = stats.members(d), d.count()
+    return stats.scored(stats.pairs(occ, stats.frequencies(occ)), n).select("t1", "t2", "n", _r("score"))
+
+
+def top_neighbors(spark, sf):
+    return stats.neighbors(_banded(spark, sf)[2]).select("token", "neighbor", "n", _r("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def phrase_pairs(spark, sf):
+    d, _, _, found, factors = _common(spark, sf)
+    out = stats.phrase_pairs(stats.bigrams(d), stats.damped(found, factors), 0.01, 200)
+    return out.select("a", "b", _r("score"), "bigrams", "support", _r("phrase_score"))
+
+
+def linked_tokens(spark, sf):
+    d, n, _, df = _stats(spark, sf)
+    return stats.linked_tokens(stats.skipgrams(d), df, n, 5).where("score > 0.1").select("a", "b", "n", _r("score"))
+
+
+def token_categories(spark, sf):
+    return stats.token_categories(_docs(spark, sf), F.col("source_cats"))
+
+
+def token_category_entropy(spark, sf):
+    return stats.entropies(stats.token_categories(_docs(spark, sf), F.array("outlet"))).select("token", (F.round("entropy", 6) + 0.0).alias("entropy"))
+
+
+def damping_factors(spark, sf):
+    return _common(spark, sf)[4].select("token", "neighbors", _r("factor"))
+
+
+def stopword_stats(spark, sf):
+    d, n, df, found, factors = _common(spark, sf)
+    ent = stats.entropies(stats.token_categories(d, F.col("source_cats")))
+    return tuning.stopword_stats(df, n, stats.damped(found, factors), ent).select("token", "df", _r("df_percent"), _r("idf"), _r("pmi_max"), (F.round("entropy", 6) + 0.0).alias("entropy"))
+
+
+def stopword_candidates(spark, sf):
+    d, n, df, found, factors = _common(spark, sf)
+    ent = stats.entropies(stats.token_categories(d, F.col("source_cats")))
+    return tuning.stop_candidates(tuning.stopword_stats(df, n, stats.damped(found, factors), ent), STOP).select("token", "df", _r("pmi_max"), (F.round("entropy", 6) + 0.0).alias("entropy"), "bootstrap", _r("score"))
+
+
+def _rules(spark, sf):
+    return tuning.rules(_banded(spark, sf)[2], 0.5, 5)
+
+
+def rule_suggestions(spark, sf):
+    return _rules(spark, sf).where("confidence >= 0.6").select("relation", "subject", "object", _r("score"), "support", _r("confidence"))
+
+
+def rule_export(spark, sf):
+    return tuning.rule_lines(_rules(spark, sf).withColumn("confidence", F.round("confidence", 6)))
+
+
+def taxonomy_assign(spark, sf):
+    d = _docs(spark, sf)
+    return d.select("doc_id", F.array_join(tagging.categories(F.col("tokens"), TAXONOMY), ",").alias("cats"))
+
+
+def entity_extract(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.explode(tagging.entities(F.col("text"), TAXONOMY["entities"])).alias("e")).select("doc_id", "e.type", "e.value")
+
+
+def taxonomy_drift(spark, sf):
+    d, n, _, df = _stats(spark, sf)
+    df = stats.cut(df)
+    stops = spark.createDataFrame([(s,) for s in STOPS], "token string")
+    out = tuning.drift(df, n, tagging.keyword_table(spark, TAXONOMY), stops, stats.token_categories(d, F.col("source_cats")))
+    return out.select("kind", "category", "token", "support", _r("share"), _r("confidence"))
+
+
+def entity_suggestions(spark, sf):
+    n = F.count(F.lit(1))
+    seen = entity_extract(spark, sf).groupBy("type", "value").agg(n.alias("occurrences"), (1 - F.exp(-n / 10.0)).alias("confidence"))
+    return tuning.entity_suggestions(seen).select("type", "value", "occurrences", _r("confidence"))
+
+
+def jaccard_categories(spark, sf):
+    d = _docs(spark, sf)
+    wanted = F.array(*map(F.lit, ("english", "french")))
+    return d.select("doc_id", F.round(text.jaccard(tagging.categories(F.col("tokens"), TAXONOMY), wanted).cast("double"), 6).alias("similarity"))
+
+
+def _queries(spark, sf, one: bool) -> DataFrame:
+    b = table(spark, sf, "benchmark")
+    if one:
+        b = b.orderBy("item_id").limit(1)
+    q = b.select(F.col("item_id").alias("query_id"), text.distinct_words(text.tokens(F.col("text"))).alias("tokens"))
+    return stats.cut(q.withColumn("cats", tagging.categories(F.col("tokens"), TAXONOMY)))
+
+
+def _expanded(spark, q: DataFrame) -> DataFrame:
+    """Queries with wanted: their tokens and what the facts lead to."""
+    facts = spark.createDataFrame(FACTS, "relation string, subject string, object string")
+    more = graph.expand(facts, q.select("query_id", F.explode("tokens").alias("token"))).groupBy("query_id").agg(F.array_sort(F.collect_list("token")).alias("__m"))
+    return stats.cut(q.join(more, "query_id", "left").withColumn("wanted", F.array_distinct(F.concat("tokens", F.coalesce("__m", F.array().cast("array<string>"))))).drop("__m"))
+
+
+def _searched(spark, sf, one: bool):
+    d = _docs(spark, sf).withColumn("cats", tagging.categories(F.col("tokens"), TAXONOMY))
+    q = _expanded(spark, _queries(spark, sf, one))
+    return d, q, search.breakdown(d, q, NOW)
+
+
+PARTS = ("pmi", "cats", "recency", "authority", "length", "damping", "total")
+
+
+def inverted_index_lookup(spark, sf):
+    q = _queries(spark, sf, False)
+    return search.candidates(_docs(spark, sf), q, 20, "tokens").select("query_id", "doc_id")
+
+
+def score_breakdown(spark, sf):
+    return _searched(spark, sf, False)[2].select("query_id", "doc_id", *map(_r, PARTS))
+
+
+def search_topk(spark, sf):
+    return search.top_k(_searched(spark, sf, True)[2]).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), *map(_r, PARTS))
+
+
+def batch_search(spark, sf):
+    return search.top_k(_searched(spark, sf, False)[2]).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), _r("total"))
+
+
+def retrieve_with_neighbors(spark, sf):
+    near = stats.cut(stats.neighbors(_banded(spark, sf)[2]))
+    return search.with_neighbors(_docs(spark, sf), _queries(spark, sf, False), near)
+
+
+def cards(spark, sf):
+    d, q, s = _searched(spark, sf, False)
+    d = d.select("doc_id", text.story_title(F.col("text")).alias("title"), "url", "published_at", "tokens")
+    out = search.cards(search.top_k(s), d, q, text.card_id(F.col("query_id").cast("string")))
+    show = lambda c: F.array_join(c, "|")
+    return out.select("id", "query_id", show(F.col("bullets")).alias("bullets"), show(F.transform("sources", lambda x: x["url"])).alias("urls"), show(F.col("matched")).alias("matched"), F.col("breakdown")["total"].alias("total"))
+
+
+def collisions(spark, sf):
+    q = _queries(spark, sf, False)
+    found = stats.cut(_banded(spark, sf)[2])
+    best = stats.neighbors(found, 1).select("token", F.col("score").alias("strength"))
+    strengths = q.select("query_id", F.posexplode("tokens").alias("pos", "token")).join(best, "token")
+    return signals.collisions(strengths, found).select("query_id", "a", "b", _r("strength_a"), _r("strength_b"), _r("joint"), _r("surprise"))
+
+
+def prediction_error(spark, sf):
+    near = stats.neighbors(_banded(spark, sf)[2])
+    d, q = stats.cut(_docs(spark, sf).select("doc_id", "published_at", "tokens")), _queries(spark, sf, False)
+    return signals.prediction_error(near, q, search.candidates(d, q, 12, "tokens"), d).select("query_id", "predicted", "actual", "shared", "missing", "unexpected", _r("error"))
+
+
+def _facts(spark, sf):
+    r = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    geo = r.select(F.lit("is_a").alias("relation"), F.col("n_name").alias("subject"), F.col("r_name").alias("object")).union(r.select(F.lit("is_a"), "r_name", F.lit("WORLD")))
+    return graph.with_facts(spark.createDataFrame(FACTS, "relation string, subject string, object string"), geo)
+
+
+def fact_closure(spark, sf):
+    return graph.closure(_facts(spark, sf))
+
+
+def facts_provable(spark, sf):
+    names = _facts(spark, sf).select(F.explode(F.array("subject", "object")).alias("x")).distinct()
+    asked = names.select(F.explode(F.array(*map(F.lit, graph.PROVEN))).alias("relation"), F.col("x").alias("subject")).crossJoin(F.broadcast(spark.createDataFrame([("WORLD",), ("corpus",), ("search",)], "object string")))
+    return graph.provable(_facts(spark, sf), asked)
+
+
+def expand_tokens(spark, sf):
+    q = _facts(spark, sf).select(F.col("subject").alias("query_id"), F.col("subject").alias("token")).distinct()
+    return graph.expand(_facts(spark, sf), q)
+
+
+def neighbors_undirected(spark, sf):
+    return graph.undirected(_facts(spark, sf))
+
+
+def proof_path(spark, sf):
+    """Every two names of the literal facts; the facts are a small literal list."""
+    p = graph.Proofs(FACTS)
+    names = sorted({x for f in FACTS for x in f[1:]})
+    rows = [(a, b, s["depth"], s["relation"], s["source"], s["target"]) for a in names for b in names for s in p.path(a, b)]
+    return spark.createDataFrame(rows, "subject string, object string, depth int, relation string, source string, target string")
+
+
+def phrase_parse(spark, sf):
+    p = tagging.Phrases(PHRASES)
+    return _docs(spark, sf).select("doc_id", p.column(F.col("tokens")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.filter("t", lambda x: x.contains(" "))).cast("long").alias("n_phrases"))
+
+
+def _edges(spark, sf):
+    return _banded(spark, sf)[2].where("n >= 5 and score >= 0.5")
+
+
+def clusters(spark, sf):
+    e = _edges(spark, sf).select(F.col("t1").alias("a"), F.col("t2").alias("b"))
+    return graph.clusters(e).select("root", F.array_join("tokens", ",").alias("tokens"), "size")
+
+
+def synonym_groups(spark, sf):
+    e = stats.cut(_edges(spark, sf).select(F.col("t1").alias("a"), F.col("t2").alias("b"), "score", "n"))
+    return graph.synonym_groups(e).select("canonical", F.array_join("variants", ",").alias("variants"), _r("score"), "support")
+
+
+def keyword_candidates(spark, sf):
+    _, n, _, df = _stats(spark, sf)
+    return bootstrap.keywords(df, n, STOPS).select("token", "df", _r("df_percent"))
+
+
+def _versions(spark, sf):
+    """Documents as first stored, and again without stop words where the id is divisible by 3 (a changed text)."""
+    d = _docs(spark, sf).select("doc_id", "url", "tokens")
+    return d, d.where(F.col("doc_id") % 3 == 0).withColumn("tokens", F.filter("tokens", lambda x: ~x.isin(*STOPS)))
+
+
+def reingest_deltas(spark, sf):
+    old, new = _versions(spark, sf)
+    change, _ = store.deltas(old.join(new.select("url"), "url", "left_semi").select(*new.columns), new)
+    counts = stats.frequencies(stats.members(old))
+    return store.merged(counts, change, ["token"], "df")
+
+
+def document_upsert(spark, sf):
+    old, new = _versions(spark, sf)
+    return store.upserted(old, new, "url").select("url", "doc_id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def prune_tokens(spark, sf):
+    gone = spark.createDataFrame([(s,) for s in STOPS], "token string")
+    return stats.without_tokens(stats.bigrams(_docs(spark, sf)), gone, "a", "b").where("n >= 2")
+
+
+def autotune_rounds(spark, sf):
+    out, _ = tuning.rounds(_docs(spark, sf), STOP, 3, least=COMMON)
+    return out.select(F.col("round").cast("long").alias("round"), "token", "df", _r("score"))
+
+
+def bootstrap_rounds(spark, sf):
+    _, report = bootstrap.run(_docs(spark, sf), STOPS, 3, STOP, least=COMMON)
+    rows = [(r["iteration"], w, r["total_stopwords"]) for r in report for w in r["new_stopwords"] or [None]]
+    return spark.createDataFrame(rows, "iteration long, token string, total_stopwords long")
+
+
+def cleaner_updates(spark, sf):
+    d = _docs(spark, sf).select("doc_id", "text", "tokens")
+    return store.cleaned(d, text.tokens(F.col("text"), STOPS)).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def category_histogram(spark, sf):
+    c = tagging.categories(text.tokens(F.col("text")), TAXONOMY)
+    return table(spark, sf, "documents").select(F.explode(c).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def event_trends(spark, sf):
+    e = table(spark, sf, "events").select("ts", F.array("event_type", F.get_json_object("props", "$.k").cast("string")).alias("tokens"))
+    e = e.withColumn("tokens", F.filter("tokens", lambda x: x.isNotNull()))
+    return e.select("ts", F.explode(F.array_distinct("tokens")).alias("token")).groupBy(F.window("ts", "1 hour").alias("w"), "token").agg(F.count(F.lit(1)).alias("n")).select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH").alias("hour"), "token", "n")
+
+
+# SQL
+
+TOK = r"list_filter(list_transform(regexp_extract_all({t}, '[\p{{L}}\p{{N}}-]+'), lambda x: regexp_replace(regexp_replace(lower(x), '^-+|-+$', '', 'g'), '-{{2,}}', '-', 'g')), lambda x: strlen(x) > 1 AND NOT regexp_full_match(x, '[\p{{Nd}}-]+'))"
+ALL = TOK.format(t="text")
+
+
+def _list(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+KEPT = f"list_filter({ALL}, lambda x: x NOT IN ({_list(STOPS)}))"
+D = f"d AS MATERIALIZED (SELECT doc_id, source, lang, text, {ALL} AS toks FROM documents)"
+U = f"{D}, u AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(toks) AS tok FROM d), nn AS (SELECT count(*) AS big_n FROM d), df AS MATERIALIZED (SELECT tok, count(*) AS df FROM u GROUP BY tok)"
+
+
+def _npmi(n, a, b, big="big_n") -> str:
+    return f"CASE WHEN {n} = 0 OR ln(({n} + 1e0) / {big}) = 0 THEN 0 ELSE ln((({n} + 1e0) * {big}) / (({a} + 1e0) * ({b} + 1e0))) / -ln(({n} + 1e0) / {big}) END"
+
+
+def _pmi(n, a, b, big="big_n") -> str:
+    return f"ln((({n} + 1e0) * {big}) / (({a} + 1e0) * ({b} + 1e0)))"
+
+
+def _pairs(where: str, score=_npmi) -> str:
+    return f"""{U}, v AS (SELECT tok, df FROM df, nn WHERE {where}), o AS MATERIALIZED (SELECT doc_id, tok, df FROM u JOIN v USING (tok)),
+p AS MATERIALIZED (SELECT t1, t2, n, df1, df2, {score('n', 'df1', 'df2')} AS score FROM (SELECT a.tok AS t1, b.tok AS t2, count(*) AS n, any_value(a.df) AS df1, any_value(b.df) AS df2 FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.tok < b.tok GROUP BY 1, 2), nn)"""
+
+
+IN_BAND = f"df >= {PAIR['floor']} AND df >= {PAIR['least']} * big_n AND df <= {PAIR['most']} * big_n"
+BAND = _pairs(IN_BAND)
+BOTH = "e AS MATERIALIZED (SELECT t1 AS token, t2 AS neighbor, n, df1 AS token_df, df2 AS neighbor_df, score FROM p UNION ALL SELECT t2, t1, n, df2, df1, score FROM p)"
+NEAR = f"{BOTH}, near AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY round(score, 9) DESC, neighbor) AS rank FROM e WHERE token_df >= 5 AND neighbor_df >= 5) WHERE rank <= 10)"
+
+
+def _damp(ratio: str) -> str:
+    t = f"(({ratio} - 0.3e0) / 0.3e0)"
+    return f"CASE WHEN {ratio} <= 0.3e0 THEN 1e0 WHEN {ratio} >= 0.6e0 THEN 0.1e0 ELSE 1 - {t} * {t} * (3 - 2 * {t}) * 0.9e0 END"
+
+
+HUBS = f"""{_pairs(f'df >= {COMMON} * big_n')}, {BOTH}, f AS MATERIALIZED (SELECT tok AS token, coalesce(neighbors, 0) AS neighbors, {_damp('(coalesce(neighbors, 0) / (SELECT count(*) FROM v)::DOUBLE)')} AS factor
+FROM v LEFT JOIN (SELECT token, count(*) AS neighbors FROM e WHERE score >= 0.05 GROUP BY token) ON tok = token),
+q AS MATERIALIZED (SELECT t1, t2, n, score * sqrt(a.factor * b.factor) AS score FROM p JOIN f a ON t1 = a.token JOIN f b ON t2 = b.token)"""
+BIGRAMS = "bg AS (SELECT a, b, count(*) AS n FROM (SELECT unnest(list_slice(toks, 1, len(toks) - 1)) AS a, unnest(list_slice(toks, 2, len(toks))) AS b FROM d WHERE len(toks) > 1) GROUP BY a, b)"
+SKIPS = """pos AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM d),
+sk AS MATERIALIZED (SELECT a, b, count(*) AS n FROM (SELECT DISTINCT x.doc_id, least(x.tok, y.tok) AS a, greatest(x.tok, y.tok) AS b FROM (SELECT p.doc_id, p.tok, p.i, unnest([1, 2, 3, 4]) AS k FROM pos p) x JOIN pos y ON x.doc_id = y.doc_id AND y.i = x.i + x.k WHERE x.tok <> y.tok) GROUP BY a, b)"""
+
+
+def _entropy(cat: str) -> str:
+    return f"""tc AS (SELECT tok, {cat} AS category, count(*) AS n FROM u JOIN (SELECT doc_id, source, lang FROM d) USING (doc_id) GROUP BY 1, 2),
+en AS MATERIALIZED (SELECT tok, (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(count(*) + 1e0) AS entropy FROM tc GROUP BY tok)"""
+
+
+STOPROWS = f"""{HUBS}, {_entropy('lang')}, mx AS (SELECT token, greatest(0, max(score)) AS pmi_max FROM (SELECT t1 AS token, score FROM q UNION ALL SELECT t2, score FROM q) GROUP BY token),
+ss AS MATERIALIZED (SELECT df.tok AS token, df, 100e0 * df / big_n AS df_percent, ln(big_n::DOUBLE / (1 + df)) AS idf, coalesce(pmi_max, 0e0) AS pmi_max, coalesce(entropy, 0) AS entropy FROM df CROSS JOIN nn LEFT JOIN mx ON df.tok = mx.token LEFT JOIN en ON en.tok = df.tok)"""
+
+
+def _candidates(pmi_max="pmi_max", e="entropy", s=STOP) -> str:
+    return f"CASE WHEN {pmi_max} = 0 THEN df_percent > {s.bootstrap_df_percent} ELSE df_percent > {s.df_percent} AND {pmi_max} < {s.pmi_max} AND {e} > {s.entropy} END"
+
+
+def _score(e="entropy") -> str:
+    return f"(df_percent / 100 + (1 - pmi_max) + CASE WHEN pmi_max = 0 THEN greatest({e}, {STOP.bootstrap_entropy}) ELSE {e} END) / 3"
+
+
+def _cats_of(toks: str) -> str:
+    by: dict[str, set[str]] = {}
+    for kind in ("sectors", "events", "regions"):
+        for name, ks in TAXONOMY[kind].items():
+            by.setdefault(name, set()).update(ks)
+    parts = ", ".join(f"CASE WHEN list_has_any({toks}, [{_list(sorted(ks))}]) THEN '{name}' END" for name, ks in sorted(by.items()))
+    return f"list_filter([{parts}], lambda x: x IS NOT NULL)"
+
+
+KEYWORDS = "kw(category, keyword) AS (VALUES " + ", ".join(f"('{c}', '{k}')" for c, k in sorted({(n, k) for kind in ("sectors", "events", "regions") for n, ks in TAXONOMY[kind].items() for k in ks})) + ")"
+ENTITY = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS type, '{name}' AS value FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{k}')" for k in ks) for kind, names in TAXONOMY["entities"].items() for name, ks in names.items())
+TOPIC = ", ".join(f"CASE WHEN {' OR '.join(f'contains(s, {k!r})' for k in ks)} THEN '{name}' END" for name, ks in sources.TOPICS.items())
+RULES = f"rl AS (SELECT 'related_to' AS relation, t1 AS subject, t2 AS object, score, n AS support, 0.6e0 / (1 + exp(-(score - 0.8e0))) + 0.4e0 / (1 + exp(-(n - 5e0))) AS confidence FROM p WHERE score >= 0.5 AND n >= 5)"
+TITLE = "CASE WHEN regexp_extract(text, '^[^.!?]{1,119}[.!?]') <> '' THEN regexp_extract(text, '^[^.!?]{1,119}[.!?]') ELSE text END"
+STRIP = "regexp_replace(html, '<[^>]*>', '', 'g')"
+for _mark, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    STRIP = f"replace({STRIP}, '{_mark}', '{_char}')"
+FACT_ROWS = "lit(relation, subject, object) AS (VALUES " + ", ".join(f"('{r}', '{s}', '{o}')" for r, s, o in FACTS) + ")"
+ALL_FACTS = f"{FACT_ROWS}, facts AS (SELECT * FROM lit UNION SELECT 'is_a', n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT 'is_a', r_name, 'WORLD' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation))"
+CLOSURE = f"{ALL_FACTS}, cl(relation, subject, object) AS (SELECT * FROM facts UNION SELECT c.relation, c.subject, f.object FROM cl c JOIN facts f ON c.relation = f.relation AND c.object = f.subject WHERE c.relation IN ('is_a', 'related_to'))"
+LINKS = "ln AS (SELECT subject AS token, object AS neighbor FROM {f} WHERE subject <> object UNION SELECT object, subject FROM {f} WHERE subject <> object)"
+
+
+def _hops(seeds: str) -> str:
+    """x(query_id, token, hops) of two hops from s(query_id, token)."""
+    return f"""s AS ({seeds}), h AS (SELECT query_id, token, min(hops) AS hops FROM (SELECT query_id, token, 0 AS hops FROM s UNION ALL SELECT query_id, neighbor, 1 FROM s JOIN ln USING (token)
+UNION ALL SELECT query_id, b.neighbor, 2 FROM s JOIN ln a ON s.token = a.token JOIN ln b ON a.neighbor = b.token) GROUP BY 1, 2),
+x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hops, token) AS r FROM h WHERE hops > 0) WHERE r <= 50)"""
+
+
+def _ask(one: bool) -> str:
+    b = "(SELECT * FROM benchmark ORDER BY item_id LIMIT 1)" if one else "benchmark"
+    return f"qq AS MATERIALIZED (SELECT item_id AS query_id, {ALL} AS qall, list_distinct({ALL}) AS qtoks FROM {b}), qt AS MATERIALIZED (SELECT query_id, unnest(qtoks) AS qt FROM qq)"
+
+
+def _cand(wanted: str, k: int) -> str:
+    return f"ca AS MATERIALIZED (SELECT query_id, doc_id FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS r FROM (SELECT DISTINCT query_id, doc_id FROM {wanted} JOIN u USING (tok))) WHERE r <= {k})"
+
+
+def _searching(one: bool) -> str:
+    return f"""WITH {U}, {_ask(one)}, {FACT_ROWS}, {LINKS.format(f='lit')}, {_hops('SELECT query_id, qt AS token FROM qt')},
+wanted AS (SELECT query_id, qt AS tok FROM qt UNION SELECT query_id, token FROM x), {_cand('wanted', 12)},
+asked AS (SELECT DISTINCT qt FROM qt), pp AS MATERIALIZED (SELECT a.tok AS qt, b.tok AS dt, count(*) AS n FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.tok <> b.tok WHERE a.tok IN (SELECT qt FROM asked) GROUP BY 1, 2),
+ps AS MATERIALIZED (SELECT qt, dt, b.df AS df_d, {_npmi('n', 'a.df', 'b.df')} AS score FROM pp JOIN df a ON a.tok = qt JOIN df b ON b.tok = dt CROSS JOIN nn),
+nr AS (SELECT qt, least(10, count(*)) AS near FROM ps WHERE df_d >= 5 GROUP BY qt), sz AS (SELECT query_id, count(*) AS held FROM ca GROUP BY 1),
+fa AS MATERIALIZED (SELECT query_id, qt, {_damp('(coalesce(near, 0) / (10e0 * held))')} AS factor FROM qt JOIN sz USING (query_id) LEFT JOIN nr USING (qt)),
+be AS (SELECT query_id, doc_id, qt, greatest(0, max(score)) AS best FROM ca JOIN u USING (doc_id) JOIN qt USING (query_id) JOIN ps USING (qt) WHERE ps.dt = u.tok GROUP BY 1, 2, 3),
+pt AS (SELECT query_id, doc_id, sum(coalesce(best, 0) * factor) / count(*) AS pmi, avg(factor) AS damping FROM ca JOIN fa USING (query_id) LEFT JOIN be USING (query_id, doc_id, qt) GROUP BY 1, 2),
+br AS MATERIALIZED (SELECT *, pmi + 0.6e0 * cats + 0.8e0 * recency + 0.2e0 * authority - 0.05e0 * length AS total FROM (SELECT query_id, doc_id, coalesce(pmi, 0) AS pmi,
+CASE WHEN len(qc) + len(dc) = 0 THEN 1e0 ELSE len(list_intersect(qc, dc))::DOUBLE / len(list_distinct(list_concat(qc, dc))) END AS cats, exp(-((1717200000 - (1704067200 + doc_id * 3600)) / 86400e0) / 14e0) AS recency, ln(doc_id % 7 + 1e0) AS authority, ln(len(toks) + 1e0) AS length, coalesce(damping, 1) AS damping
+FROM ca JOIN (SELECT doc_id, toks, {_cats_of('toks')} AS dc FROM d) USING (doc_id) JOIN (SELECT query_id, {_cats_of('qtoks')} AS qc FROM qq) USING (query_id) LEFT JOIN pt USING (query_id, doc_id))),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 6) DESC, doc_id) AS rank FROM br) WHERE rank <= 3)"""
+
+
+ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in PARTS)
+EDGES = f"ed AS (SELECT t1 AS a, t2 AS b, score, n FROM p WHERE n >= 5 AND score >= 0.5), ew AS (SELECT a AS u, b AS w FROM ed UNION SELECT b, a FROM ed), re(u, w) AS (SELECT u, u FROM ew UNION SELECT re.u, ew.w FROM re JOIN ew ON re.w = ew.u), co AS MATERIALIZED (SELECT u AS token, min(w) AS root FROM re GROUP BY u)"
+OLD_NEW = f"new AS MATERIALIZED (SELECT doc_id, list_filter(toks, lambda x: x NOT IN ({_list(STOPS)})) AS toks FROM d WHERE doc_id % 3 = 0)"
+
+SQL: dict[str, str] = {
+    "tokenize_clean": f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {KEPT} AS t FROM documents)",
+    "lexicon_tokens": f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(list_transform({ALL}, lambda x: CASE x {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in SYNONYMS.items())} ELSE x END)) AS token FROM documents) WHERE token IN ({_list(sorted(set(SYNONYMS.values())))}) GROUP BY 1, 2",
+    "clean_text_urls": r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\[source:[^\]]*\]', '', 'gi'), 'author\(s\):[^\n]*', '', 'gi'), 'https?://[^\s"''<>]+', '', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS clean FROM pages""",
+    "strip_html": rf"SELECT page_id, regexp_replace({STRIP}, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS stripped FROM pages",
+    "categorize_pages": f"SELECT page_id, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') ELSE 'tech' END AS topics FROM (SELECT page_id, list_filter([{TOPIC}], lambda x: x IS NOT NULL) AS l FROM (SELECT page_id, lower(url || ' ' || html) AS s FROM pages))",
+    "category_codes": "SELECT CASE WHEN starts_with(c, 'view') THEN 'look' WHEN starts_with(c, 'purchase.1') THEN 'first-buyers' ELSE string_split(c, '.')[1] END AS code, count(*) AS n FROM (SELECT event_type || '.' || user_id AS c FROM events) GROUP BY 1",
+    "story_titles": f"SELECT doc_id, CASE WHEN length(t) > 80 THEN left(t, 77) || '...' ELSE t END AS title FROM (SELECT doc_id, {TITLE} AS t FROM documents)",
+    "doc_validity": f"SELECT source AS outlet, count(*) FILTER (trim(coalesce(text, '')) <> '' AND trim(coalesce({TITLE}, '')) <> '') AS valid, count(*) AS n FROM documents GROUP BY source",
+    "doc_frequency": f"WITH {U} SELECT tok AS token, df, round(100e0 * df / big_n, 6) AS df_percent, round(ln(big_n::DOUBLE / (1 + df)), 6) AS idf FROM df, nn",
+    "high_df_tokens": f"WITH {U} SELECT tok AS token, df, round(100e0 * df / big_n, 6) AS df_percent FROM df, nn ORDER BY df DESC, tok LIMIT 20",
+    "bigram_counts": f"WITH {D}, {BIGRAMS} SELECT * FROM bg WHERE n >= 2",
+    "skipgram_counts": f"WITH {D}, {SKIPS} SELECT * FROM sk WHERE n >= 5",
+    "doc_pair_counts": f"WITH {BAND} SELECT t1, t2, n FROM p WHERE n >= 5",
+    "pmi_pairs": f"WITH {_pairs(IN_BAND, _pmi)} SELECT t1, t2, n, round(score, 6) AS score FROM p WHERE n >= 5",
+    "npmi_pairs": f"WITH {BAND} SELECT t1, t2, n, round(score, 6) AS score FROM p WHERE n >= 5",
+    "basket_npmi": f"WITH u AS MATERIALIZED (SELECT DISTINCT l_orderkey AS k, l_suppkey::VARCHAR AS tok FROM lineitem), nn AS (SELECT count(DISTINCT k) AS big_n FROM u), df AS (SELECT tok, count(*) AS df FROM u GROUP BY tok), pc AS (SELECT a.tok AS t1, b.tok AS t2, count(*) AS n FROM u a JOIN u b ON a.k = b.k AND a.tok < b.tok GROUP BY 1, 2) SELECT t1, t2, n, round({_npmi('n', 'x.df', 'y.df')}, 6) AS score FROM pc JOIN df x ON t1 = x.tok JOIN df y ON t2 = y.tok CROSS JOIN nn",
+    "event_pair_npmi": f"WITH u AS MATERIALIZED (SELECT DISTINCT user_id AS k, event_type AS tok FROM events), nn AS (SELECT count(DISTINCT k) AS big_n FROM u), df AS (SELECT tok, count(*) AS df FROM u GROUP BY tok), pc AS (SELECT a.tok AS t1, b.tok AS t2, count(*) AS n FROM u a JOIN u b ON a.k = b.k AND a.tok < b.tok GROUP BY 1, 2) SELECT t1, t2, n, round({_npmi('n', 'x.df', 'y.df')}, 6) AS score FROM pc JOIN df x ON t1 = x.tok JOIN df y ON t2 = y.tok CROSS JOIN nn",
+    "top_neighbors": f"WITH {BAND}, {NEAR} SELECT token, neighbor, n, round(score, 6) AS score, rank FROM near",
+    "phrase_pairs": f"WITH {HUBS}, {BIGRAMS} SELECT a, b, round(score, 6) AS score, bg.n AS bigrams, q.n AS support, round(bg.n * score, 6) AS phrase_score FROM bg JOIN q ON t1 = least(a, b) AND t2 = greatest(a, b) WHERE a <> b AND score >= 0.01 ORDER BY round(bg.n * score, 6) DESC, bg.n DESC, a, b LIMIT 200",
+    "linked_tokens": f"WITH {U}, {SKIPS} SELECT a, b, n, round(score, 6) AS score FROM (SELECT a, b, n, {_npmi('n', 'x.df', 'y.df')} AS score FROM sk JOIN df x ON a = x.tok JOIN df y ON b = y.tok CROSS JOIN nn WHERE n >= 5) WHERE score > 0.1",
+    "token_categories": f"WITH {U} SELECT tok AS token, lang AS category, count(*) AS n FROM u JOIN d USING (doc_id) GROUP BY 1, 2",
+    "token_category_entropy": f"WITH {U}, {_entropy('source')} SELECT tok AS token, round(entropy, 6) + 0e0 AS entropy FROM en",
+    "damping_factors": f"WITH {HUBS} SELECT token, neighbors, round(factor, 6) AS factor FROM f",
+    "stopword_stats": f"WITH {STOPROWS} SELECT token, df, round(df_percent, 6) AS df_percent, round(idf, 6) AS idf, round(pmi_max, 6) AS pmi_max, round(entropy, 6) + 0e0 AS entropy FROM ss",
+    "stopword_candidates": f"WITH {STOPROWS} SELECT token, df, round(pmi_max, 6) AS pmi_max, round(entropy, 6) + 0e0 AS entropy, pmi_max = 0 AS bootstrap, round({_score()}, 6) AS score FROM ss WHERE {_candidates()}",
+    "rule_suggestions": f"WITH {BAND}, {RULES} SELECT relation, subject, object, round(score, 6) AS score, support, round(confidence, 6) AS confidence FROM rl WHERE confidence >= 0.6",
+    "rule_export": f"WITH {BAND}, {RULES} SELECT printf('%s(%s, %s). %% confidence %.2f support %d', relation, replace(subject, '-', '_'), replace(object, '-', '_'), round(confidence, 6), support) AS line FROM rl",
+    "taxonomy_assign": f"WITH {D} SELECT doc_id, array_to_string({_cats_of('toks')}, ',') AS cats FROM d",
+    "entity_extract": ENTITY,
+    "entity_suggestions": f"SELECT type, value, count(*) AS occurrences, round(1 - exp(-count(*) / 10e0), 6) AS confidence FROM ({ENTITY}) GROUP BY 1, 2 HAVING count(*) >= 3 AND 1 - exp(-count(*) / 10e0) >= 0.6",
+    "taxonomy_drift": f"""WITH {U}, {KEYWORDS}, lo AS (SELECT category, keyword, coalesce(df, 0) AS df, coalesce(df, 0) / big_n::DOUBLE AS share, big_n - coalesce(df, 0) AS missed FROM kw LEFT JOIN df ON tok = keyword CROSS JOIN nn),
+mc AS (SELECT tok, lang AS category FROM (SELECT tok, lang, row_number() OVER (PARTITION BY tok ORDER BY count(*) DESC, lang) AS r FROM u JOIN d USING (doc_id) GROUP BY tok, lang) WHERE r = 1)
+SELECT 'low_coverage' AS kind, category, keyword AS token, df AS support, round(share, 6) AS share, round(least(1, greatest(0, 0.2e0 + 0.5e0 * (1 - exp(-missed / 10e0)) + 0.5e0 * (1 - share))), 6) AS confidence FROM lo WHERE share < 0.4 AND missed >= 10
+UNION ALL SELECT 'orphan', coalesce(category, ''), tok, df, round(df / big_n::DOUBLE, 6), round(least(1, 0.2e0 + 0.8e0 * (1 - exp(-(df / big_n::DOUBLE) / 0.05e0)) + CASE WHEN coalesce(category, '') <> '' THEN 0.1e0 ELSE 0 END), 6) FROM df JOIN mc USING (tok) CROSS JOIN nn WHERE df >= 0.05 * big_n AND tok NOT IN (SELECT keyword FROM kw) AND tok NOT IN ({_list(STOPS)})""",
+    "jaccard_categories": f"WITH {D} SELECT doc_id, round(len(list_intersect(c, ['english', 'french']))::DOUBLE / len(list_distinct(list_concat(c, ['english', 'french']))), 6) AS similarity FROM (SELECT doc_id, {_cats_of('toks')} AS c FROM d)",
+    "inverted_index_lookup": f"WITH {U}, {_ask(False)}, wanted AS (SELECT query_id, qt AS tok FROM qt), {_cand('wanted', 20)} SELECT query_id, doc_id FROM ca",
+    "score_breakdown": f"{_searching(False)} SELECT query_id, doc_id, {ROUND} FROM br",
+    "search_topk": f"{_searching(True)} SELECT query_id, doc_id, rank, {ROUND} FROM tp",
+    "batch_search": f"{_searching(False)} SELECT query_id, doc_id, rank, round(total, 6) AS total FROM tp",
+    "cards": f"""{_searching(False)}, mt AS (SELECT query_id, array_to_string(list_sort(list_distinct(list(tok))), '|') AS matched FROM tp JOIN u USING (doc_id) JOIN qt USING (query_id) WHERE tok = qt GROUP BY 1)
+SELECT upper(left(sha256(query_id::VARCHAR), 26)) AS id, query_id, string_agg({TITLE}, '|' ORDER BY rank) AS bullets, string_agg('doc://' || doc_id, '|' ORDER BY rank) AS urls, any_value(coalesce(matched, '')) AS matched, round(avg(total), 6) AS total FROM tp JOIN documents USING (doc_id) LEFT JOIN mt USING (query_id) GROUP BY query_id""",
+    "retrieve_with_neighbors": f"""WITH {BAND}, {NEAR}, {_ask(False)}, w1 AS (SELECT query_id, qt AS tok FROM qt), w2 AS (SELECT DISTINCT query_id, neighbor AS tok FROM qt JOIN near ON token = qt WHERE rank <= 5),
+{_cand('w1', 100)}, {_cand('w2', 100).replace('ca AS', 'cb AS')}, un AS (SELECT query_id, doc_id, min(way) AS way FROM (SELECT *, 0 AS way FROM ca UNION ALL SELECT *, 1 FROM cb) GROUP BY 1, 2)
+SELECT query_id, doc_id, way = 0 AS direct FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY way, doc_id DESC) AS r FROM un) WHERE r <= 100""",
+    "collisions": f"""WITH {BAND}, {NEAR}, {_ask(False)}, st AS (SELECT query_id, list_position(qall, qt) AS pos, qt AS token, score AS strength FROM qt JOIN qq USING (query_id) JOIN near ON token = qt AND rank = 1 WHERE score >= 0.3)
+SELECT query_id, a, b, round(strength_a, 6) AS strength_a, round(strength_b, 6) AS strength_b, round(j, 6) AS joint, round(greatest(0, 0.5e0 * sqrt(strength_a * strength_b) - j), 6) AS surprise FROM (SELECT x.query_id, x.token AS a, y.token AS b, x.strength AS strength_a, y.strength AS strength_b, coalesce(p.score, 0) AS j
+FROM st x JOIN st y ON x.query_id = y.query_id AND x.pos < y.pos LEFT JOIN p ON t1 = least(x.token, y.token) AND t2 = greatest(x.token, y.token)) WHERE j <= 0.15 AND greatest(0, 0.5e0 * sqrt(strength_a * strength_b) - j) >= 0.1""",
+    "prediction_error": f"""WITH {BAND}, {NEAR}, {_ask(False)}, wanted AS (SELECT query_id, qt AS tok FROM qt), {_cand('wanted', 12)}, pr AS (SELECT DISTINCT query_id, neighbor AS tok FROM qt JOIN near ON token = qt), ac AS (SELECT DISTINCT query_id, tok FROM ca JOIN u USING (doc_id))
+SELECT query_id, count(pr.tok) AS predicted, count(ac.tok) AS actual, count(*) FILTER (pr.tok IS NOT NULL AND ac.tok IS NOT NULL) AS shared, count(*) FILTER (ac.tok IS NULL) AS missing, count(*) FILTER (pr.tok IS NULL) AS unexpected, round(1 - count(*) FILTER (pr.tok IS NOT NULL AND ac.tok IS NOT NULL) / count(*)::DOUBLE, 6) AS error FROM pr FULL JOIN ac USING (query_id, tok) GROUP BY query_id""",
+    "fact_closure": f"WITH RECURSIVE {CLOSURE} SELECT * FROM cl",
+    "facts_provable": f"WITH RECURSIVE {CLOSURE}, nm AS (SELECT subject AS x FROM facts UNION SELECT object FROM facts), ask AS (SELECT relation, x AS subject, object FROM nm, (VALUES ('is_a'), ('used_for'), ('related_to')) r(relation), (VALUES ('WORLD'), ('corpus'), ('search')) o(object)) SELECT ask.*, cl.subject IS NOT NULL AS holds FROM ask LEFT JOIN cl USING (relation, subject, object)",
+    "expand_tokens": f"WITH {ALL_FACTS}, {LINKS.format(f='facts')}, {_hops('SELECT DISTINCT subject AS query_id, subject AS token FROM facts')} SELECT query_id, token, round(pow(0.7e0, hops), 6) AS confidence FROM x",
+    "neighbors_undirected": f"WITH {ALL_FACTS}, {LINKS.format(f='facts')} SELECT * FROM ln",
+    "clusters": f"WITH RECURSIVE {BAND}, {EDGES} SELECT root, string_agg(token, ',' ORDER BY token) AS tokens, count(*) AS size FROM co GROUP BY root HAVING count(*) >= 3",
+    "synonym_groups": f"WITH RECURSIVE {BAND}, {EDGES}, en AS (SELECT root, max(score) AS score, sum(n)::BIGINT AS support FROM (SELECT a AS token, score, n FROM ed UNION ALL SELECT b, score, n FROM ed) JOIN co USING (token) GROUP BY root) SELECT root AS canonical, string_agg(token, ',' ORDER BY token) AS variants, round(any_value(score), 6) AS score, any_value(support) AS support FROM co JOIN en USING (root) WHERE token <> root GROUP BY root",
+    "keyword_candidates": rf"WITH {U} SELECT tok AS token, df, round(100e0 * df / big_n, 6) AS df_percent FROM df, nn WHERE 100e0 * df / big_n BETWEEN 2 AND 60 AND strlen(tok) BETWEEN 3 AND 30 AND length(regexp_replace(tok, '\P{{Nd}}', '', 'g')) / strlen(tok)::DOUBLE <= 0.5 AND length(tok) - length(replace(tok, '-', '')) <= 2 AND tok NOT IN ({_list([*STOPS, *bootstrap.GENERIC])})",
+    "reingest_deltas": f"WITH {D}, {OLD_NEW} SELECT tok AS token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(toks) AS tok FROM (SELECT doc_id, toks FROM new UNION ALL SELECT doc_id, toks FROM d WHERE doc_id % 3 <> 0)) GROUP BY 1",
+    "document_upsert": f"WITH {D}, {OLD_NEW} SELECT 'doc://' || doc_id AS url, doc_id, len(toks) AS n_tokens FROM (SELECT doc_id, toks FROM new UNION ALL SELECT doc_id, toks FROM d WHERE doc_id % 3 <> 0)",
+    "prune_tokens": f"WITH {D}, {BIGRAMS} SELECT * FROM bg WHERE n >= 2 AND a NOT IN ({_list(STOPS)}) AND b NOT IN ({_list(STOPS)})",
+    "cleaner_updates": f"WITH {D} SELECT doc_id, len({KEPT}) AS n_tokens FROM d WHERE {KEPT} <> toks",
+    "category_histogram": f"WITH {D} SELECT category, count(*) AS n FROM (SELECT unnest({_cats_of('toks')}) AS category FROM d) GROUP BY 1",
+    "event_trends": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, token, count(*) AS n FROM (SELECT DISTINCT event_id, ts, unnest([event_type, json_extract_string(props, '$.k')]) AS token FROM events) WHERE token IS NOT NULL GROUP BY 1, 2",
+}
+
+_QUERIES = (tokenize_clean, lexicon_tokens, clean_text_urls, strip_html, categorize_pages, category_codes, story_titles, doc_validity, doc_frequency, high_df_tokens, bigram_counts, skipgram_counts, doc_pair_counts, pmi_pairs, npmi_pairs, basket_npmi, event_pair_npmi, top_neighbors, phrase_pairs, linked_tokens, token_categories, token_category_entropy, damping_factors, stopword_stats, stopword_candidates, rule_suggestions, rule_export, taxonomy_assign, entity_extract, entity_suggestions, taxonomy_drift, jaccard_categories, inverted_index_lookup, score_breakdown, search_topk, batch_search, retrieve_with_neighbors, cards, collisions, prediction_error, fact_closure, facts_provable, expand_tokens, neighbors_undirected, proof_path, phrase_parse, clusters, synonym_groups, keyword_candidates, reingest_deltas, document_upsert, prune_tokens, autotune_rounds, bootstrap_rounds, cleaner_updates, category_histogram, event_trends)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
