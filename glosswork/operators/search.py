@@ -90,7 +90,7 @@ def with_neighbors(docs: DataFrame, queries: DataFrame, near: DataFrame, limit:
 
 def cards(ranked: DataFrame, docs: DataFrame, queries: DataFrame, id_column: Column) -> DataFrame:
     """One card a query: bullets, sources, mean score parts, matched tokens. docs: doc_id, title, url, published_at, tokens."""
-    j = ranked.join(docs, "doc_id").join(queries.select("query_id", F.col("tokens").alias("__q")), "query_id")
+    j = ranked.join(docs.select("doc_id", "title", "url", "published_at", "tokens"), "doc_id").join(queries.select("query_id", F.col("tokens").alias("__q")), "query_id")
     one = j.withColumn("hit", F.array_intersect("tokens", "__q"))
     parts = ("pmi", "cats", "recency", "authority", "length", "total")
     g = one.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url", "published_at"))).alias("x"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("matched"), *[F.round(F.avg(p), 6).alias(p) for p in parts])

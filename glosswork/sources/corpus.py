@@ -14,8 +14,9 @@ CODES = {"cs.AI": "ai", "cs.LG": "machine-learning", "cs.CL": "nlp", "cs.CV": "v
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Items; malformed lines go. A file without one valid line is an error."""
-    raw = spark.read.schema(ITEM + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    out = raw.where("_bad is null").drop("_bad")
+    raw = spark.read.text(path).where(F.trim("value") != "")
+    parsed = raw.select(F.from_json("value", ITEM + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x")).select("x.*")
+    out = parsed.where("_bad is null").drop("_bad")
     if out.isEmpty():
         raise ValueError(f"no valid item in {path}")
     return out

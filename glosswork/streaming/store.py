@@ -24,15 +24,15 @@ def upserted(old: DataFrame, new: DataFrame, key: str, order: str | None = None)
 
 
 def doc_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, t1, t2) of the distinct tokens of each document."""
-    v = docs.select("doc_id", F.array_sort(F.array_distinct("tokens")).alias("v"))
-    left = v.select("doc_id", "v", F.posexplode("v").alias("p", "t1")).where(F.col("p") + 1 < F.size("v"))
-    return left.select("doc_id", "t1", F.explode(F.slice("v", F.col("p") + 2, F.size("v"))).alias("t2"))
+    """(t1, t2) of the distinct tokens of each document."""
+    v = docs.select(F.array_sort(F.array_distinct("tokens")).alias("v"))
+    left = v.select("v", F.posexplode("v").alias("p", "t1")).where(F.col("p") + 1 < F.size("v"))
+    return left.select("t1", F.explode(F.slice("v", F.col("p") + 2, F.size("v"))).alias("t2"))
 
 
-def deltas(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+def deltas(old: DataFrame, new: DataFrame, key: str = "url") -> tuple[DataFrame, DataFrame]:
     """((token, d), (t1, t2, d)): -1 for each document that goes, +1 for each that comes; zeros left out."""
-    df = members(old).select("token", F.lit(-1).alias("d")).union(members(new).select("token", F.lit(1)))
+    df = members(old, key).select("token", F.lit(-1).alias("d")).union(members(new, key).select("token", F.lit(1)))
     pairs = doc_pairs(old).select("t1", "t2", F.lit(-1).alias("d")).union(doc_pairs(new).select("t1", "t2", F.lit(1)))
     add = lambda x, *k: x.groupBy(*k).agg(F.sum("d").cast("long").alias("d")).where("d <> 0")
     return add(df, "token"), add(pairs, "t1", "t2")
