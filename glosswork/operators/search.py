@@ -12,10 +12,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import Damping, Weights, association, authority, damping, recency, total
+from ..functions.scores import Weights, association, authority, damping, recency, total
 from ..functions.text import jaccard
 from ..runtime import cut, light
-from .stats import frequencies, members
+from .stats import frequencies, members, numbered
 
 
 def candidates(docs: DataFrame, queries: DataFrame, limit: int, wanted: str = "wanted") -> DataFrame:
@@ -28,26 +28,37 @@ def candidates(docs: DataFrame, queries: DataFrame, limit: int, wanted: str = "w
     return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).drop("r")
 
 
-def query_pairs(docs: DataFrame, queries: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """(qt, dt, n, df_q, df_d) of each query token with every other token that shares a document with it."""
-    asked = light(queries.select(F.explode(tokens).alias("qt")).distinct())
-    occ = members(docs)
-    df = frequencies(occ)
-    held = occ.join(asked, F.col("token") == F.col("qt"), "left_semi").groupBy("doc_id").agg(F.collect_list("token").alias("qs"))
-    pairs = occ.join(held, "doc_id").select(F.explode("qs").alias("qt"), F.col("token").alias("dt")).where("qt <> dt").groupBy("qt", "dt").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.join(df.select(F.col("token").alias("qt"), F.col("df").alias("df_q")), "qt").join(df.select(F.col("token").alias("dt"), F.col("df").alias("df_d")), "dt")
+class Index:
+    """The corpus by token numbers: documents as arrays of numbers, the vocabulary, and the pairs of query tokens."""
 
+    def __init__(self, docs: DataFrame, queries: DataFrame, min_df: int):
+        occ = members(docs)
+        self.vocabulary = numbered(frequencies(occ))
+        words = light(self.vocabulary)
+        self.docs = cut(occ.join(words, "token").groupBy("doc_id").agg(F.collect_list("id").alias("ids"), F.count_if(F.col("df") >= min_df).alias("common")))
+        each = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("qt"))
+        # tokens that the corpus doesn't have keep a null number
+        self.asked = cut(each.join(words.withColumnRenamed("token", "qt"), "qt", "left").select("query_id", "qt", F.col("id").alias("qi"), F.col("df").alias("df_q")))
+        wanted = light(self.asked.where("qi is not null").select("qi", "df_q").distinct())
+        # (doc_id, qi, df_q) of the query tokens in each document
+        self.held = self.docs.select("doc_id", "common", F.explode("ids").alias("qi")).join(wanted, "qi")
+        self.min_df = min_df
 
-def pair_scores(pairs: DataFrame, n: int, normal: bool = True) -> DataFrame:
-    return pairs.select("qt", "dt", "df_d", association(F.col("n"), F.col("df_q"), F.col("df_d"), F.lit(n), normal).alias("score"))
+    def pairs(self, held: DataFrame) -> DataFrame:
+        """(qi, di, n): numbers only, summed map side."""
+        qs = held.groupBy("doc_id").agg(F.collect_list("qi").alias("qs"))
+        both = self.docs.join(qs, "doc_id").select("qs", F.explode("ids").alias("di"))
+        return both.select(F.explode("qs").alias("qi"), "di").where("qi <> di").groupBy("qi", "di").agg(F.count(F.lit(1)).alias("n"))
 
+    def near(self) -> DataFrame:
+        """(qi, near): how many tokens of at least min_df documents a query token meets, ten at most.
 
-def query_damping(scores: DataFrame, found: DataFrame, queries: DataFrame, min_df: int = 5, d: Damping = Damping()) -> DataFrame:
-    """(query_id, qt, factor): up to ten neighbours of the token over ten times the query's candidates."""
-    near = scores.where(F.col("df_d") >= min_df).groupBy("qt").agg(F.least(F.lit(10), F.count(F.lit(1))).alias("near"))
-    sizes = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("held"))
-    each = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("qt")).join(sizes, "query_id")
-    return each.join(near, "qt", "left").select("query_id", "qt", damping(F.coalesce("near", F.lit(0)) / (10.0 * F.col("held")), d).alias("factor"))
+        One document with ten others settles it; only tokens without such a document need their pairs."""
+        others = F.col("common") - (F.col("df_q") >= self.min_df).cast("int")
+        most = cut(self.held.groupBy("qi").agg(F.max(others).alias("m")))
+        few = most.where("m < 10")
+        counted = self.pairs(self.held.join(light(few), "qi", "left_semi")).join(self.vocabulary.select(F.col("id").alias("di"), "df"), "di").where(F.col("df") >= self.min_df).groupBy("qi").agg(F.least(F.lit(10), F.count(F.lit(1))).alias("near"))
+        return most.where("m >= 10").select("qi", F.lit(10).cast("long").alias("near")).union(counted.select("qi", F.col("near").cast("long")))
 
 
 def breakdown(docs: DataFrame, queries: DataFrame, now: datetime, k: int = 3, weights: Weights = Weights(), normal: bool = True, min_df: int = 5, damped: bool = True) -> DataFrame:
@@ -57,11 +68,15 @@ def breakdown(docs: DataFrame, queries: DataFrame, now: datetime, k: int = 3, we
     docs = cut(docs.select("doc_id", "tokens", "cats", "published_at", "links_out"))
     n = docs.count()
     found = cut(candidates(docs, queries, 4 * k))
-    scores = cut(pair_scores(query_pairs(docs, queries), n, normal))
-    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("qt"))
-    top = found.select("query_id", "doc_id").join(docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("dt")), "doc_id").join(asked, "query_id").join(scores, ["qt", "dt"])
-    best = top.groupBy("query_id", "doc_id", "qt").agg(F.greatest(F.lit(0.0), F.max("score")).alias("best"))
-    factors = query_damping(scores, found, queries, min_df) if damped else asked.withColumn("factor", F.lit(1.0))
+    index = Index(docs, queries, min_df)
+    df_d = index.vocabulary.select(F.col("id").alias("di"), F.col("df").alias("df_d"))
+    held = found.select("query_id", "doc_id").join(index.docs.select("doc_id", F.explode("ids").alias("di")), "doc_id").join(df_d, "di")
+    top = held.join(index.asked, "query_id").join(index.pairs(index.held), ["qi", "di"])
+    score = association(F.col("n"), F.col("df_q"), F.col("df_d"), F.lit(n), normal)
+    best = top.groupBy("query_id", "doc_id", "qt").agg(F.greatest(F.lit(0.0), F.max(score)).alias("best"))
+    sizes = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("held"))
+    factor = damping(F.coalesce("near", F.lit(0)) / (10.0 * F.col("held"))) if damped else F.lit(1.0)
+    factors = index.asked.join(sizes, "query_id").join(index.near(), "qi", "left").select("query_id", "qt", factor.alias("factor"))
     every = found.select("query_id", "doc_id").join(factors, "query_id").join(best, ["query_id", "doc_id", "qt"], "left")
     parts = every.groupBy("query_id", "doc_id").agg((F.sum(F.coalesce("best", F.lit(0.0)) * F.col("factor")) / F.count(F.lit(1))).alias("pmi"), F.avg("factor").alias("damping"))
     out = found.join(docs.drop("published_at"), "doc_id").join(queries.select("query_id", F.col("cats").alias("__qc")), "query_id").join(parts, ["query_id", "doc_id"], "left")
