@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 #: Rows that may be sent to every executor. Beyond it the operators shuffle instead.
 BROADCAST_ROWS = 1_000_000
 #: Characters that one vectorised step handles at a time; longer texts are one step of their own.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 WORD = re.compile(r"\w+")
 
 
 def session(df: DataFrame) -> SparkSession:
     """The session of a frame, with Arrow batches small enough for long texts."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 

@@ -87,9 +87,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_c
     return names, w
 
 
-def members(docs: DataFrame, names: list[str], w: np.ndarray, id_col: str, text_col: str, drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs (without drop) and __gw_tokens, __gw_post."""
+def members(docs: DataFrame, names: list[str], w: np.ndarray, id_col: str, text_col: str, drop: tuple[str, ...] = (), steps: list[np.ndarray] | None = None) -> DataFrame:
+    """docs (without drop) and __gw_tokens, __gw_post; with steps also __gw_rate, in the same pass over the texts."""
     kept = [f for f in docs.schema.fields if f.name not in drop]
+    added = [T.StructField("__gw_tokens", T.LongType()), T.StructField("__gw_post", T.ArrayType(T.DoubleType()))] + [T.StructField("__gw_rate", T.DoubleType())] * (steps is not None)
 
     def run(tables):
         for table in tables:
@@ -100,9 +101,10 @@ def members(docs: DataFrame, names: list[str], w: np.ndarray, id_col: str, text_
                 post.append(softmax(x @ w[:, :-1].T + w[:, -1]) if names else np.zeros((len(texts), 0)))
             post = np.concatenate(post) if post else np.zeros((0, len(names)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(post) + 1) * len(names), pa.int32()), pa.array(post.ravel()))
-            yield pa.RecordBatch.from_arrays([*[table.column(f.name) for f in kept], pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), lists], names=[*[f.name for f in kept], "__gw_tokens", "__gw_post"])
+            rate = [] if steps is None else [pa.array(replay(post, steps))]
+            yield pa.RecordBatch.from_arrays([*[table.column(f.name) for f in kept], pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), lists, *rate], names=[f.name for f in [*kept, *added]])
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("__gw_tokens", T.LongType()), T.StructField("__gw_post", T.ArrayType(T.DoubleType()))]))
+    return docs.mapInArrow(run, T.StructType([*kept, *added]))
 
 
 def replay(post: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -162,14 +164,7 @@ def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     names, w = fit(docs, labels, id_col, text_col, domain_col, max_labelled)
     table = cut(members(docs.select(F.col(id_col).alias("__gw_id"), F.col(text_col).alias("__gw_t")), names, w, "__gw_id", "__gw_t", ("__gw_id", "__gw_t")))
     steps, _, _ = solve(table, names, TARGETS if targets is None else targets, total, rounds, tolerance)
-    out = members(docs, names, w, id_col, text_col, drop)
-
-    def run(tables):
-        for b in tables:
-            r = replay(_matrix(b.column("__gw_post"), len(names)), steps) if names else np.ones(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], names=[*b.schema.names, "__gw_rate"])
-
-    return out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField("__gw_rate", T.DoubleType())])), names
+    return members(docs, names, w, id_col, text_col, drop, steps), names
 
 
 def rates(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
