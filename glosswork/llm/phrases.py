@@ -5,11 +5,13 @@ found in at least two documents. Every occurrence in every document is located:
 
 1. Each window is keyed by its least K-word gram (winnowing: neighbouring windows mostly share it, so a document of n
    words gives about n / 13 keys). Keys of two or more documents stay.
-2. Confirmation: the windows under those keys are counted by key and 64-bit window hash; the ones of two or more
-   documents are recurring, and the smallest (id, place) is where the window lives.
+2. Confirmation: the windows under those keys, as runs with one 64-bit hash a window, meet at their key (equal windows
+   have equal keys, so one shuffle settles them). A window of two or more documents is recurring, and the smallest
+   (id, place) is where it lives. A key's rows are read in order of the documents; of a hot key only one row for each
+   different window is held from one chunk to the next.
 3. Runs of consecutive recurring windows in the documents where they live are the passages. They are sharded by that
-   document, and each shard becomes an Aho-Corasick automaton (pyahocorasick over word numbers) of SEED-word seeds at
-   every STRIDE words: any window of MIN_WORDS words holds a whole seed.
+   document, and each shard becomes an Aho-Corasick automaton (pyahocorasick over word numbers) of SEED-word seeds, at most
+   STRIDE words apart and away from the ends: any window of MIN_WORDS words holds a whole seed.
 4. All documents that hold a recurring window are streamed through the automata of the shards where their windows live; a
    hit is extended to both sides word by word and counts from MIN_WORDS words on.
 
@@ -41,6 +43,8 @@ STRIDE = MIN_WORDS - SEED + 1
 BROADCAST_KEYS = 4_000_000
 #: Passage words of a shard, about.
 SHARD_WORDS = 250_000
+#: Window runs that one step of the confirmation handles.
+STEP_RUNS = 40_000
 #: Documents that one task streams through a shard, about.
 TASK_DOCS = 4_000
 
@@ -130,6 +134,72 @@ def window_rows(rows: DataFrame, kind: str, known: np.ndarray | None) -> DataFra
     return rows.mapInArrow(run, f"h long, id {kind}, k long, first int, ws array<long>")
 
 
+def _settle(h: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, ws: np.ndarray):
+    """Of rows in the order (key, document, place): (row, home row, home place, windows) of each run of recurring windows
+    that live in a row one after the other, and (row, place in it) of one window of each kind of the last key."""
+    row = np.repeat(np.arange(len(h)), n)
+    at = np.arange(len(ws)) - np.repeat(np.cumsum(n) - n, n)
+    order = np.lexsort([ws, h[row]])  # stable: documents and places stay in order
+    w, r = ws[order], row[order]
+    new = np.r_[True, (w[1:] != w[:-1]) | (h[r[1:]] != h[r[:-1]])]
+    start = np.flatnonzero(new)
+    end = np.r_[start[1:], len(w)] - 1
+    recurs = doc[r[start]] != doc[r[end]]
+    kind = np.cumsum(new) - 1
+    home = np.empty(len(ws), np.int64)  # the flat window where each lives, -1 for windows of one document
+    home[order] = np.where(recurs, order[start], -1)[kind]
+    ok = np.flatnonzero(home >= 0)
+    kept = order[start[h[r[start]] == h[-1]]]
+    if not len(ok):
+        none = np.zeros(0, np.int64)
+        return (none, none, none, none), (row[kept], at[kept])
+    hr, hp = row[home[ok]], first[row[home[ok]]] + at[home[ok]]
+    cut_at = np.flatnonzero(np.r_[True, (row[ok][1:] != row[ok][:-1]) | (hr[1:] != hr[:-1]) | (hp[1:] != hp[:-1] + 1)])
+    return (row[ok][cut_at], hr[cut_at], hp[cut_at], np.diff(np.r_[cut_at, len(ok)])), (row[kept], at[kept])
+
+
+def _confirm(step: int):
+    """Rows (h, id, k, first, ws) in order become (hid, hk, at, n, id, k): n windows from place at of hid are in id."""
+
+    def run(tables):
+        held, size = [], 0
+
+        def settled(table, last):
+            """The runs of table, and what is carried on where its last key may go on."""
+            h = np.asarray(table.column("h"))
+            lists = table.column("ws")
+            first, n = np.asarray(table.column("first")).astype(np.int64), np.asarray(lists.value_lengths()).astype(np.int64)
+            ids, k = table.column("id"), np.asarray(table.column("k"))
+            code = np.asarray(ids.dictionary_encode().indices).astype(np.int64)
+            ws = np.asarray(lists.flatten())
+            (r, hr, hp, m), (cr, cp) = _settle(h, code, first, n, ws)
+            out = pa.RecordBatch.from_arrays([ids.take(pa.array(hr)), pa.array(k[hr]), pa.array(hp.astype(np.int32)), pa.array(m.astype(np.int32)), ids.take(pa.array(r)), pa.array(k[r])], names=["hid", "hk", "at", "n", "id", "k"])
+            if last:
+                return out, None
+            order = np.lexsort([cp, cr])
+            cr, cp = cr[order], cp[order]
+            flat = (np.cumsum(n) - n)[cr] + cp
+            one = pa.ListArray.from_arrays(pa.array(np.arange(len(cr) + 1, dtype=np.int32)), pa.array(ws[flat]))
+            return out, pa.RecordBatch.from_arrays([pa.array(h[cr]), ids.take(pa.array(cr)), pa.array(k[cr]), pa.array((first[cr] + cp).astype(np.int32)), one], names=["h", "id", "k", "first", "ws"])
+
+        def joined():
+            return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+        for table in tables:
+            if not table.num_rows:
+                continue
+            held.append(pa.RecordBatch.from_arrays([table.column(c) for c in ("h", "id", "k", "first", "ws")], schema=held[0].schema) if held else table)
+            size += table.num_rows
+            if size >= step:
+                out, carry = settled(joined(), False)
+                yield out
+                held, size = [pa.RecordBatch.from_arrays(carry.columns, schema=table.schema)], 0
+        if held:
+            yield settled(joined(), True)[0]
+
+    return run
+
+
 def _passages(tables):
     """(shard, id, first, words) of the runs of consecutive places in the texts where they live."""
     words = Words()
@@ -139,7 +209,9 @@ def _passages(tables):
         places = table.column("places")
         for start, texts in batches(table, "t"):
             for i, t in enumerate(texts):
-                at = np.sort(np.asarray(places[start + i].values))
+                runs = places[start + i].values
+                first, n = np.asarray(runs.field("at")), np.asarray(runs.field("n"))
+                at = np.unique(np.concatenate([np.arange(a, a + m) for a, m in zip(first.tolist(), n.tolist())]))
                 flat = np.array(list(map(words.__getitem__, t.lower().split())), np.uint64)
                 for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                     out.append((start + i, int(run[0]), flat[run[0] : run[-1] + MIN_WORDS].view(np.int64)))
@@ -147,6 +219,15 @@ def _passages(tables):
         yield pa.RecordBatch.from_arrays([table.column("shard").take(take), table.column("id").take(take), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["shard", "id", "first", "words"])
 
 
+def seed_places(n: int) -> list[int]:
+    """Where the seeds of a passage of n words begin: every window holds a whole one, and each holds a word that isn't
+    only in the outer MIN_WORDS - 1 words, which the passage may share with many others."""
+    last = n - MIN_WORDS
+    if last < STRIDE:
+        return [min(max((n - SEED) // 2, last), STRIDE - 1)]
+    return [*range(STRIDE - 1, last, STRIDE), last]
+
+
 class Shard:
     """The automaton of a shard's passages."""
 
@@ -161,7 +242,7 @@ class Shard:
         seeds: dict[tuple, list[tuple[int, int]]] = {}
         for n, (_, _, w) in enumerate(self.passages):
             short = (w & np.uint64(0x7FFFFFFF)).tolist()
-            for o in range(0, len(w) - SEED + 1, STRIDE):
+            for o in seed_places(len(w)):
                 seeds.setdefault(tuple(short[o : o + SEED]), []).append((n, o))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for s, at in seeds.items():
@@ -220,7 +301,7 @@ def _stream(tables):
         yield pa.RecordBatch.from_arrays(cols, names=["id", "k", "s", "e", "first_doc", "first_start"])
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS, shard_words: int = SHARD_WORDS, task_docs: int = TASK_DOCS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS, shard_words: int = SHARD_WORDS, task_docs: int = TASK_DOCS, step_runs: int = STEP_RUNS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """id, start_word, n_words of every repeated passage, and first_doc, first_start: where its beginning is found first."""
     session(docs)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -228,19 +309,18 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = cut(recurring_keys(rows, kind))
     if known.limit(broadcast_keys + 1).count() <= broadcast_keys:
         found = np.sort(np.asarray(known.toArrow().column("h").combine_chunks()).view(np.uint64))
-        keyed = cut(window_rows(rows, kind, found))
+        keyed = window_rows(rows, kind, found)
     else:
-        keyed = cut(window_rows(rows, kind, None).join(known.hint("merge"), "h", "left_semi"))
-    each = keyed.select("h", "id", "k", "first", F.posexplode("ws").alias("p", "w"))
-    confirmed = each.groupBy("h", "w").agg(F.min(F.struct("id", "k", (F.col("first") + F.col("p")).alias("at"))).alias("home"), F.max("id").alias("last")).where("home.id < last")
-    confirmed = cut(confirmed.select("h", "w", "home.id", "home.k", "home.at"))
-    n_shards = max(1, -(-confirmed.count() // shard_words))
-    shard = F.pmod(F.xxhash64("id", "k"), F.lit(n_shards)).cast("int")
-    homes = cut(confirmed.groupBy("id", "k").agg(F.collect_list("at").alias("places")).withColumn("shard", shard))
+        keyed = window_rows(rows, kind, None).join(known.hint("merge"), "h", "left_semi")
+    met = keyed.select("h", "id", "k", "first", "ws").repartition("h").sortWithinPartitions("h", "id", "k", "first")
+    runs = cut(met.mapInArrow(_confirm(step_runs), f"hid {kind}, hk long, at int, n int, id {kind}, k long"))
+    # the place where a window lives is among its occurrences
+    own = runs.where((F.col("id") == F.col("hid")) & (F.col("k") == F.col("hk")))
+    n_shards = max(1, -(-(own.agg(F.sum("n")).first()[0] or 0) // shard_words))
+    shard = lambda i, k: F.pmod(F.xxhash64(i, k), F.lit(n_shards)).cast("int")
+    homes = cut(own.groupBy(F.col("hid").alias("id"), F.col("hk").alias("k")).agg(F.collect_list(F.struct("at", "n")).alias("places")).withColumn("shard", shard("id", "k")))
     # a key may recur in many contexts: only the windows themselves say where a document must go
-    here = each.select("h", "w", F.col("id").alias("d"), F.col("k").alias("dk"))
-    routes = here.join(confirmed.select("h", "w", shard.alias("shard")), ["h", "w"]).select("d", "dk", "shard").distinct()
-    routes = cut(routes)
+    routes = cut(runs.select(F.col("id").alias("d"), F.col("k").alias("dk"), shard("hid", "hk").alias("shard")).distinct())
     n_routes = routes.count()
     salts = max(1, -(-n_routes // (n_shards * task_docs)))
     distinct = rows.dropDuplicates(["id", "k"]) if rows.groupBy("id", "k").count().where("count > 1").limit(1).count() else rows

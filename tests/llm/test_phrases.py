@@ -65,3 +65,10 @@ def test_equals_brute_force_with_many_shards_by_shuffle(spark):
 def test_empty_and_without_repeats(spark):
     assert phrases.occurrences(frame(spark, [], DOCS)).count() == 0
     assert got(phrases.occurrences(frame(spark, [(1, "a b c", "en", "s", 1), (2, None, "en", "s", 1)]))) == []
+
+
+def test_every_window_holds_a_seed_with_a_word_of_its_own():
+    for n in range(W, 400):
+        at = phrases.seed_places(n)
+        assert all(any(i <= o <= i + W - phrases.SEED for o in at) for i in range(n - W + 1))
+        assert all(o + phrases.SEED > min(W - 1, n - W) and o <= max(W - 1, n - W) for o in at)
