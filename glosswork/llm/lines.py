@@ -251,7 +251,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
                     c = mph.counts(np.asarray(part.column("h")).view(np.uint64))
                     far = pa.array(c > max_docs)
                     yield pa.RecordBatch.from_arrays([part.column("k").filter(far), part.column("h").filter(far)], names=["k", "h"])
-        del raws, h
 
     # a document's key is its content: equal rows get equal answers
     keyed = rows.withColumn("k", F.xxhash64("t"))
