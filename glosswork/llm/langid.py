@@ -272,7 +272,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         none = F.lit(None)
         return docs.select(F.col(id_col), F.lit("und").alias("language"), none.cast("string").alias("best"), none.cast("double").alias("bits"), F.lit(0).cast("long").alias("symbols"))
     got = cut(scores(rows, names, models))
-    name = F.element_at(F.array(*map(F.lit, names)), F.col("best") + 1)
+    # under ANSI mode element_at takes its index for not null
+    name = F.when(F.col("best").isNotNull(), F.element_at(F.array(*map(F.lit, names)), F.col("best") + 1))
     got = got.withColumn("name", name)
     own = got.where((F.col("name") == F.col("lang")) & (F.col("symbols") >= MIN_SYMBOLS))
     limits = {x: (q + margin) for x, q in own.where("held").groupBy("name").agg(F.percentile_approx("bits", quantile, 10_000).alias("q")).collect()}
