@@ -33,10 +33,10 @@ def data():
     rng = random.Random(8)
     items = [(k, prose(rng, "en", 14)) for k in range(12)] + [(90, None), (91, "short"), (92, ""), (None, prose(rng, "fr", 14))]
     docs = rows(30, 9, 10, 30)
-    for k in range(14):
+    for k in range(30):
         p = rng.choice(items[:12])[1]
         q = list(p)
-        for _ in range(rng.randint(0, 7)):
+        for _ in range(rng.randint(0, 5)):
             at = rng.randrange(len(q))
             q[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "yy"])
         docs.append((200 + k, prose(rng, "de", 6) + " " + "".join(q).upper() + "\n" + prose(rng, "de", 6), "en", "s", 1))
