@@ -86,3 +86,27 @@ def test_odd_rows_clashing_columns_empty_tables(spark):
     none = spark.createDataFrame([], LABELS)
     assert quality.keep(frame(spark, data), none).count() == len(data)
     assert quality.keep(frame(spark, data), spark.createDataFrame([(0, 1, 0)], LABELS)).count() == len(data)
+
+
+def test_toxic_documents_go_and_clean_ones_stay(spark):
+    rng = random.Random(54)
+    docs, marks, given = rows(800, 54), ["vile", "wretch", "filth"], []
+    docs = [(i, t, lang, "src0", c) for i, t, lang, _, c in docs]
+    toxic = {i for i in range(800) if rng.random() < 0.15} | {799}
+    for k, (i, t, lang, s, c) in enumerate(docs):
+        w = t.split() * (40 if i == 799 else 1)  # the last is long and has its insults at the end
+        for mark in rng.sample(marks, rng.randint(1, 3)) if i in toxic else ():
+            w.insert(len(w) if i == 799 else rng.randrange(len(w)), mark)
+        docs[k] = (i, " ".join(w), lang, s, c)
+        if i % 2 == 0:
+            given.append((i, 1, int(i in toxic)))
+    kept = {r["doc_id"] for r in quality.keep(frame(spark, docs), spark.createDataFrame(given, LABELS)).collect()}
+    held = [i for i in range(800) if i % 2]
+    assert not [i for i in held if i in toxic and i in kept]
+    assert not [i for i in held if i not in toxic and i not in kept]
+
+
+def test_null_toxic_is_no_label_and_toxic_alone_is_bad(spark):
+    table = spark.createDataFrame([(1, 1, None), (2, None, 1), (3, None, 0), (4, 1, 1), (5, 0, 0), (6, 1, 0), (6, 1, 1)], LABELS)
+    got = {r["__gw_lid"]: r["__gw_y"] for r in quality.labelled(table, "doc_id", "quality", "toxic").collect()}
+    assert got == {1: 1.0, 2: 0.0, 4: 0.0, 5: 0.0, 6: 0.5}
