@@ -40,9 +40,9 @@ def _stats(spark: SparkSession, sf: str, stops=()) -> tuple[DataFrame, int, Data
     return d, d.count(), occ, stats.frequencies(occ)
 
 
-def _banded(spark, sf, normal=True):
+def _banded(spark, sf, normal=True, vocabulary=PAIR):
     d, n, occ, df = _stats(spark, sf)
-    return d, n, stats.scored(stats.pairs(occ, stats.band(df, n, **PAIR)), n, normal)
+    return d, n, stats.scored(stats.pairs(occ, stats.band(df, n, **vocabulary)), n, normal)
 
 
 def _common(spark, sf):
@@ -109,16 +109,16 @@ def skipgram_counts(spark, sf):
     return stats.skipgrams(_docs(spark, sf)).where("n >= 5")
 
 
-def doc_pair_counts(spark, sf):
-    return _banded(spark, sf)[2].where("n >= 5").select("t1", "t2", "n")
+def doc_pair_counts(spark, sf, vocabulary=PAIR, least=5):
+    return _banded(spark, sf, True, vocabulary)[2].where(F.col("n") >= least).select("t1", "t2", "n")
 
 
-def pmi_pairs(spark, sf):
-    return _banded(spark, sf, False)[2].where("n >= 5").select("t1", "t2", "n", _r("score"))
+def pmi_pairs(spark, sf, vocabulary=PAIR, least=5):
+    return _banded(spark, sf, False, vocabulary)[2].where(F.col("n") >= least).select("t1", "t2", "n", _r("score"))
 
 
-def npmi_pairs(spark, sf):
-    return _banded(spark, sf)[2].where("n >= 5").select("t1", "t2", "n", _r("score"))
+def npmi_pairs(spark, sf, vocabulary=PAIR, least=5):
+    return _banded(spark, sf, True, vocabulary)[2].where(F.col("n") >= least).select("t1", "t2", "n", _r("score"))
 
 
 def basket_npmi(spark, sf):
@@ -133,8 +133,8 @@ def event_pair_npmi(spark, sf):
     return stats.scored(stats.pairs(occ, stats.frequencies(occ)), n).select("t1", "t2", "n", _r("score"))
 
 
-def top_neighbors(spark, sf):
-    return stats.neighbors(_banded(spark, sf)[2]).select("token", "neighbor", "n", _r("score"), F.col("rank").cast("long").alias("rank"))
+def top_neighbors(spark, sf, vocabulary=PAIR):
+    return stats.neighbors(_banded(spark, sf, True, vocabulary)[2]).select("token", "neighbor", "n", _r("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def phrase_pairs(spark, sf):
@@ -172,16 +172,16 @@ def stopword_candidates(spark, sf):
     return tuning.stop_candidates(tuning.stopword_stats(df, n, stats.damped(found, factors), ent), STOP).select("token", "df", _r("pmi_max"), (F.round("entropy", 6) + 0.0).alias("entropy"), "bootstrap", _r("score"))
 
 
-def _rules(spark, sf):
-    return tuning.rules(_banded(spark, sf)[2], 0.5, 5)
+def _rules(spark, sf, vocabulary=PAIR):
+    return tuning.rules(_banded(spark, sf, True, vocabulary)[2], 0.5, 5)
 
 
-def rule_suggestions(spark, sf):
-    return _rules(spark, sf).where("confidence >= 0.6").select("relation", "subject", "object", _r("score"), "support", _r("confidence"))
+def rule_suggestions(spark, sf, vocabulary=PAIR):
+    return _rules(spark, sf, vocabulary).where("confidence >= 0.6").select("relation", "subject", "object", _r("score"), "support", _r("confidence"))
 
 
-def rule_export(spark, sf):
-    return tuning.rule_lines(_rules(spark, sf).withColumn("confidence", F.round("confidence", 6)))
+def rule_export(spark, sf, vocabulary=PAIR):
+    return tuning.rule_lines(_rules(spark, sf, vocabulary).withColumn("confidence", F.round("confidence", 6)))
 
 
 def taxonomy_assign(spark, sf):
@@ -255,8 +255,8 @@ def batch_search(spark, sf):
     return search.top_k(_searched(spark, sf, False)[2]).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), _r("total"))
 
 
-def retrieve_with_neighbors(spark, sf):
-    near = stats.cut(stats.neighbors(_banded(spark, sf)[2]))
+def retrieve_with_neighbors(spark, sf, vocabulary=PAIR):
+    near = stats.cut(stats.neighbors(_banded(spark, sf, True, vocabulary)[2]))
     return search.with_neighbors(_docs(spark, sf), _queries(spark, sf, False), near)
 
 
@@ -268,16 +268,16 @@ def cards(spark, sf):
     return out.select("id", "query_id", show(F.col("bullets")).alias("bullets"), show(F.transform("sources", lambda x: x["url"])).alias("urls"), show(F.col("matched")).alias("matched"), F.col("breakdown")["total"].alias("total"))
 
 
-def collisions(spark, sf):
+def collisions(spark, sf, vocabulary=PAIR):
     q = _queries(spark, sf, False)
-    found = stats.cut(_banded(spark, sf)[2])
+    found = stats.cut(_banded(spark, sf, True, vocabulary)[2])
     best = stats.neighbors(found, 1).select("token", F.col("score").alias("strength"))
     strengths = q.select("query_id", F.posexplode("tokens").alias("pos", "token")).join(best, "token")
     return signals.collisions(strengths, found).select("query_id", "a", "b", _r("strength_a"), _r("strength_b"), _r("joint"), _r("surprise"))
 
 
-def prediction_error(spark, sf):
-    near = stats.neighbors(_banded(spark, sf)[2])
+def prediction_error(spark, sf, vocabulary=PAIR):
+    near = stats.neighbors(_banded(spark, sf, True, vocabulary)[2])
     d, q = stats.cut(_docs(spark, sf).select("doc_id", "published_at", "tokens")), _queries(spark, sf, False)
     return signals.prediction_error(near, q, search.candidates(d, q, 12, "tokens"), d).select("query_id", "predicted", "actual", "shared", "missing", "unexpected", _r("error"))
 
@@ -320,17 +320,17 @@ def phrase_parse(spark, sf):
     return _docs(spark, sf).select("doc_id", p.column(F.col("tokens")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.filter("t", lambda x: x.contains(" "))).cast("long").alias("n_phrases"))
 
 
-def _edges(spark, sf):
-    return _banded(spark, sf)[2].where("n >= 5 and score >= 0.5")
+def _edges(spark, sf, vocabulary=PAIR):
+    return _banded(spark, sf, True, vocabulary)[2].where("n >= 5 and score >= 0.5")
 
 
-def clusters(spark, sf):
-    e = _edges(spark, sf).select(F.col("t1").alias("a"), F.col("t2").alias("b"))
+def clusters(spark, sf, vocabulary=PAIR):
+    e = _edges(spark, sf, vocabulary).select(F.col("t1").alias("a"), F.col("t2").alias("b"))
     return graph.clusters(e).select("root", F.array_join("tokens", ",").alias("tokens"), "size")
 
 
-def synonym_groups(spark, sf):
-    e = stats.cut(_edges(spark, sf).select(F.col("t1").alias("a"), F.col("t2").alias("b"), "score", "n"))
+def synonym_groups(spark, sf, vocabulary=PAIR):
+    e = stats.cut(_edges(spark, sf, vocabulary).select(F.col("t1").alias("a"), F.col("t2").alias("b"), "score", "n"))
     return graph.synonym_groups(e).select("canonical", F.array_join("variants", ",").alias("variants"), _r("score"), "support")
 
 

@@ -1,0 +1,21 @@
+"""Queries of the roster over everything that is counted, without the shares or floors of its SQL. They have no SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import roster
+
+#: All tokens; and those that may be neighbours (P2), which rules, clusters and expansion take theirs from.
+EVERY = {"floor": 1}
+NEAR = {"floor": 5}
+
+_PAIRS = {f.__name__: partial(f, vocabulary=EVERY, least=1) for f in (roster.doc_pair_counts, roster.pmi_pairs, roster.npmi_pairs)} | {f.__name__: partial(f, vocabulary=NEAR) for f in (roster.top_neighbors, roster.rule_suggestions, roster.rule_export, roster.clusters, roster.synonym_groups, roster.collisions, roster.prediction_error, roster.retrieve_with_neighbors)}
+_ALL = _PAIRS
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f"whole_{name}": f for name, f in _ALL.items()}
