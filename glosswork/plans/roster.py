@@ -45,11 +45,11 @@ def _banded(spark, sf, normal=True, vocabulary=PAIR):
     return d, n, stats.scored(stats.pairs(occ, stats.band(df, n, **vocabulary)), n, normal)
 
 
-def _common(spark, sf):
+def _common(spark, sf, least=COMMON):
     d, n, occ, df = _stats(spark, sf)
     df = stats.cut(df)
-    found = stats.cut(stats.scored(stats.pairs(occ, stats.band(df, n, COMMON)), n))
-    factors = stats.cut(stats.damping_factors(found, stats.band(df, n, COMMON), stats.band(df, n, COMMON).count()))
+    found = stats.cut(stats.scored(stats.pairs(occ, stats.band(df, n, least)), n))
+    factors = stats.cut(stats.damping_factors(found, stats.band(df, n, least), stats.band(df, n, least).count()))
     return d, n, df, found, factors
 
 
@@ -137,8 +137,8 @@ def top_neighbors(spark, sf, vocabulary=PAIR):
     return stats.neighbors(_banded(spark, sf, True, vocabulary)[2]).select("token", "neighbor", "n", _r("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def phrase_pairs(spark, sf):
-    d, _, _, found, factors = _common(spark, sf)
+def phrase_pairs(spark, sf, least=COMMON):
+    d, _, _, found, factors = _common(spark, sf, least)
     out = stats.phrase_pairs(stats.bigrams(d), stats.damped(found, factors), 0.01, 200)
     return out.select("a", "b", _r("score"), "bigrams", "support", _r("phrase_score"))
 
@@ -156,18 +156,18 @@ def token_category_entropy(spark, sf):
     return stats.entropies(stats.token_categories(_docs(spark, sf), F.array("outlet"))).select("token", (F.round("entropy", 6) + 0.0).alias("entropy"))
 
 
-def damping_factors(spark, sf):
-    return _common(spark, sf)[4].select("token", "neighbors", _r("factor"))
+def damping_factors(spark, sf, least=COMMON):
+    return _common(spark, sf, least)[4].select("token", "neighbors", _r("factor"))
 
 
-def stopword_stats(spark, sf):
-    d, n, df, found, factors = _common(spark, sf)
+def stopword_stats(spark, sf, least=COMMON):
+    d, n, df, found, factors = _common(spark, sf, least)
     ent = stats.entropies(stats.token_categories(d, F.col("source_cats")))
     return tuning.stopword_stats(df, n, stats.damped(found, factors), ent).select("token", "df", _r("df_percent"), _r("idf"), _r("pmi_max"), (F.round("entropy", 6) + 0.0).alias("entropy"))
 
 
-def stopword_candidates(spark, sf):
-    d, n, df, found, factors = _common(spark, sf)
+def stopword_candidates(spark, sf, least=COMMON):
+    d, n, df, found, factors = _common(spark, sf, least)
     ent = stats.entropies(stats.token_categories(d, F.col("source_cats")))
     return tuning.stop_candidates(tuning.stopword_stats(df, n, stats.damped(found, factors), ent), STOP).select("token", "df", _r("pmi_max"), (F.round("entropy", 6) + 0.0).alias("entropy"), "bootstrap", _r("score"))
 
@@ -363,12 +363,12 @@ def prune_tokens(spark, sf):
 
 
 def autotune_rounds(spark, sf):
-    out, _ = tuning.rounds(_docs(spark, sf), STOP, 3, least=COMMON)
+    out, _ = tuning.rounds(_docs(spark, sf), STOP, 3)
     return out.select(F.col("round").cast("long").alias("round"), "token", "df", _r("score"))
 
 
 def bootstrap_rounds(spark, sf):
-    _, report = bootstrap.run(_docs(spark, sf), STOPS, 3, STOP, least=COMMON)
+    _, report = bootstrap.run(_docs(spark, sf), STOPS, 3, STOP)
     rows = [(r["iteration"], w, r["total_stopwords"]) for r in report for w in r["new_stopwords"] or [None]]
     return spark.createDataFrame(rows, "iteration long, token string, total_stopwords long")
 

@@ -60,3 +60,29 @@ def test_neighbours_of_every_token_of_five_documents(spark, folder):
     for token, y, _, _, rank in sorted(run(spark, folder, "top_neighbors"), key=lambda r: r[4]):
         got.setdefault(token, []).append(y)
     assert max(df.values()) > 0.1 * N and got == {x: [y for _, y in sorted(v)[:10]] for x, v in near.items()}
+
+
+def test_damping_and_pmi_max_are_over_all_pairs(spark, folder):
+    df, n = counted()
+    neighbors, scores = Counter(), {}
+    for (a, b), k in n.items():
+        if npmi(k, df[a], df[b]) >= 0.05:
+            neighbors.update((a, b))
+    got = {t: (k, f) for t, k, f in run(spark, folder, "damping_factors")}
+    assert {t: k for t, (k, _) in got.items()} == {t: neighbors[t] for t in df}
+    for (a, b), k in n.items():
+        x = npmi(k, df[a], df[b]) * math.sqrt(got[a][1] * got[b][1])
+        for t in (a, b):
+            scores[t] = max(scores.get(t, 0.0), x)
+    assert {r[0]: r[4] for r in run(spark, folder, "stopword_stats")} == pytest.approx(scores, abs=5e-6)
+
+
+def test_registered_rounds_count_all_pairs(monkeypatch):
+    seen = []
+    monkeypatch.setattr(whole.roster, "_docs", lambda *_: None)
+    monkeypatch.setattr(whole.roster.tuning, "rounds", lambda *a, least=0.0, **_: seen.append(least) or 1 / 0)
+    monkeypatch.setattr(whole.roster.bootstrap, "run", lambda *a, least=0.0, **_: seen.append(least) or 1 / 0)
+    for f in (whole.roster.autotune_rounds, whole.roster.bootstrap_rounds):
+        with pytest.raises(ZeroDivisionError):
+            f(None, "")
+    assert seen == [0.0, 0.0]
