@@ -101,12 +101,12 @@ def high_df_tokens(spark, sf):
     return stats.frequency_stats(df, n).select("token", "df", _r("df_percent")).orderBy(F.desc("df"), "token").limit(20)
 
 
-def bigram_counts(spark, sf):
-    return stats.bigrams(_docs(spark, sf)).where("n >= 2")
+def bigram_counts(spark, sf, least=2):
+    return stats.bigrams(_docs(spark, sf)).where(F.col("n") >= least)
 
 
-def skipgram_counts(spark, sf):
-    return stats.skipgrams(_docs(spark, sf)).where("n >= 5")
+def skipgram_counts(spark, sf, least=5):
+    return stats.skipgrams(_docs(spark, sf)).where(F.col("n") >= least)
 
 
 def doc_pair_counts(spark, sf, vocabulary=PAIR, least=5):
@@ -357,9 +357,9 @@ def document_upsert(spark, sf):
     return store.upserted(old, new, "url").select("url", "doc_id", F.size("tokens").cast("long").alias("n_tokens"))
 
 
-def prune_tokens(spark, sf):
+def prune_tokens(spark, sf, least=2):
     gone = spark.createDataFrame([(s,) for s in STOPS], "token string")
-    return stats.without_tokens(stats.bigrams(_docs(spark, sf)), gone, "a", "b").where("n >= 2")
+    return stats.without_tokens(stats.bigrams(_docs(spark, sf)), gone, "a", "b").where(F.col("n") >= least)
 
 
 def autotune_rounds(spark, sf):

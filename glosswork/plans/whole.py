@@ -15,7 +15,8 @@ NEAR = {"floor": 5}
 
 _PAIRS = {f.__name__: partial(f, vocabulary=EVERY, least=1) for f in (roster.doc_pair_counts, roster.pmi_pairs, roster.npmi_pairs)} | {f.__name__: partial(f, vocabulary=NEAR) for f in (roster.top_neighbors, roster.rule_suggestions, roster.rule_export, roster.clusters, roster.synonym_groups, roster.collisions, roster.prediction_error, roster.retrieve_with_neighbors)}
 _HUBS = {f.__name__: partial(f, least=0.0) for f in (roster.damping_factors, roster.stopword_stats, roster.stopword_candidates, roster.phrase_pairs)}
-_ALL = _PAIRS | _HUBS
+_COUNTS = {f.__name__: partial(f, least=1) for f in (roster.bigram_counts, roster.skipgram_counts, roster.prune_tokens)}
+_ALL = _PAIRS | _HUBS | _COUNTS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

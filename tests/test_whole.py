@@ -86,3 +86,13 @@ def test_registered_rounds_count_all_pairs(monkeypatch):
         with pytest.raises(ZeroDivisionError):
             f(None, "")
     assert seen == [0.0, 0.0]
+
+
+def test_bigrams_and_skipgrams_have_no_floor(spark, folder):
+    bi, skip = Counter(), Counter()
+    for t in texts():
+        bi.update(zip(t, t[1:]))
+        skip.update({tuple(sorted((t[i], t[j]))) for i in range(len(t)) for j in range(i + 1, min(len(t), i + 5)) if t[i] != t[j]})
+    assert {(a, b): k for a, b, k in run(spark, folder, "bigram_counts")} == dict(bi) and 1 in bi.values()
+    assert {(a, b): k for a, b, k in run(spark, folder, "skipgram_counts")} == dict(skip)
+    assert {(a, b): k for a, b, k in run(spark, folder, "prune_tokens")} == dict(bi)
