@@ -1,17 +1,16 @@
-"""Shared plumbing of the training-data operators: lineage cuts, checked broadcasts, word hashing."""
+"""Shared plumbing of the training-data operators: the shared folder, lineage cuts, stored tables, word hashing."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows that may be sent to every executor. Beyond it the operators shuffle instead.
 BROADCAST_ROWS = 1_000_000
 #: Characters that one vectorised step handles at a time; longer texts are one step of their own.
 STEP_CHARS = 1_000_000
@@ -26,21 +25,54 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there; an own folder only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """A new folder's name inside the folder of spark.checkpoint.dir, which all executors see; it goes with the driver.
+
+    Only a local session, which has no other machine, may be without that setting and gets a folder of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glosswork-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glosswork-"))
+    path = f"{sc.getCheckpointDir().rstrip('/')}/gw-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the shared folder."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        shared(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet and read from there: the planner then knows its size and broadcasts it
+    only below spark.sql.autoBroadcastJoinThreshold."""
+    path = f"{shared(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    return stored(df)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, as it is otherwise. df should be cut before."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("merge")
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with a number where df has such a column already; Spark's names have no case."""
+    taken = {c.lower() for c in df.columns}
+    k, out = 1, name
+    while out.lower() in taken:
+        k, out = k + 1, f"{name}_{k}"
+    return out
 
 
 def batches(table: pa.RecordBatch, text: str, step: int = STEP_CHARS):

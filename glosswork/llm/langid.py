@@ -2,14 +2,18 @@
 
 Text becomes a string of symbols: letters lower-cased and folded into 12 bits, runs of everything else one blank. Five
 symbols make a 60-bit gram. Grams are counted over every labelled document but each tenth (by a hash of the text), map
-side first; pruned counts (at most MAX_GRAMS a language, the rare ones go) give one model a language:
+side first. From all these counts, none left out, comes one model a language:
 
   p(w | c) = max(n(cw) - D, 0) / n(c) + D * kinds(c) / n(c) * p(w | shorter c)
 
-with continuation counts below the top order, D = n1 / (n1 + 2 n2) of each order, and a uniform share at the end.
-Each order is a pair of sorted arrays of gram hashes with values, probed by binary search. A document goes to the
-language of lowest cross-entropy (bits a symbol). The tenth that was held out gives each language its threshold: the
-REJECT_QUANTILE of cross-entropy among its own documents, plus MARGIN bits; above it the answer is "und".
+with continuation counts below the top order, D = n1 / (n1 + 2 n2) of each order (0.5 where n1 or n2 is 0), and at the
+end the uniform share 1 / (A + 1), A being the symbols that the training documents of all languages show.
+
+Counts of grams and contexts of all languages and orders go into the sorted hash arrays of one shelf (shelf.py), sharded
+by hash, which executors map into memory; the driver holds the two numbers D comes from for each language and order,
+and no gram. A document goes to the language of lowest cross-entropy (bits a symbol). The tenth that was held out gives
+each language its threshold: the REJECT_QUANTILE of cross-entropy among its own documents, plus MARGIN bits; above it
+the answer is "und".
 
 Defined cases. Null texts and ones without a symbol: "und" with null cross-entropy. Texts of under MIN_SYMBOLS symbols
 are never rejected (their cross-entropy scatters). Null labels train nothing. Ties: the first language by name.
@@ -28,14 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, cut, read, session
+from .shelf import Shelf, shelve
 
 ORDER = 5
 BITS = 12
 MASK = (1 << BITS) - 1
-#: Most grams of the top order that a language keeps.
-MAX_GRAMS = 300_000
-#: Most languages; the ones with the fewest grams are left out beyond it.
-MAX_LANGS = 200
+MASK_ALL = (1 << BITS * ORDER) - 1
 REJECT_QUANTILE = 0.999
 MARGIN = 0.25
 MIN_SYMBOLS = 40
@@ -123,50 +125,42 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
+def tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((lang, k, key, c), (lang, k, key, total, kinds)) of the grams of k symbols and of their contexts, from the cut
+    counts of the top order. A shorter gram counts the kinds of one more symbol before it."""
+    suffix = lambda k: F.struct(F.lit(k).alias("k"), F.col("g").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("key"))
+    kinds = counts.select("lang", F.explode(F.array(*map(suffix, range(2, ORDER + 1)))).alias("x")).select("lang", "x.k", "x.key").distinct()
+    lower = kinds.select("lang", (F.col("k") - 1).alias("k"), F.expr(f"key & shiftright({MASK_ALL}L, {BITS} * ({ORDER} + 1 - k))").alias("key"))
+    grams_ = cut(lower.groupBy("lang", "k", "key").agg(F.count(F.lit(1)).alias("c")).union(counts.select("lang", F.lit(ORDER).alias("k"), "g", "n")))
+    return grams_, grams_.groupBy("lang", "k", F.shiftright("key", BITS).alias("key")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
+
+
 class Model:
-    """Interpolated Kneser-Ney of one language in sorted hash arrays."""
-
-    def __init__(self, g: np.ndarray, n: np.ndarray):
-        """g: sorted distinct grams of the top order, n: their counts."""
-        self.p: list[np.ndarray] = [np.zeros(0)] * (ORDER + 1)
-        self.keys: list[np.ndarray] = [np.zeros(0, np.int64)] * (ORDER + 1)
-        self.ctx: list[np.ndarray] = [np.zeros(0, np.int64)] * (ORDER + 1)
-        self.gamma: list[np.ndarray] = [np.zeros(0)] * (ORDER + 1)
-        levels = {ORDER: (g, n.astype(float))}
-        for k in range(ORDER - 1, 0, -1):  # continuation counts: kinds of one more symbol before
-            shorter, kinds = np.unique(levels[k + 1][0] & ((1 << BITS * k) - 1), return_counts=True)
-            levels[k] = shorter, kinds.astype(float)
-        self.floor = 1.0 / (1 << 8)
-        for k in range(1, ORDER + 1):
-            key, c = levels[k]
-            n1, n2 = (c == 1).sum(), (c == 2).sum()
-            d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            ctx, where = np.unique(key >> BITS, return_inverse=True)
-            total, kinds = np.bincount(where, weights=c), np.bincount(where)
-            lower = self._lookup(key & ((1 << BITS * (k - 1)) - 1), k - 1)
-            self.keys[k], self.ctx[k] = key, ctx
-            self.gamma[k] = d * kinds / total
-            self.p[k] = np.maximum(c - d, 0) / total[where] + self.gamma[k][where] * lower
-
-    def _lookup(self, q: np.ndarray, k: int) -> np.ndarray:
-        """p of the k-grams q: stored, or by the context's share of the shorter gram."""
+    """Interpolated Kneser-Ney of one language over find(q, tag), which a shelf answers."""
+
+    def __init__(self, lang: str, discounts: dict[int, float], floor: float, shelf: Shelf):
+        self.lang, self.d, self.floor, self.shelf = lang, discounts, floor, shelf
+
+    def _p(self, q: np.ndarray, k: int) -> np.ndarray:
+        """p of the k-grams q."""
         if k == 0:
             return np.full(len(q), self.floor)
-        out = np.empty(len(q))
-        at = np.minimum(np.searchsorted(self.keys[k], q), max(0, len(self.keys[k]) - 1))
-        hit = self.keys[k][at] == q if len(self.keys[k]) else np.zeros(len(q), bool)
-        out[hit] = self.p[k][at[hit]]
-        miss = q[~hit]
-        if len(miss):
-            c = miss >> BITS
-            at = np.minimum(np.searchsorted(self.ctx[k], c), max(0, len(self.ctx[k]) - 1))
-            known = self.ctx[k][at] == c if len(self.ctx[k]) else np.zeros(len(c), bool)
-            out[~hit] = np.where(known, self.gamma[k][at] if len(self.ctx[k]) else 1.0, 1.0) * self._lookup(miss & ((1 << BITS * (k - 1)) - 1), k - 1)
-        return out
+        ctx, back = np.unique(q >> BITS, return_inverse=True)
+        total, kinds = np.zeros(len(ctx)), np.zeros(len(ctx))
+        at, a, b = self.shelf.find(ctx, f"c{k} {self.lang}")
+        total[at], kinds[at] = a, b
+        n = np.zeros(len(q))
+        known = np.flatnonzero(total[back] > 0)  # a gram's context is there if the gram is
+        at, a, _ = self.shelf.find(q[known], f"g{k} {self.lang}")
+        n[known[at]] = a
+        low, where = np.unique(q & ((1 << BITS * (k - 1)) - 1), return_inverse=True)
+        lower = self._p(low, k - 1)[where]
+        t = np.maximum(total, 1)[back]
+        return np.where(total[back] > 0, (np.maximum(n - self.d[k], 0) + self.d[k] * kinds[back] * lower) / t, lower)
 
     def bits(self, q: np.ndarray) -> np.ndarray:
         """-log2 p of top-order grams."""
-        return -np.log2(np.maximum(self._lookup(q, ORDER), 1e-12))
+        return -np.log2(self._p(q, ORDER))
 
 
 class Scorer:
@@ -214,27 +208,22 @@ class Scorer:
         return total, n
 
 
-def train(docs: DataFrame, max_grams: int) -> tuple[list[str], list[Model]]:
+def train(docs: DataFrame) -> tuple[list[str], list[Model]]:
     """Models of all languages among (lang, t)."""
-    counts = cut(gram_counts(docs))
-    level = F.least(F.col("n"), F.lit(1 << 20))
-    hist: dict[str, list[tuple[int, int]]] = {}
-    for lang, n, k in counts.groupBy("lang", F.when(level < 64, level).otherwise(F.pow(2, F.floor(F.log2(level)))).cast("long").alias("c")).count().collect():
-        hist.setdefault(lang, []).append((n, k))
-    names = sorted(sorted(hist, key=lambda x: -sum(k for _, k in hist[x]))[:MAX_LANGS])
-    least = {}
-    for lang in names:
-        room, least[lang] = max_grams, 1 << 62
-        for n, k in sorted(hist[lang], reverse=True):
-            if room < k and least[lang] < 1 << 62:
-                break
-            room, least[lang] = room - k, n
-    if not names:
+    found, contexts = tables(cut(gram_counts(docs)))
+    once, twice = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
+    spread = found.groupBy("lang", "k").agg(once.alias("n1"), twice.alias("n2")).collect()
+    if not spread:
         return [], []
-    floor = F.element_at(F.create_map(*[F.lit(x) for lang in names for x in (lang, least[lang])]), F.col("lang"))
-    rows = counts.where(F.col("lang").isin(names)).where(F.col("n") >= floor).orderBy("lang", "g").toArrow()
-    lang, g, n = np.array(rows.column("lang").to_pylist(), object), np.asarray(rows.column("g")), np.asarray(rows.column("n"))
-    return names, [Model(g[lang == x], n[lang == x]) for x in names]
+    tag = lambda kind: F.concat(F.lit(kind), F.col("k").cast("string"), F.lit(" "), F.col("lang"))
+    entries = found.select(tag("g").alias("tag"), "key", F.col("c").alias("a"), F.lit(0).cast("long").alias("b")).union(contexts.select(tag("c"), "key", "total", "kinds"))
+    shelf = shelve(cut(entries))
+    floor = 1.0 / (found.where("k = 1").select("key").distinct().count() + 1)
+    names = sorted({r["lang"] for r in spread})
+    d: dict[str, dict[int, float]] = {x: {} for x in names}
+    for lang, k, n1, n2 in spread:
+        d[lang][k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    return names, [Model(x, d[x], floor, shelf) for x in names]
 
 
 _LOADED: dict[str, Scorer] = {}
@@ -262,12 +251,12 @@ def scores(docs: DataFrame, names: list[str], models: list[Model]) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, lang string, held boolean, best int, bits double, symbols long")
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS, quantile: float = REJECT_QUANTILE, margin: float = MARGIN) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = REJECT_QUANTILE, margin: float = MARGIN) -> DataFrame:
     """id, language, best (before rejection), bits (cross-entropy a symbol), symbols of every row."""
     session(docs)
     held = F.pmod(F.xxhash64(F.lit("held"), F.col(text_col)), F.lit(HELD_OUT)) == 0
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), held.alias("held"), F.col(text_col).alias("t"))
-    names, models = train(rows.where("lang is not null and t is not null and not held").select("lang", "t"), max_grams)
+    names, models = train(rows.where("lang is not null and t is not null and not held").select("lang", "t"))
     if not names:
         none = F.lit(None)
         return docs.select(F.col(id_col), F.lit("und").alias("language"), none.cast("string").alias("best"), none.cast("double").alias("bits"), F.lit(0).cast("long").alias("symbols"))

@@ -1,61 +1,121 @@
+import math
+import random
+
 import numpy as np
+import pytest
 from glosswork.llm import langid
+from pyspark.sql import functions as F
+
+from .frames import DOCS, clashing, frame, odd, prose, rows
+
+B, K = langid.BITS, langid.ORDER
+
+
+class Naive:
+    """The recursion over dictionaries, from the symbols of the training texts of one language."""
 
-from .frames import DOCS, frame, junk, odd, prose, rows
-
-
-def test_probabilities_sum_to_at_most_one():
-    sym, _ = langid.symbols([r[1] for r in rows(30)])
-    g, n = np.unique(langid.grams(sym)[sym != langid.PAD], return_counts=True)
-    m = langid.Model(g, n)
-    letters = np.unique(sym)
-    for ctx in np.unique(g >> langid.BITS)[:40]:
-        p = 2.0 ** -m.bits((ctx << langid.BITS) | letters.astype(np.int64))
-        assert 0.95 < p.sum() <= 1.0 + 1e-9
-
-
-def test_sorted_arrays_answer_as_the_recursion_does():
-    sym, _ = langid.symbols([r[1] for r in rows(20)])
-    seq = langid.grams(sym)[sym != langid.PAD]
-    g, n = np.unique(seq, return_counts=True)
-    m = langid.Model(g, n)
-    count = [{}, *({} for _ in range(langid.ORDER))]
-    count[langid.ORDER] = dict(zip(g.tolist(), n.tolist()))
-    for k in range(langid.ORDER - 1, 0, -1):
-        for x in count[k + 1]:
-            low = x & ((1 << langid.BITS * k) - 1)
-            count[k][low] = count[k].get(low, 0) + 1
-
-    def d(k):
-        n1, n2 = (sum(v == j for v in count[k].values()) for j in (1, 2))
-        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-
-    ds = [0, *(d(k) for k in range(1, langid.ORDER + 1))]
-    ctx = [{}, *({} for _ in range(langid.ORDER))]
-    for k in range(1, langid.ORDER + 1):
-        for x, c in count[k].items():
-            t = ctx[k].setdefault(x >> langid.BITS, [0, 0])
-            t[0] += c
-            t[1] += 1
-
-    def p(x, k):
-        if k == 0:
-            return m.floor
-        lower = p(x & ((1 << langid.BITS * (k - 1)) - 1), k - 1)
-        if (x >> langid.BITS) not in ctx[k]:
+    def __init__(self, texts, alphabet):
+        self.count = [{} for _ in range(K + 1)]
+        for seq in map(tuples, texts):
+            for x in seq:
+                self.count[K][x] = self.count[K].get(x, 0) + 1
+        for k in range(K - 1, 0, -1):
+            for x in self.count[k + 1]:
+                self.count[k][x[1:]] = self.count[k].get(x[1:], 0) + 1
+        self.floor, self.d, self.ctx = 1 / (alphabet + 1), {}, [{} for _ in range(K + 1)]
+        for k in range(1, K + 1):
+            n1, n2 = (sum(v == j for v in self.count[k].values()) for j in (1, 2))
+            self.d[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            for x, c in self.count[k].items():
+                t = self.ctx[k].setdefault(x[:-1], [0, 0])
+                t[0] += c
+                t[1] += 1
+
+    def p(self, x):
+        if not x:
+            return self.floor
+        lower, k = self.p(x[1:]), len(x)
+        if x[:-1] not in self.ctx[k]:
             return lower
-        total, kinds = ctx[k][x >> langid.BITS]
-        return max(count[k].get(x, 0) - ds[k], 0) / total + ds[k] * kinds / total * lower if x in count[k] else ds[k] * kinds / total * lower
+        total, kinds = self.ctx[k][x[:-1]]
+        return (max(self.count[k].get(x, 0) - self.d[k], 0) + self.d[k] * kinds * lower) / total
 
-    rng = np.random.default_rng(2)
-    other = langid.symbols([r[1] for r in rows(5, 77)])[0]
-    asked = np.concatenate([rng.choice(seq, 200), langid.grams(other)[langid.ORDER :][:300]])
-    assert np.allclose(m.bits(asked), [-np.log2(p(int(x), langid.ORDER)) for x in asked], atol=1e-6)
 
+def tuples(text):
+    sym, _ = langid.symbols([text])
+    sym = sym.tolist()
+    return [tuple(sym[i - K + 1 : i + 1]) for i in range(K - 1, len(sym))]
 
-def test_held_out_accuracy_and_rejection(spark):
-    import random
 
+def brute(data, held):
+    """(id, language, best, bits, symbols) of every row."""
+    train = {}
+    for (_, t, lang, *_), out in zip(data, held):
+        if lang is not None and t is not None and not out and tuples(t):
+            train.setdefault(lang, []).append(t)
+    alphabet = len({x[-1] for ts in train.values() for t in ts for x in tuples(t)})
+    models = {lang: Naive(ts, alphabet) for lang, ts in sorted(train.items())}
+    got = []
+    for i, t, lang, *_ in data:
+        seq = tuples(t) if t else []
+        h = {x: sum(-math.log2(m.p(g)) for g in seq) / len(seq) for x, m in models.items()} if seq else {}
+        best = min(h, key=lambda x: (round(h[x], 9), x)) if h else None
+        got.append((i, best, h.get(best), len(seq)))
+    limit = {}
+    for x in models:
+        own = sorted(b for (_, best, b, n), d, out in zip(got, data, held) if out and best == x == d[2] and n >= langid.MIN_SYMBOLS)
+        limit[x] = own[max(0, math.ceil(langid.REJECT_QUANTILE * len(own)) - 1)] + langid.MARGIN if own else 1e9
+    return sorted((repr(i), best if best and (b <= limit[best] or n < langid.MIN_SYMBOLS) else "und", repr(best), b, n) for i, best, b, n in got)
+
+
+def data():
+    rng = random.Random(3)
+    wrong = [(i + 5000, t, None, s, n) for i, t, _, s, n in rows(20, 32)]
+    noise = [(9000 + k, "".join(rng.choice("qxzwkjvbpg") for _ in range(120)), None, "s", 1) for k in range(6)]
+    # a script of many symbols, and one text under two languages, which then tie
+    han = [(7000 + k, "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(90)), "zh", "s", 1) for k in range(25)]
+    same = [(8000 + k, "xyzzy plugh frobozz " * 3, lang, "s", 1) for k, lang in enumerate(("ya", "yb"))]
+    return rows(90, 31, 20, 50) + wrong + noise + han + same + [r for r in odd() if len(r[1] or "") < 5000]
+
+
+def test_the_whole_query_equals_brute_force(spark):
+    d = data()
+    docs = frame(spark, [(k, *r[1:]) for k, r in enumerate(d)])
+    held = [r["h"] for r in docs.select("doc_id", (F.pmod(F.xxhash64(F.lit("held"), "text"), F.lit(langid.HELD_OUT)) == 0).alias("h")).orderBy("doc_id").collect()]
+    want = brute(d, held)
+    got = sorted(((repr(r[0]), r[1], repr(r[2]), *r[3:]) for r in map(tuple, langid.identify(frame(spark, d)).collect())), key=lambda r: (r[0], r[4]))
+    want.sort(key=lambda r: (r[0], r[4]))
+    assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+    assert all((g[3] is None) == (w[3] is None) and (g[3] is None or g[3] == pytest.approx(w[3], abs=2e-5)) for g, w in zip(got, want))
+    assert {g[1] for g in got} >= {"en", "de", "fr", "zh", "ya", "und"}
+
+
+def test_probabilities_sum_to_one_over_the_alphabet(spark):
+    d = [(lang, t) for _, t, lang, *_ in data() if lang in ("en", "zh") and len(t or "") > 20]
+    names, models = langid.train(spark.createDataFrame(d, "lang string, t string"))
+    letters = np.unique(np.concatenate([np.array([x[-1] for x in tuples(t)]) for _, t in d]))
+    for m in models:
+        ctx = np.unique([langid.grams(langid.symbols([t])[0])[K] >> B for lang, t in d if lang == m.lang])[:20]
+        for c in ctx:
+            p = 2.0 ** -m.bits((c << B) | letters.astype(np.int64))
+            assert p.sum() + m.floor >= 0.97 and p.sum() <= 1 + 1e-9
+
+
+def test_no_gram_is_left_out_and_many_shards_answer_alike(spark, monkeypatch):
+    d = [(lang, t) for _, t, lang, *_ in rows(60, 8)]
+    frame_ = spark.createDataFrame(d, "lang string, t string")
+    q = np.unique(np.concatenate([langid.grams(langid.symbols([t])[0])[K:] for _, t in d]))
+    one = [m.bits(q) for m in langid.train(frame_)[1]]
+    real = langid.shelve
+    monkeypatch.setattr(langid, "shelve", lambda df: real(df, 500))
+    many = langid.train(frame_)[1]
+    assert many[0].shelf.bits >= 4
+    assert all(np.array_equal(a, m.bits(q)) for a, m in zip(one, many))
+    counted = langid.gram_counts(frame_).count()
+    assert counted == sum(len({x for t in [t for lg, t in d if lg == lang] for x in tuples(t)}) for lang in ("en", "de", "fr"))
+
+
+def test_held_out_accuracy_and_rejection(spark):
     rng = random.Random(3)
     train = rows(240, 31)
     wrong = [(i + 5000, t, None, s, n) for i, t, _, s, n in rows(90, 32)]
@@ -66,9 +126,9 @@ def test_held_out_accuracy_and_rejection(spark):
     assert sum(got[9000 + k] == "und" for k in range(20)) >= 19
 
 
-def test_odd_rows_and_empty_tables(spark):
+def test_odd_rows_clashing_columns_and_empty_tables(spark):
     d = rows(60) + odd()
-    out = langid.identify(frame(spark, d)).collect()
+    out = langid.identify(clashing(spark, d)).collect()
     assert len(out) == len(d)
     by = {r["doc_id"]: r for r in out}
     assert by[1000]["language"] == by[1001]["language"] == "und" and by[1000]["bits"] is None
