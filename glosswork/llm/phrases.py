@@ -4,24 +4,25 @@ A repeated passage is a run of words in which every window of MIN_WORDS words (l
 found in at least two documents. Every occurrence in every document is located:
 
 1. Each window is keyed by its least K-word gram (winnowing: neighbouring windows mostly share it, so a document of n
-   words gives about n / 13 keys). Keys of two or more documents stay.
+   words gives about n / 13 keys). Keys of two or more documents stay, on a shelf (shelf.py: hash-sharded sorted arrays
+   that executors map into memory).
 2. Confirmation: the windows under those keys, as runs with one 64-bit hash a window, meet at their key (equal windows
-   have equal keys, so one shuffle settles them). A window of two or more documents is recurring, and the smallest
-   (id, place) is where it lives. A key's rows are read in order of the documents; of a hot key only one row for each
-   different window is held from one chunk to the next.
-3. Runs of consecutive recurring windows in the documents where they live are the passages. They are sharded by that
-   document, and each shard becomes an Aho-Corasick automaton (pyahocorasick over word numbers) of SEED-word seeds, at most
-   STRIDE words apart and away from the ends: any window of MIN_WORDS words holds a whole seed.
-4. All documents that hold a recurring window are streamed through the automata of the shards where their windows live; a
-   hit is extended to both sides word by word and counts from MIN_WORDS words on.
-
-Nothing is sampled. Documents go to the shards that they need and to no other, so work grows with the text and not
-with text times shards. Recurring keys are broadcast up to BROADCAST_KEYS, beyond it joined by shuffle.
+   have equal keys, so one shuffle settles them). Of windows that a batch holds more than twice, two documents are sent:
+   the least and another. A window of two or more documents is recurring, and the smallest (id, place) is where it lives.
+   The recurring windows with their homes make a second shelf.
+3. Each document asks that shelf where its windows live. Runs of consecutive windows that live in it are the passages,
+   which it sends to its own shard; it goes itself to the shards where its windows live and to no other, so work grows
+   with the text and not with text times shards. Each shard becomes an Aho-Corasick automaton (pyahocorasick over word
+   numbers) of SEED-word seeds, at most STRIDE words apart and away from the ends: any window of MIN_WORDS words holds a
+   whole seed. A shard that many documents need is served by several tasks, each with the whole automaton.
+4. A hit is extended to both sides word by word and counts from MIN_WORDS words on.
+
+Nothing is sampled, collected or broadcast, and the steps are the same at every size.
 
 Defined cases. Null ids and null texts are not searched; texts under MIN_WORDS words have no window. Rows of one id
 are one document: a passage that only they share isn't repeated; equal rows are reported once. Ties: the smallest id,
 then place. A passage that occurs twice in one document and in no other isn't repeated. Empty table: empty result.
-Columns of other names aren't read.
+Columns of other names aren't read. Windows and documents are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,17 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Words, batches, cut, mix, read, session, small
+from .common import Words, batches, cut, mix, read, session
+from .shelf import Shelf, keys_only, shelve
 
 MIN_WORDS = 50
 K = 25
 SEED = 8
 STRIDE = MIN_WORDS - SEED + 1
-BROADCAST_KEYS = 4_000_000
 #: Passage words of a shard, about.
 SHARD_WORDS = 250_000
-#: Window runs that one step of the confirmation handles.
-STEP_RUNS = 40_000
+#: Windows that one step of the confirmation handles.
+STEP_WINDOWS = 500_000
 #: Documents that one task streams through a shard, about.
 TASK_DOCS = 4_000
 
@@ -94,11 +95,13 @@ def keys(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray,
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("t")).where("id is not null and t is not null")
+    """id, k (number of the content), c (number of both), t."""
+    t = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("k"), F.xxhash64(F.col(id_col), t).alias("c"), t.alias("t")).where("id is not null and t is not null")
 
 
 def recurring_keys(rows: DataFrame, kind: str) -> DataFrame:
-    """Keys of two or more documents."""
+    """(h, n): keys of two or more documents, and how many rows have them."""
 
     def run(tables):
         words = Words()
@@ -109,114 +112,149 @@ def recurring_keys(rows: DataFrame, kind: str) -> DataFrame:
                 pair = np.unique(np.column_stack([h, who.astype(np.uint64)]), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].astype(np.uint64).view(np.int64).copy()), table.column("id").take(pa.array(pair[:, 1].astype(np.int64) + start))], names=["h", "id"])
 
-    return rows.select("id", "t").mapInArrow(run, f"h long, id {kind}").groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
+    return rows.select("id", "t").mapInArrow(run, f"h long, id {kind}").groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", "n")
 
 
-def window_rows(rows: DataFrame, kind: str, known: np.ndarray | None) -> DataFrame:
-    """(h, id, k, first, ws) of the keys among known (of all, if None)."""
-    sent = None if known is None else rows.sparkSession.sparkContext.broadcast(known)
+def _known(texts, words: Words, shelf: Shelf):
+    """(key, document, first window, number of windows, window hashes, documents of the key) under keys on the shelf."""
+    h, who, first, n, ws = keys(texts, words)
+    at, docs, _ = shelf.find(h)
+    order = np.argsort(at)
+    at, docs = at[order], docs[order]
+    good = np.zeros(len(h), bool)
+    good[at] = True
+    return h[at], who[at], first[at], n[at], ws[np.repeat(good, n)], docs
+
+
+def _codes(ids: pa.Array) -> np.ndarray:
+    """Numbers of the ids in their order."""
+    d = ids.dictionary_encode()
+    values = d.dictionary.to_pylist()
+    rank = np.empty(len(values), np.int64)
+    rank[sorted(range(len(values)), key=values.__getitem__)] = np.arange(len(values))
+    return rank[np.asarray(d.indices)]
+
+
+def _least_two(h, w, doc, place) -> np.ndarray:
+    """Of the windows (h, w): the one of the least (document, place) and the least of another document, if there is one."""
+    order = np.lexsort([place, doc, w, h])
+    hh, ww, dd = h[order], w[order], doc[order]
+    new = np.r_[True, (hh[1:] != hh[:-1]) | (ww[1:] != ww[:-1])]
+    start = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    other = dd != dd[start][group]
+    second = other & np.r_[True, new[1:] | ~other[:-1]]
+    return order[new | second]
+
+
+def window_rows(rows: DataFrame, kind: str, shelf: Shelf) -> DataFrame:
+    """(h, id, c, first, m, ws): runs of windows under known keys; m documents have the key. A batch sends no window of a
+    key for more than two documents."""
 
     def run(tables):
         words = Words()
         for table in tables:
             words.trim()
+            code, c = _codes(table.column("id")), table.column("c")
             for start, texts in batches(table, "t"):
-                h, who, first, n, ws = keys(texts, words)
-                if sent is not None and len(h):
-                    at = np.minimum(np.searchsorted(sent.value, h), max(0, len(sent.value) - 1))
-                    good = sent.value[at] == h if len(sent.value) else np.zeros(len(h), bool)
-                    ws = ws[np.repeat(good, n)]
-                    h, who, first, n = h[good], who[good], first[good], n[good]
-                take = pa.array(who.astype(np.int64) + start)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ws.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), table.column("id").take(take), table.column("k").take(take), pa.array(first.astype(np.int32)), lists], names=["h", "id", "k", "first", "ws"])
-
-    return rows.mapInArrow(run, f"h long, id {kind}, k long, first int, ws array<long>")
-
-
-def _settle(h: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, ws: np.ndarray):
-    """Of rows in the order (key, document, place): (row, home row, home place, windows) of each run of recurring windows
-    that live in a row one after the other, and (row, place in it) of one window of each kind of the last key."""
-    row = np.repeat(np.arange(len(h)), n)
-    at = np.arange(len(ws)) - np.repeat(np.cumsum(n) - n, n)
-    order = np.lexsort([ws, h[row]])  # stable: documents and places stay in order
-    w, r = ws[order], row[order]
-    new = np.r_[True, (w[1:] != w[:-1]) | (h[r[1:]] != h[r[:-1]])]
-    start = np.flatnonzero(new)
-    end = np.r_[start[1:], len(w)] - 1
-    recurs = doc[r[start]] != doc[r[end]]
-    kind = np.cumsum(new) - 1
-    home = np.empty(len(ws), np.int64)  # the flat window where each lives, -1 for windows of one document
-    home[order] = np.where(recurs, order[start], -1)[kind]
-    ok = np.flatnonzero(home >= 0)
-    kept = order[start[h[r[start]] == h[-1]]]
-    if not len(ok):
-        none = np.zeros(0, np.int64)
-        return (none, none, none, none), (row[kept], at[kept])
-    hr, hp = row[home[ok]], first[row[home[ok]]] + at[home[ok]]
-    cut_at = np.flatnonzero(np.r_[True, (row[ok][1:] != row[ok][:-1]) | (hr[1:] != hr[:-1]) | (hp[1:] != hp[:-1] + 1)])
-    return (row[ok][cut_at], hr[cut_at], hp[cut_at], np.diff(np.r_[cut_at, len(ok)])), (row[kept], at[kept])
+                h, who, first, n, ws, m = _known(texts, words, shelf)
+                if not len(h):
+                    continue
+                row = np.repeat(np.arange(len(h)), n)
+                place = first[row] + np.arange(len(ws)) - np.repeat(np.cumsum(n) - n, n)
+                at = np.sort(_least_two(h[row], ws, code[start + who[row]], place))
+                cut_at = np.flatnonzero(np.r_[True, (row[at][1:] != row[at][:-1]) | (place[at][1:] != place[at][:-1] + 1)])
+                r = row[at][cut_at]
+                take = pa.array(who[r] + start)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[cut_at, len(at)].astype(np.int32)), pa.array(ws[at].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(h[r].view(np.int64)), table.column("id").take(take), c.take(take), pa.array(place[at][cut_at].astype(np.int32)), pa.array(m[r]), lists], names=["h", "id", "c", "first", "m", "ws"])
+
+    return rows.select("id", "c", "t").mapInArrow(run, f"h long, id {kind}, c long, first int, m long, ws array<long>")
 
 
 def _confirm(step: int):
-    """Rows (h, id, k, first, ws) in order become (hid, hk, at, n, id, k): n windows from place at of hid are in id."""
+    """Rows (h, id, c, first, m, ws) in order become (w, c, at, m): window w recurs and lives at place at of c."""
 
     def run(tables):
-        held, size = [], 0
-
-        def settled(table, last):
-            """The runs of table, and what is carried on where its last key may go on."""
-            h = np.asarray(table.column("h"))
-            lists = table.column("ws")
-            first, n = np.asarray(table.column("first")).astype(np.int64), np.asarray(lists.value_lengths()).astype(np.int64)
-            ids, k = table.column("id"), np.asarray(table.column("k"))
-            code = np.asarray(ids.dictionary_encode().indices).astype(np.int64)
-            ws = np.asarray(lists.flatten())
-            (r, hr, hp, m), (cr, cp) = _settle(h, code, first, n, ws)
-            out = pa.RecordBatch.from_arrays([ids.take(pa.array(hr)), pa.array(k[hr]), pa.array(hp.astype(np.int32)), pa.array(m.astype(np.int32)), ids.take(pa.array(r)), pa.array(k[r])], names=["hid", "hk", "at", "n", "id", "k"])
-            if last:
-                return out, None
-            order = np.lexsort([cp, cr])
-            cr, cp = cr[order], cp[order]
-            flat = (np.cumsum(n) - n)[cr] + cp
-            one = pa.ListArray.from_arrays(pa.array(np.arange(len(cr) + 1, dtype=np.int32)), pa.array(ws[flat]))
-            return out, pa.RecordBatch.from_arrays([pa.array(h[cr]), ids.take(pa.array(cr)), pa.array(k[cr]), pa.array((first[cr] + cp).astype(np.int32)), one], names=["h", "id", "k", "first", "ws"])
-
-        def joined():
-            return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        # flat windows (key, window, document number, place, content, documents of the key) that aren't settled yet
+        held, size, carried, last_id, code = [], 0, 0, None, 0
+
+        def settled(parts, last):
+            h, w, doc, place, c, m = (np.concatenate(x) for x in zip(*parts))
+            done = np.ones(len(h), bool) if last else h != h[-1]
+            at = _least_two(h[done], w[done], doc[done], place[done])
+            at = np.flatnonzero(done)[at]
+            twice = np.flatnonzero((h[at][1:] == h[at][:-1]) & (w[at][1:] == w[at][:-1]))
+            x = at[twice]  # the first of two documents is the least
+            out = pa.RecordBatch.from_arrays([pa.array(w[x].view(np.int64)), pa.array(c[x]), pa.array(place[x]), pa.array(m[x])], names=["w", "c", "at", "m"])
+            rest = np.flatnonzero(~done)
+            rest = rest[_least_two(h[rest], w[rest], doc[rest], place[rest])] if len(rest) else rest
+            return out, [tuple(v[rest] for v in (h, w, doc, place, c, m))]
 
         for table in tables:
             if not table.num_rows:
                 continue
-            held.append(pa.RecordBatch.from_arrays([table.column(c) for c in ("h", "id", "k", "first", "ws")], schema=held[0].schema) if held else table)
-            size += table.num_rows
-            if size >= step:
-                out, carry = settled(joined(), False)
+            lists = table.column("ws")
+            n = np.asarray(lists.value_lengths()).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            # inside a key rows come in the order of the ids: a new id has a higher number than those before
+            ids = table.column("id").dictionary_encode()
+            index = np.asarray(ids.indices).astype(np.int64)
+            change = np.r_[last_id is None or ids.dictionary[int(index[0])].as_py() != last_id, index[1:] != index[:-1]]
+            number = code + np.cumsum(change)
+            code, last_id = int(number[-1]), ids.dictionary[int(index[-1])].as_py()
+            place = np.asarray(table.column("first")).astype(np.int64)[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            held.append((np.asarray(table.column("h"))[row], np.asarray(lists.flatten()).view(np.uint64), number[row], place, np.asarray(table.column("c"))[row], np.asarray(table.column("m"))[row]))
+            size += len(row)
+            if size >= max(step, 2 * carried):
+                out, held = settled(held, False)
+                size = carried = len(held[0][0])
                 yield out
-                held, size = [pa.RecordBatch.from_arrays(carry.columns, schema=table.schema)], 0
-        if held:
-            yield settled(joined(), True)[0]
+        if size:
+            yield settled(held, True)[0]
 
     return run
 
 
-def _passages(tables):
-    """(shard, id, first, words) of the runs of consecutive places in the texts where they live."""
-    words = Words()
-    for table in tables:
-        words.trim()
-        out: list[tuple] = []
-        places = table.column("places")
-        for start, texts in batches(table, "t"):
-            for i, t in enumerate(texts):
-                runs = places[start + i].values
-                first, n = np.asarray(runs.field("at")), np.asarray(runs.field("n"))
-                at = np.unique(np.concatenate([np.arange(a, a + m) for a, m in zip(first.tolist(), n.tolist())]))
-                flat = np.array(list(map(words.__getitem__, t.lower().split())), np.uint64)
-                for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    out.append((start + i, int(run[0]), flat[run[0] : run[-1] + MIN_WORDS].view(np.int64)))
-        take = pa.array([x[0] for x in out], pa.int64())
-        yield pa.RecordBatch.from_arrays([table.column("shard").take(take), table.column("id").take(take), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["shard", "id", "first", "words"])
+def _visits(shelf: Shelf, homes: Shelf, n_shards: int):
+    """Documents (id, k, c, t) become (shard, salt, id, k, t, first, words): the passages that live in them, for every
+    task of their shard, and the texts, once for each shard where a window of theirs lives."""
+
+    def run(tables):
+        words = Words()
+        for table in tables:
+            words.trim()
+            own = np.asarray(table.column("c"))
+            for start, texts in batches(table, "t"):
+                h, who, first, n, ws, _ = _known(texts, words, shelf)
+                row = np.repeat(np.arange(len(h)), n)
+                place = (first[row] + np.arange(len(ws)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int64)
+                x, c, packed = homes.find(ws)
+                doc = who[row[x]]
+                at, salts = packed & 0x7FFFFFFF, packed >> 31
+                shard = c % n_shards  # the sign goes: numpy's modulo is never negative
+                out: list[tuple] = []
+                mine = (c == own[start + doc]) & (at == place[x])
+                order = np.lexsort([at[mine], doc[mine]])
+                d, a, s, k = (v[mine][order] for v in (doc, at, shard, salts))
+                for part in np.split(np.arange(len(d)), np.flatnonzero((np.diff(d) != 0) | (np.diff(a) > 1)) + 1):
+                    if len(part):
+                        i, j = part[0], part[-1]
+                        flat = list(map(words.__getitem__, texts[d[i]].lower().split()[a[i] : a[j] + MIN_WORDS]))
+                        line = np.array(flat, np.uint64).view(np.int64)
+                        out.extend((start + int(d[i]), int(s[i]), salt, int(a[i]), line) for salt in range(int(k[i])))
+                to = np.unique(np.column_stack([doc, shard, salts]), axis=0) if len(doc) else np.zeros((0, 3), np.int64)
+                for part in range(0, len(out), 512):
+                    p = out[part : part + 512]
+                    take = pa.array([q[0] for q in p], pa.int64())
+                    none = pa.nulls(len(p), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([q[1] for q in p], pa.int32()), pa.array([q[2] for q in p], pa.int32()), table.column("id").take(take), table.column("k").take(take), none, pa.array([q[3] for q in p], pa.int32()), pa.array([q[4] for q in p], pa.list_(pa.int64()))], names=["shard", "salt", "id", "k", "t", "first", "words"])
+                if len(to):
+                    take = pa.array(to[:, 0] + start)
+                    salt = own[start + to[:, 0]] % np.maximum(to[:, 2], 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(to[:, 1].astype(np.int32)), pa.array(salt.astype(np.int32)), table.column("id").take(take), table.column("k").take(take), table.column("t").take(take), pa.nulls(len(to), pa.int32()), pa.nulls(len(to), pa.list_(pa.int64()))], names=["shard", "salt", "id", "k", "t", "first", "words"])
+
+    return run
 
 
 def seed_places(n: int) -> list[int]:
@@ -233,10 +271,15 @@ class Shard:
 
     def __init__(self):
         self.passages: list[tuple[object, int, np.ndarray]] = []
+        self.seen: set[tuple] = set()
         self.automaton = None
 
     def add(self, id_, first: int, words: np.ndarray) -> None:
-        self.passages.append((id_, first, words))
+        """A passage; equal rows bring it again."""
+        key = id_, first, words.tobytes()
+        if key not in self.seen:
+            self.seen.add(key)
+            self.passages.append((id_, first, words))
 
     def _build(self) -> None:
         seeds: dict[tuple, list[tuple[int, int]]] = {}
@@ -284,7 +327,7 @@ def _stream(tables):
     for table in tables:
         words.trim()
         who, found = [], []
-        shards, ids, firsts, lists, texts = table.column("shard").to_pylist(), table.column("home"), table.column("first"), table.column("words"), table.column("t")
+        shards, ids, firsts, lists, texts = table.column("shard").to_pylist(), table.column("id"), table.column("first"), table.column("words"), table.column("t")
         salts = table.column("salt").to_pylist()
         for i in range(table.num_rows):
             if (shards[i], salts[i]) != at:
@@ -297,45 +340,26 @@ def _stream(tables):
                     who.append(i)
                     found.append(hit)
         take = pa.array(who, pa.int64())
-        cols = [table.column("id").take(take), table.column("k").take(take), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], table.schema.field("home").type), pa.array([x[3] for x in found], pa.int32())]
+        cols = [ids.take(take), table.column("k").take(take), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], table.schema.field("id").type), pa.array([x[3] for x in found], pa.int32())]
         yield pa.RecordBatch.from_arrays(cols, names=["id", "k", "s", "e", "first_doc", "first_start"])
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS, shard_words: int = SHARD_WORDS, task_docs: int = TASK_DOCS, step_runs: int = STEP_RUNS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, task_docs: int = TASK_DOCS, step_windows: int = STEP_WINDOWS) -> DataFrame:
     """id, start_word, n_words of every repeated passage, and first_doc, first_start: where its beginning is found first."""
     session(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _rows(docs, id_col, text_col)
-    known = cut(recurring_keys(rows, kind))
-    if known.limit(broadcast_keys + 1).count() <= broadcast_keys:
-        found = np.sort(np.asarray(known.toArrow().column("h").combine_chunks()).view(np.uint64))
-        keyed = window_rows(rows, kind, found)
-    else:
-        keyed = window_rows(rows, kind, None).join(known.hint("merge"), "h", "left_semi")
-    met = keyed.select("h", "id", "k", "first", "ws").repartition("h").sortWithinPartitions("h", "id", "k", "first")
-    runs = cut(met.mapInArrow(_confirm(step_runs), f"hid {kind}, hk long, at int, n int, id {kind}, k long"))
-    # the place where a window lives is among its occurrences
-    own = runs.where((F.col("id") == F.col("hid")) & (F.col("k") == F.col("hk")))
-    n_shards = max(1, -(-(own.agg(F.sum("n")).first()[0] or 0) // shard_words))
-    shard = lambda i, k: F.pmod(F.xxhash64(i, k), F.lit(n_shards)).cast("int")
-    homes = cut(own.groupBy(F.col("hid").alias("id"), F.col("hk").alias("k")).agg(F.collect_list(F.struct("at", "n")).alias("places")).withColumn("shard", shard("id", "k")))
-    # a key may recur in many contexts: only the windows themselves say where a document must go
-    routes = cut(runs.select(F.col("id").alias("d"), F.col("k").alias("dk"), shard("hid", "hk").alias("shard")).distinct())
-    n_routes = routes.count()
-    salts = max(1, -(-n_routes // (n_shards * task_docs)))
-    distinct = rows.dropDuplicates(["id", "k"]) if rows.groupBy("id", "k").count().where("count > 1").limit(1).count() else rows
-    home = small(homes.select(F.col("id").alias("hid"), F.col("k").alias("hk"), "places", "shard"), broadcast_rows // 10)
-    passages = distinct.join(home, (F.col("id") == F.col("hid")) & (F.col("k") == F.col("hk"))).select("shard", "id", "t", "places")
-    passages = passages.mapInArrow(_passages, f"shard int, id {kind}, first int, words array<long>")
-    to = routes if n_routes > broadcast_rows else F.broadcast(routes)
-    texts = distinct.join(to, (F.col("id") == F.col("d")) & (F.col("k") == F.col("dk")))
-    null = lambda t: F.lit(None).cast(t)
-    both = passages.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), null(kind).alias("id"), null("long").alias("k"), null("string").alias("t"), F.col("id").alias("home"), "first", "words").union(
-        texts.select("shard", F.pmod(F.xxhash64("k", "id"), F.lit(salts)).cast("int"), "id", "k", "t", null(kind), null("int"), null("array<long>"))
-    )
-    parts = min(n_shards * salts, 20_000)
-    placed = both.repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("t").isNotNull())
-    hits = placed.mapInArrow(_stream, f"id {kind}, k long, s int, e int, first_doc {kind}, first_start int")
+    shelf = shelve(keys_only(cut(recurring_keys(rows, kind)), "h", "n"))
+    met = window_rows(rows, kind, shelf).repartition("h").sortWithinPartitions("h", "id", "c", "first")
+    living = cut(met.mapInArrow(_confirm(step_windows), "w long, c long, at long, m long"))
+    n_shards = max(1, -(-living.count() // shard_words))
+    # tasks of a shard: from the documents that have its most frequent keys, one key for each home
+    home = living.groupBy("c").agg(F.max("m").alias("m")).groupBy(F.pmod("c", F.lit(n_shards)).alias("shard")).agg(F.ceil(F.sum("m") / task_docs).alias("salts"))
+    placed = living.withColumn("shard", F.pmod("c", F.lit(n_shards))).join(home, "shard").select("w", "c", (F.col("at") + F.shiftleft("salts", 31)).alias("v"))
+    homes = shelve(keys_only(cut(placed), "w", "c", "v"))
+    both = rows.mapInArrow(_visits(shelf, homes, n_shards), f"shard int, salt int, id {kind}, k long, t string, first int, words array<long>")
+    sent = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("t").isNotNull())
+    hits = sent.mapInArrow(_stream, f"id {kind}, k long, s int, e int, first_doc {kind}, first_start int")
     # runs that share a window or touch (their windows are neighbours) are one
     listed = hits.groupBy("id", "k").agg(F.array_sort(F.collect_set(F.struct("s", "e", "first_doc", "first_start"))).alias("x"))
 

@@ -2,7 +2,7 @@ import random
 
 from glosswork.llm import phrases
 
-from .frames import DOCS, frame, odd, prose, rows
+from .frames import DOCS, clashing, frame, odd, prose, rows
 
 W = phrases.MIN_WORDS
 
@@ -57,9 +57,37 @@ def test_equals_brute_force(spark):
     assert got(phrases.occurrences(frame(spark, d))) == want
 
 
-def test_equals_brute_force_with_many_shards_by_shuffle(spark):
+def test_equals_brute_force_with_many_shards_tasks_and_steps(spark):
     d = data(22)
-    assert got(phrases.occurrences(frame(spark, d), broadcast_keys=0, shard_words=200, task_docs=3, step_runs=7, broadcast_rows=0)) == brute(d)
+    assert got(phrases.occurrences(frame(spark, d), shard_words=200, task_docs=3, step_windows=90)) == brute(d)
+
+
+def test_a_passage_that_a_third_of_all_rows_hold_and_string_ids(spark):
+    hot = prose(random.Random(5), "en", 90)
+    d = [(f"d{i}", t + (" " + hot if i % 3 == 0 else "") + (" " + hot[:300] if i % 7 == 0 else ""), *r) for i, t, *r in rows(240, 23, 10, 60)]
+    d += d[:3] * 2
+    schema = DOCS.replace("doc_id long", "doc_id string")
+    for kw in ({}, {"task_docs": 20, "step_windows": 64}):
+        assert got(phrases.occurrences(frame(spark, d, schema).repartition(3), **kw)) == brute(d)
+
+
+def test_extra_columns_are_not_read(spark):
+    d = data(24)
+    assert got(phrases.occurrences(clashing(spark, d))) == brute(d)
+
+
+def test_least_two():
+    import numpy as np
+
+    rng = random.Random(1)
+    rows_ = [(rng.randint(0, 3), rng.randint(0, 5), rng.randint(0, 4), rng.randint(0, 9)) for _ in range(400)]
+    kept = phrases._least_two(*(np.array(x) for x in zip(*rows_)))
+    want = []
+    for key in {r[:2] for r in rows_}:
+        one = min(r[2:] for r in rows_ if r[:2] == key)
+        other = [r[2:] for r in rows_ if r[:2] == key and r[2] != one[0]]
+        want += [(*key, *one), *([(*key, *min(other))] if other else [])]
+    assert sorted(rows_[i] for i in kept) == sorted(want)
 
 
 def test_empty_and_without_repeats(spark):
