@@ -6,9 +6,10 @@ each shard becomes a minimal perfect hash (levels of bit arrays with rank, about
 compact arrays: a 16-bit fingerprint and a count that saturates at 255. Documents then look their lines up in the
 arrays; lines of more than MAX_DOCS documents are removed wherever they stand.
 
-While all shards together have at most INDEX_BYTES, they are broadcast and documents are read once more, without a
-shuffle. Beyond that the hashes (not the lines) are routed to their shards, each shard is held by one task at a time
-and the answers return to their documents: still no join against lines.
+A shard is one file of flat arrays in the shared folder, written by the task that builds it. Documents are read once
+more; the executors map the shards that a batch asks into memory and probe the arrays directly, a batch's lines shard
+after shard. Nothing is broadcast, collected or joined, and texts aren't shuffled: the only shuffle is that of the
+counted hashes. An index takes about 3.6 bytes a distinct line.
 
 Defined cases. Null text: n_lines 0, clean_text null. Empty text: one empty line, kept. Lines whose key is shorter
 than MIN_CHARS are kept. A line that a document repeats counts once for it. Repeated rows are documents of their own.
@@ -17,21 +18,19 @@ An empty table: an empty result. Columns of other names aren't read.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, mix, read, session
+from .common import batches, cut, mix, read, session, shared
+from .shelf import Mapped, get_array, put_array
 
 MAX_DOCS = 5
 MIN_CHARS = 20
 #: Distinct hashes of a shard, about.
 SHARD_KEYS = 500_000
-INDEX_BYTES = 128 << 20
 GAMMA = 2.0
 ENDS = " \t\r"
 
@@ -47,17 +46,15 @@ class Mph:
         self.bits, self.ranks, base, left = [], [], 0, np.unique(keys)
         n = len(left)
         while len(left):
-            size = max(64, int(GAMMA * len(left)))
+            size = max(64, int(GAMMA * len(left)) + 63 & ~63)
             at = self._at(left, len(self.bits), size)
             hit = np.bincount(at, minlength=size)
             alone = hit[at] == 1
             bits = np.zeros(size, bool)
             bits[at[alone]] = True
-            packed = np.packbits(bits)
-            self.bits.append((size, packed))
+            self.bits.append(np.packbits(bits))
             # rank samples every 64 bits
-            rank = base + np.r_[0, np.cumsum(bits)[63::64]].astype(np.uint32)
-            self.ranks.append(rank)
+            self.ranks.append(base + np.r_[0, np.cumsum(bits)[63:-1:64]].astype(np.uint32))
             base += int(alone.sum())
             left = left[~alone]
         self.print, self.count = np.zeros(n, np.uint16), np.zeros(n, np.uint8)
@@ -73,19 +70,16 @@ class Mph:
         """Index of each key, -1 where no level has it."""
         out = np.full(len(keys), -1, np.int64)
         todo = np.arange(len(keys))
-        for level, ((size, packed), rank) in enumerate(zip(self.bits, self.ranks)):
+        for level, (packed, rank) in enumerate(zip(self.bits, self.ranks)):
             if not len(todo):
                 break
-            at = self._at(keys[todo], level, size)
+            at = self._at(keys[todo], level, len(packed) * 8)
             hit = packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
             found = at[hit]
             word = found >> 6
             # bits before the place inside its run of 64
-            run = np.zeros((len(found), 8), np.uint8)
-            padded = np.r_[packed, np.zeros(8, np.uint8)]
-            run[:] = padded[(word * 8)[:, None] + np.arange(8)]
-            low = np.unpackbits(run, axis=1)
-            inside = np.cumsum(low, axis=1)[np.arange(len(found)), found & 63] - 1
+            run = packed[(word * 8)[:, None] + np.arange(8)]
+            inside = np.cumsum(np.unpackbits(run, axis=1), axis=1)[np.arange(len(found)), found & 63].astype(np.int64) - 1
             out[todo[hit]] = rank[word] + inside
             todo = todo[~hit]
         return out
@@ -98,21 +92,31 @@ class Mph:
         ok = (s >= 0) & (self.print[s] == (keys & np.uint64(0xFFFF)))
         return np.where(ok, self.count[s], 0).astype(np.int64)
 
-    @property
-    def nbytes(self) -> int:
-        return self.print.nbytes + self.count.nbytes + sum(p.nbytes for _, p in self.bits) + sum(r.nbytes for r in self.ranks)
-
-    def dump(self) -> bytes:
-        import pickle
-
-        return pickle.dumps((self.bits, self.ranks, self.print, self.count), protocol=5)
+    def dump(self) -> np.ndarray:
+        """All arrays in one: their number, their lengths in bytes, and each from a multiple of 8 on."""
+        parts = [*self.bits, *self.ranks, self.print, self.count]
+        head = np.array([len(parts), *(p.nbytes for p in parts)], np.int64)
+        out = np.zeros(head.nbytes + sum(p.nbytes + 7 & ~7 for p in parts), np.uint8)
+        out[: head.nbytes] = head.view(np.uint8)
+        at = head.nbytes
+        for p in parts:
+            out[at : at + p.nbytes] = p.view(np.uint8)
+            at += p.nbytes + 7 & ~7
+        return out
 
     @classmethod
-    def load(cls, raw: bytes) -> "Mph":
-        import pickle
-
+    def load(cls, raw: np.ndarray) -> "Mph":
+        """The arrays of dump() as views of raw, which may be mapped memory."""
         m = cls.__new__(cls)
-        m.bits, m.ranks, m.print, m.count = pickle.loads(raw)
+        n = int(raw[:8].view(np.int64)[0])
+        sizes = raw[8 : 8 * n + 8].view(np.int64).tolist()
+        at, parts = 8 * n + 8, []
+        for size in sizes:
+            parts.append(raw[at : at + size])
+            at += size + 7 & ~7
+        levels = n // 2 - 1
+        m.bits, m.ranks = parts[:levels], [p.view(np.uint32) for p in parts[levels : 2 * levels]]
+        m.print, m.count = parts[-2].view(np.uint16), parts[-1]
         return m
 
 
@@ -151,21 +155,37 @@ def line_counts(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
     return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def build(counts: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, raw): one minimal perfect hash a shard."""
+def build(counts: DataFrame, n_shards: int, folder: str) -> int:
+    """Writes a minimal perfect hash a shard; returns the number of lines in them."""
 
-    def run(pdf):
-        import pandas as pd
-
-        m = Mph(pdf["h"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy())
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "size": [m.nbytes], "raw": [m.dump()]})
+    def run(t: pa.Table) -> pa.Table:
+        h = np.asarray(t.column("h")).view(np.uint64)
+        put_array(f"{folder}/{t.column('shard')[0].as_py()}.npy", Mph(h, np.asarray(t.column("n"))).dump())
+        return pa.table({"n": [len(h)]})
 
     shard = F.pmod(F.shiftrightunsigned("h", 40), F.lit(n_shards)).cast("int")
-    return counts.withColumn("shard", shard).groupBy("shard").applyInPandas(run, "shard int, size long, raw binary")
-
-
-def _shard_of(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+    return counts.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+class Index:
+    """The shards in the shared folder, as a task sees them."""
+
+    def __init__(self, folder: str, n_shards: int):
+        self.folder, self.n_shards, self.maps = folder, n_shards, None
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Count of each hash; 0 for the hash 0 and for lines that aren't known."""
+        if self.maps is None:
+            self.maps = Mapped(lambda s: Mph.load(get_array(f"{self.folder}/{s}.npy")))
+        out = np.zeros(len(h), np.int64)
+        real = np.flatnonzero(h)
+        shard = ((h[real] >> np.uint64(40)) % np.uint64(self.n_shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(order) else []
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            mine = real[order[a:b]]
+            out[mine] = self.maps[int(shard[order[a]])].counts(h[mine])
+        return out
 
 
 def _cleaned(texts, hashes, counts, max_docs):
@@ -185,91 +205,28 @@ def _cleaned(texts, hashes, counts, max_docs):
     return n_lines, removed, clean
 
 
-_LOADED: dict[str, list[Mph]] = {}
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, min_chars: int = MIN_CHARS, index_bytes: int = INDEX_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """id, n_lines, n_removed, clean_text of every row."""
     if max_docs > 254:
         raise ValueError("counts saturate at 255; max_docs must be below")
     spark = session(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     counts = cut(line_counts(docs, text_col, min_chars))
-    n_shards = max(1, -(-counts.count() // shard_keys))
-    index = cut(build(counts, n_shards))
-    schema = f"id {kind}, n_lines long, n_removed long, clean_text string"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    if (index.agg(F.sum("size")).first()[0] or 0) <= index_bytes:
-        sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["raw"]) for r in index.toLocalIterator()})
-        key = uuid.uuid4().hex
-
-        def run(tables):
-            if key not in _LOADED:
-                _LOADED.clear()
-                _LOADED[key] = [Mph.load(sent.value[s]) if s in sent.value else None for s in range(n_shards)]
-            shards = _LOADED[key]
-            for table in tables:
-                for start, texts in batches(table, "t"):
-                    hashes = [[] if t is None else _hashes(t, min_chars) for t in texts]
-                    flat = np.array([h for hs in hashes for h in hs], np.uint64)
-                    got, of = np.zeros(len(flat), np.int64), _shard_of(flat, n_shards)
-                    for s in range(n_shards):
-                        mine = np.flatnonzero((of == s) & (flat != 0))
-                        if len(mine):
-                            got[mine] = shards[s].counts(flat[mine])
-                    out = _cleaned(texts, hashes, got, max_docs)
-                    yield pa.RecordBatch.from_arrays([table.column("id").slice(start, len(texts)), *(pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string())))], names=["id", "n_lines", "n_removed", "clean_text"])
-
-        return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
-
-    # routed: the distinct hashes of each document go to their shard, those over the limit come back
-    def probes(tables):
-        for table in tables:
-            for start, texts in batches(table, "t"):
-                who, what = [], []
-                for i, t in enumerate(texts):
-                    hs = {h for h in (_hashes(t, min_chars) if t is not None else []) if h}
-                    who.extend([start + i] * len(hs))
-                    what.extend(hs)
-                h = np.array(what, np.uint64)
-                yield pa.RecordBatch.from_arrays([table.column("k").take(pa.array(who, pa.int64())), pa.array(h.view(np.int64)), pa.array(_shard_of(h, n_shards).astype(np.int32))], names=["k", "h", "shard"])
-
-    def answer(tables):
-        mph, at = None, None
-        for table in tables:
-            shard, raws, h = np.asarray(table.column("shard")), table.column("raw"), table.column("h")
-            k = 0
-            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else []
-            for a, b in zip(cuts, [*cuts[1:], len(shard)]):
-                if shard[a] != at:
-                    at, mph = shard[a], Mph.load(raws[int(a)].as_py())
-                    k = 1
-                else:
-                    k = 0
-                part = table.slice(a + k, b - a - k)
-                if part.num_rows:
-                    c = mph.counts(np.asarray(part.column("h")).view(np.uint64))
-                    far = pa.array(c > max_docs)
-                    yield pa.RecordBatch.from_arrays([part.column("k").filter(far), part.column("h").filter(far)], names=["k", "h"])
-
-    # a document's key is its content: equal rows get equal answers
-    keyed = rows.withColumn("k", F.xxhash64("t"))
-    asked = keyed.mapInArrow(probes, "k long, h long, shard int").distinct()
-    held = index.select(F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("h"), "shard", "raw")
-    both = asked.withColumn("raw", F.lit(None).cast("binary")).select("k", "h", "shard", "raw").union(held)
-    bad = both.repartition(n_shards, "shard").sortWithinPartitions("shard", F.col("raw").isNull()).mapInArrow(answer, "k long, h long")
-    bad = bad.groupBy("k").agg(F.collect_set("h").alias("bad"))
-
-    def clean(tables):
+    n = counts.count()
+    n_shards, folder = max(1, -(-n // shard_keys)), shared(spark)
+    if build(counts, n_shards, folder) != n:
+        raise RuntimeError("the index was not written in full")
+    index = Index(folder, n_shards)
+
+    def run(tables):
         for table in tables:
             for start, texts in batches(table, "t"):
-                gone = table.column("bad").slice(start, len(texts)).to_pylist()
                 hashes = [[] if t is None else _hashes(t, min_chars) for t in texts]
-                flat = np.array([max_docs + 1 if b and (h - (1 << 64) if h >= 1 << 63 else h) in b else 0 for hs, b in zip(hashes, (set(b or ()) for b in gone)) for h in hs], np.int64)
-                out = _cleaned(texts, hashes, flat, max_docs)
-                yield pa.RecordBatch.from_arrays([table.column("id").slice(start, len(texts)), *(pa.array(x, kk) for x, kk in zip(out, (pa.int64(), pa.int64(), pa.string())))], names=["id", "n_lines", "n_removed", "clean_text"])
+                out = _cleaned(texts, hashes, index.counts(np.array([h for hs in hashes for h in hs], np.uint64)), max_docs)
+                yield pa.RecordBatch.from_arrays([table.column("id").slice(start, len(texts)), *(pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string())))], names=["id", "n_lines", "n_removed", "clean_text"])
 
-    return keyed.join(bad, "k", "left").select("id", "t", "bad").mapInArrow(clean, schema).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(run, f"id {kind}, n_lines long, n_removed long, clean_text string").withColumnRenamed("id", id_col)
 
 
 SQL = rf"""

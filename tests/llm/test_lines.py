@@ -3,7 +3,7 @@ import random
 import numpy as np
 from glosswork.llm import lines
 
-from .frames import DOCS, frame, odd, rows
+from .frames import DOCS, clashing, frame, odd, rows
 
 
 def brute(data, most, least):
@@ -47,15 +47,14 @@ def test_perfect_hash_is_minimal_and_answers():
         assert (m.counts(other) != 0).mean() < 0.01
 
 
-def test_equals_brute_force_by_broadcast_and_routed(spark):
+def test_equals_brute_force_with_one_shard_and_many(spark):
     d = data()
     want = brute(d, 5, 20)
     show = lambda df: sorted(((repr(r[0]), *r[1:]) for r in map(tuple, df.collect())), key=repr)
     assert show(lines.dedup(frame(spark, d))) == want
-    assert show(lines.dedup(frame(spark, d), shard_keys=50)) == want
-    assert show(lines.dedup(frame(spark, d), index_bytes=0, shard_keys=50)) == want
+    assert show(lines.dedup(clashing(spark, d), shard_keys=50)) == want
+    assert show(lines.dedup(frame(spark, d).repartition(5), shard_keys=3)) == want
 
 
 def test_empty_table(spark):
     assert lines.dedup(frame(spark, [], DOCS)).count() == 0
-    assert lines.dedup(frame(spark, [], DOCS), index_bytes=-1).count() == 0
