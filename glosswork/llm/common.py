@@ -107,3 +107,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+_B = np.uint64(0x9E3779B97F4A7C15)
+_POW: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """B ** i and B ** -i modulo 2 ** 64."""
+    if not _POW or len(_POW[0]) < n:
+        size = max(n, 1 << 19)
+        inverse = np.uint64(pow(int(_B), -1, 1 << 64))
+        _POW[:] = [np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)].cumprod(dtype=np.uint64) for x in (_B, inverse)]
+    return _POW[0][:n], _POW[1][:n]
+
+
+def rolling(flat: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k neighbours, not mixed."""
+    n = len(flat)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    up, down = powers(n)
+    total = np.r_[np.uint64(0), np.cumsum(flat * up, dtype=np.uint64)]
+    return (total[k:] - total[:-k]) * down[: n - k + 1]

@@ -2,37 +2,46 @@
 
 Texts are lower-cased and white space becomes one blank. An item of m characters has an error budget of
 e = floor(RATE * m) edits. Cut into e + 1 pieces, at least one piece of it survives e edits untouched, so every
-occurrence within the budget holds some piece exactly. One pass of Aho-Corasick automata over each whole document
-finds the piece hits; the text around a hit is verified with Myers' bit-parallel edit distance (approximate
-substring: ends are free in the document).
-
-The pieces go to the executors by broadcast, in automata of at most SHARD_PIECES pieces that a document passes one
-after the other, while the items have at most BROADCAST_CHARS characters. A larger benchmark is split into parts of
-that size and each part makes its own pass; the passes are united.
-
-Defined cases. Null or empty documents hit nothing; null, blank items or those under MIN_CHARS characters match
-nothing. Repeated items or rows give repeated results. Ties of distance: the leftmost end. Empty tables: an empty
-result of pairs, and drop() keeps all documents. Null ids are reported as null by pairs(); drop() decides by row, not
-by id. Extra columns of any name pass through drop().
+occurrence within the budget holds some piece exactly. An item under MIN_CHARS characters has no budget: it is one
+piece, must stand between word borders, and needs SHORT_WORDS words and SHORT_SEED characters.
+
+The first SEED characters of each piece (SHORT_SEED of a short item) are its seed. The rolling hashes of all places of
+all documents are looked up among the seeds, which lie on a shelf (shelf.py: hash-sharded sorted arrays that executors
+map into memory), as do the items. Where a seed is hit the whole piece is compared, and the text around it is verified
+with Myers' bit-parallel edit distance (approximate substring: ends are free in the document). Documents are read once
+whatever the size of the benchmark, and nothing of it is collected or broadcast.
+
+Defined cases. Null or empty documents hit nothing; null and blank items and short ones below the limits match
+nothing. Repeated items or rows give repeated results. Ties of distance: the least distance is reported once. Empty
+tables: an empty result of pairs, and drop() keeps all documents. Null ids are reported as null by pairs(); drop()
+decides by row, not by id. Extra columns of any name pass through drop().
 """
 
 from __future__ import annotations
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches, read, session
+from .common import batches, cut, read, rolling, session, shared, stored
+from .shelf import Mapped, Shelf, get, keys_only, local, put, shelve
 
 #: Share of an item's characters that may be inserted, deleted or replaced.
 RATE = 0.05
 MIN_CHARS = 40
-SHARD_PIECES = 200_000
-BROADCAST_CHARS = 20_000_000
+SEED = 12
+SHORT_SEED, SHORT_WORDS = 8, 3
+#: Items of one file.
+ITEMS = 4096
+
+#: Characters hashed at a time.
+STEP = 4_000_000
+#: Distance of the keys of pieces with one seed.
+NEXT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def normal(text: str) -> str:
@@ -45,6 +54,18 @@ def pieces(m: int, e: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
+def plan(text: str, rate: float, min_chars: int) -> tuple[int, list[tuple[int, int]], int] | None:
+    """(error budget, pieces, seed length) of a normalised item; None where it can't be searched."""
+    if len(text) >= max(min_chars, SEED):
+        e = int(rate * len(text))
+        # a piece must hold a seed
+        e = min(e, len(text) // SEED - 1)
+        return e, pieces(len(text), e), SEED
+    if len(text) >= SHORT_SEED and text.count(" ") + 1 >= SHORT_WORDS:
+        return 0, [(0, len(text))], SHORT_SEED
+    return None
+
+
 def best_end(pattern: str, masks: dict[str, int], text: str) -> tuple[int, int]:
     """(least edit distance of pattern to a substring of text, the first end of such a substring)."""
     m = len(pattern)
@@ -68,125 +89,171 @@ def best_end(pattern: str, masks: dict[str, int], text: str) -> tuple[int, int]:
     return best, at
 
 
+def within(pattern: str, e: int, text: str, starts: list[int]) -> int | None:
+    """The least distance, if at most e, of pattern to the text around the places where it may start."""
+    m = len(pattern)
+    if e == 0:
+        return 0 if any(text.startswith(pattern, s) for s in starts if s >= 0) else None
+    spans: list[list[int]] = []
+    for s in sorted(starts):  # windows that overlap are one
+        if spans and s - e <= spans[-1][1]:
+            spans[-1][1] = s + m + e
+        else:
+            spans.append([s - e, s + m + e])
+    if any(text.find(pattern, max(0, a), b) >= 0 for a, b in spans):
+        return 0
+    masks: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        masks[c] = masks.get(c, 0) | 1 << i
+    best = min(best_end(pattern, masks, text[max(0, a) : b])[0] for a, b in spans)
+    return best if best <= e else None
+
+
+def _word(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] stands between word borders."""
+    return (a == 0 or not text[a - 1].isalnum()) and (b >= len(text) or not text[b].isalnum())
+
+
 class Matcher:
-    """Items ready for search; built once a worker and part of the benchmark."""
-
-    cache: dict[object, "Matcher"] = {}
-
-    def __init__(self, items: list[tuple[object, str]], rate: float, min_chars: int, shard: int = SHARD_PIECES):
-        self.items, self.automata = [], []
-        automaton, held = ahocorasick.Automaton(), {}
-
-        def close():
-            if held:
-                for p, at in held.items():
-                    automaton.add_word(p, (len(p), at))
-                automaton.make_automaton()
-                self.automata.append(automaton)
-
-        for id_, text in items:
-            t = normal(text)
-            if len(t) < min_chars:
-                continue
-            e = int(rate * len(t))
-            masks: dict[str, int] = {}
-            for i, c in enumerate(t):
-                masks[c] = masks.get(c, 0) | 1 << i
-            k = len(self.items)
-            self.items.append((id_, t, e, masks))
-            if len(held) >= shard:
-                close()
-                automaton, held = ahocorasick.Automaton(), {}
-            for a, b in pieces(len(t), e):
-                held.setdefault(t[a:b], []).append((k, a))
-        close()
-
-    @classmethod
-    def of(cls, key: tuple, items, rate, min_chars) -> "Matcher":
-        if key not in cls.cache:
-            cls.cache.clear()
-            cls.cache[key] = cls(items, rate, min_chars)
-        return cls.cache[key]
-
-    def find(self, text: str) -> dict[int, int]:
-        """item number -> least distance, of the items within their budget."""
-        t = normal(text)
-        spans: dict[int, set[int]] = {}
-        for automaton in self.automata:
-            for end, (n, at) in automaton.iter(t):
-                for k, a in at:
-                    spans.setdefault(k, set()).add(end + 1 - n - a)
-        found = {}
-        for k, starts in spans.items():
-            _, pattern, e, masks = self.items[k]
-            m, best, reach = len(pattern), None, -1
-            low = None
-            for s in [*sorted(starts), None]:  # windows that overlap are one
-                if low is not None and (s is None or s - e > reach):
-                    if t.find(pattern, max(0, low), reach) >= 0:
-                        best = 0
-                    else:
-                        d, _ = best_end(pattern, masks, t[max(0, low) : reach])
-                        best = d if best is None else min(best, d)
-                    low = None
-                    if best == 0:
-                        break
-                if s is not None:
-                    low = s - e if low is None else low
-                    reach = s + m + e
-            if best is not None and best <= e:
-                found[k] = best
-        return found
-
-
-def _parts(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[list[tuple[object, str]]]:
-    """The benchmark in parts of at most limit characters, one at a time on the driver."""
-    b = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    total = b.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-total // limit) if total else 0
-    for k in range(n):
-        part = b if n == 1 else b.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
-        yield sorted(((r["i"], r["t"]) for r in part.toLocalIterator()), key=lambda x: (x[1], str(x[0])))
-
-
-def pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, limit: int = BROADCAST_CHARS) -> DataFrame:
+    """The seeds and the items in the shared folder, as a task sees them."""
+
+    def __init__(self, shelf: Shelf, folder: str, rate: float, min_chars: int, seeds: list[int]):
+        self.shelf, self.folder, self.rate, self.min_chars, self.seeds = shelf, folder, rate, min_chars, seeds
+        self.files = self.known = None
+
+    def _open(self, name: int) -> pa.Table:
+        path = f"{self.folder}/{name}.arrow"
+        return pa.ipc.open_file(pa.memory_map(local(path)) if local(path) else pa.BufferReader(get(path))).read_all()
+
+    def item(self, n: int):
+        """(id, text, (budget, pieces, seed length)) of an item."""
+        if self.files is None:
+            self.files, self.known = Mapped(self._open), {}
+        if n not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            table, row = self.files[n // ITEMS], n % ITEMS
+            text = table.column("t")[row].as_py()
+            self.known[n] = table.column("id")[row].as_py(), text, plan(text, self.rate, self.min_chars)
+        return self.known[n]
+
+    def find(self, texts: list[str | None]) -> list[tuple[int, object, int]]:
+        """(number of the text, item id, distance) of the items within their budget."""
+        known = [(i, normal(t)) for i, t in enumerate(texts) if t]
+        joined = "\n".join(t for _, t in known)
+        first = np.cumsum([0] + [len(t) + 1 for _, t in known])
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        asked: dict[tuple[int, int], set[int]] = {}
+        for size in self.seeds:
+            for a in range(0, len(codes), STEP):
+                h = seed_hash(codes[a : a + STEP + size - 1], size)
+                for x, number, piece in self._hits(h):
+                    x += a
+                    d = int(np.searchsorted(first, x, "right")) - 1
+                    text, place = known[d][1], x - int(first[d])
+                    _, item, (_, cuts, seed) = self.item(number)
+                    b, c = cuts[piece]
+                    if seed == size and text.startswith(item[b:c], place) and (seed == SEED or _word(text, place, place + c - b)):
+                        asked.setdefault((d, number), set()).add(place - b)
+        out = []
+        for (d, number), starts in sorted(asked.items()):
+            id_, item, (e, _, _) = self.item(number)
+            best = within(item, e, known[d][1], sorted(starts))
+            if best is not None:
+                out.append((known[d][0], id_, best))
+        return out
+
+    def _hits(self, h: np.ndarray):
+        """(place in h, item, piece) of all pieces whose seed is hit; the j-th piece of a seed lies under hash + j * NEXT."""
+        at, item, packed = self.shelf.find(h)
+        more = packed >> 24
+        yield from zip(at.tolist(), item.tolist(), (packed & 0xFFFFFF).tolist())
+        j = 0
+        while len(at := at[more > 1]):
+            j, more = j + 1, more[more > 1] - 1
+            got, item, packed = self.shelf.find(h[at] + np.array([j], np.uint64) * NEXT)
+            yield from zip(at[got].tolist(), item.tolist(), (packed & 0xFFFFFF).tolist())
+
+
+def seed_hash(codes: np.ndarray, size: int) -> np.ndarray:
+    return rolling(codes.astype(np.uint64) + np.uint64(1), size) + np.uint64(size)
+
+
+def matcher(benchmark: DataFrame, id_col: str, text_col: str, rate: float, min_chars: int) -> Matcher:
+    """Writes the items and their seeds to the shared folder."""
+    folder = shared(benchmark.sparkSession)
+
+    def write(tables):
+        task, files = TaskContext.get().partitionId(), 0
+        for table in tables:
+            for start in range(0, table.num_rows, ITEMS):
+                part = table.slice(start, ITEMS)
+                texts = [normal(t) for t in part.column("t").to_pylist()]
+                name, files = task << 20 | files, files + 1
+                sink = pa.BufferOutputStream()
+                rows = pa.record_batch([part.column("id"), pa.array(texts, pa.string())], names=["id", "t"])
+                with pa.ipc.new_file(sink, rows.schema) as out:
+                    out.write_batch(rows)
+                put(f"{folder}/{name}.arrow", sink.getvalue().to_pybytes())
+                h, number, piece, size = [], [], [], []
+                for k, t in enumerate(texts):
+                    if (found := plan(t, rate, min_chars)) is not None:
+                        _, cuts, seed = found
+                        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+                        for p, (a, _) in enumerate(cuts):
+                            h.append(seed_hash(codes[a : a + seed], seed)[0])
+                            number.append(name * ITEMS + k)
+                            piece.append(p)
+                            size.append(seed)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(number, pa.int64()), pa.array(piece, pa.int64()), pa.array(size, pa.int32())], names=["h", "number", "piece", "size"])
+
+    # the rows are stored first: each task reads the same items however often it runs
+    items = stored(benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null"))
+    seeds = cut(items.mapInArrow(write, "h long, number long, piece long, size int"))
+    sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())
+    w = Window.partitionBy("h").orderBy("number", "piece")
+    n = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    listed = seeds.join(n, "h").withColumn("j", F.row_number().over(w) - 1)
+
+    def key(tables):
+        for t in tables:
+            h = np.asarray(t.column("h")).view(np.uint64) + np.asarray(t.column("j")).astype(np.uint64) * NEXT
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), t.column("number"), t.column("v")], names=["h", "a", "b"])
+
+    packed = listed.select("h", "j", "number", (F.col("piece") + F.shiftleft(F.when(F.col("j") == 0, F.col("n")).otherwise(1), 24)).alias("v"))
+    return Matcher(shelve(keys_only(cut(packed.mapInArrow(key, "h long, a long, b long")), "h", "a", "b")), folder, rate, min_chars, sizes)
+
+
+def pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc id, item id, distance) of every item within its budget of some passage of the document."""
-    spark = session(docs)
+    session(docs)
     kind_d, kind_i = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind_d), T.StructField(item_col, kind_i), T.StructField("distance", T.IntegerType())])
     at = T.StructType([T.StructField("id", kind_d), T.StructField("item", kind_i), T.StructField("distance", T.IntegerType())])
-    out, kind = None, to_arrow_type(kind_i)
-    for items in _parts(benchmark, item_col, item_text, limit):
-        sent, key = spark.sparkContext.broadcast(items), xxhash.xxh3_128_hexdigest(repr(items))
+    found, kind = matcher(benchmark, item_col, item_text, rate, min_chars), to_arrow_type(kind_i)
 
-        def run(tables, sent=sent, key=key):
-            matcher = Matcher.of((key, rate, min_chars), sent.value, rate, min_chars)
-            for table in tables:
-                for start, texts in batches(table, "t"):
-                    rows = [(start + i, matcher.items[k][0], d) for i, t in enumerate(texts) if t for k, d in matcher.find(t).items()]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([table.column("id").take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.int32())], names=["id", "item", "distance"])
+    def run(tables):
+        for table in tables:
+            for start, texts in batches(table, "t"):
+                rows = found.find(texts)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([table.column("id").take(pa.array([start + r[0] for r in rows])), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.int32())], names=["id", "item", "distance"])
 
-        hits = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, at).toDF(*schema.names)
-        out = hits if out is None else out.union(hits)
-    return spark.createDataFrame([], schema) if out is None else out
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, at).toDF(id_col, item_col, "distance")
 
 
-def drop(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, limit: int = BROADCAST_CHARS) -> DataFrame:
+def drop(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs, its columns as they are, without the documents that hold a benchmark passage."""
-    spark = session(docs)
-    out = docs
-    for items in _parts(benchmark, item_col, item_text, limit):
-        sent, key = spark.sparkContext.broadcast(items), xxhash.xxh3_128_hexdigest(repr(items))
-
-        def run(tables, sent=sent, key=key):
-            matcher = Matcher.of((key, rate, min_chars), sent.value, rate, min_chars)
-            for table in tables:
-                clean = [not t or not matcher.find(t) for _, texts in batches(table, text_col) for t in texts]
-                yield table.filter(pa.array(clean, pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    session(docs)
+    found = matcher(benchmark, item_col, item_text, rate, min_chars)
+
+    def run(tables):
+        for table in tables:
+            clean = np.ones(table.num_rows, bool)
+            for start, texts in batches(table, text_col):
+                clean[[start + i for i, _, _ in found.find(texts)]] = False
+            yield table.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, batches, cut, mix, read, session
+from .common import Words, batches, cut, mix, read, rolling, session
 from .shelf import Shelf, keys_only, shelve
 
 MIN_WORDS = 50
@@ -49,19 +49,6 @@ STEP_WINDOWS = 500_000
 #: Documents that one task streams through a shard, about.
 TASK_DOCS = 4_000
 
-_B = np.uint64(0x9E3779B97F4A7C15)
-_POW: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B ** i and B ** -i modulo 2 ** 64."""
-    if not _POW or len(_POW[0]) < n:
-        size = max(n, 1 << 19)
-        inverse = np.uint64(pow(int(_B), -1, 1 << 64))
-        _POW[:] = [np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)].cumprod(dtype=np.uint64) for x in (_B, inverse)]
-    return _POW[0][:n], _POW[1][:n]
-
-
 def _slide_min(a: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours."""
     span = 1
@@ -82,10 +69,7 @@ def keys(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray,
     flat = np.fromiter(chain.from_iterable(lists), np.uint64, n)
     owner = np.repeat(np.arange(len(lists)), sizes)
     first = np.cumsum(sizes) - sizes
-    up, down = _powers(n)
-    total = np.r_[np.uint64(0), np.cumsum(flat * up, dtype=np.uint64)]
-    roll = lambda k: mix((total[k:] - total[:-k]) * down[: n - k + 1])
-    whole, least = roll(MIN_WORDS), _slide_min(roll(K), MIN_WORDS - K + 1)
+    whole, least = mix(rolling(flat, MIN_WORDS)), _slide_min(mix(rolling(flat, K)), MIN_WORDS - K + 1)
     at = np.flatnonzero(owner[: n - MIN_WORDS + 1] == owner[MIN_WORDS - 1 :])
     if not len(at):
         return empty, empty.astype(np.int64), empty.astype(np.int64), empty.astype(np.int64), empty
