@@ -1,38 +1,52 @@
 """Mixing sources to target weights: soft membership and projected-gradient least squares.
 
 1. A softmax classifier over hashed byte pairs is fitted on a bounded sample of the documents that the label table
-   covers; its classes are the domains (production: the language). Every document gets a posterior over the domains.
+   covers; its classes are the domains (production: the language). Every document gets a posterior over the domains,
+   in steps of 1 / STEPS.
 2. Nonnegative document rates r minimise sum_d ((sum_i r_i t_i p_id - T_d) / T)^2, where t_i are the document's
-   tokens, p_id its posteriors and T_d the target tokens of a domain. Rates start at 1; a step is
-   r_i <- max(0, r_i - step * sum_d p_id g_d), the gradient scaled by each document's own weight, so all documents
-   move at their domains' pace whatever their length.
-3. A rate is a function of the posteriors and of the gradients so far, so a round keeps no state per document: the
-   executors replay the D-vectors of earlier rounds over the posteriors and return D sums.
-
-The target total is by default the least that needs no rate below 1 where domains are disjoint (epochs are
-added to what is short, 1 % more than that for soft memberships; nothing is thrown away). apply() turns rates into copies: floor(r) and one more with
-probability r - floor(r), decided by a hash.
-
-Defined cases. Null or empty text: 0 tokens, the prior as posterior, rate by the same formula. Domains of weight 0 or
-less, and ones that no label shows, are left out and the rest scaled to 1. No usable domain or an empty table: rates
-of 1. Null labels are ignored; a document labelled twice counts once. Repeated rows each get the same rate, and the
-same number of copies. Extra columns of any name pass through apply().
+   tokens, p_id its posteriors and T_d the target tokens of a domain. Rates start at 1. The sure step is the projected
+   gradient under a fixed diagonal scaling, r_i <- max(0, r_i - (sum_d p_id g_d) / (sum_d p_id c_d)), where g is what a
+   domain has too much and c what it has at rate 1: the scaling is the row sums of the Hessian, which has no negative
+   entry, so it bounds the curvature and the objective falls, whatever the posteriors. Each round measures this step
+   beside bolder ones (multiples of it, momentum, and steps scaled by the D x D curvature of the documents that are free
+   to move) and takes the one of the least objective; so it never rises, and rates stay finite.
+3. It ends where the sure step would move at most TOLERANCE / 100 of the target tokens, which is the optimality
+   condition, met also where the targets can't be reached, or where all targets are met within TOLERANCE. Rates that
+   haven't got there after ROUNDS are reported by a warning.
+4. Documents of equal posteriors get equal rates, so the rounds run over the distinct posteriors with summed tokens. A
+   rate is a function of the posterior and of the D-vectors of the rounds: executors replay them, the driver holds D
+   numbers a round.
+
+The target total is by default the least that needs no rate below 1 where domains are disjoint (epochs are added to what
+is short, 1 % more than that for soft memberships; nothing is thrown away). Domains that have no target, or one of 0 or
+less, are left alone: they don't count in the objective, so their documents keep about rate 1. apply() turns rates into
+copies: floor(r) and one more with probability r - floor(r), decided by a hash.
+
+Defined cases. Null or empty text: 0 tokens, the prior as posterior, rate by the same formula. Targets that no label
+shows are left out and the rest scaled to 1. No usable domain or an empty table: rates of 1. Null labels are ignored; a
+document labelled twice counts once, and of several rows of a labelled id one is learnt from. Repeated rows each get the
+same rate, and the same number of copies. Extra columns of any name pass through apply().
 """
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, cut, read, session
+from .common import batches, cut, fresh, read, session
 
 MAX_LABELLED = 4000
 DIM = 1024
-ROUNDS = 60
+ROUNDS = 200
 TOLERANCE = 1e-4
+#: Steps of a posterior.
+STEPS = 1000
 #: Shares of the token total by domain in production.
 TARGETS = {"en": 0.52, "de": 0.18, "fr": 0.18, "es": 0.12}
 
@@ -69,7 +83,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_c
                 x, _ = features(texts)
                 yield pa.RecordBatch.from_arrays([table.column("__gw_d").slice(start, len(texts)), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["d", "x"])
 
-    rows = joined.mapInArrow(run, "d string, x array<float>").toPandas()
+    # one row of an id, chosen by content: repeated documents don't pile up
+    one = joined.groupBy("__gw_id").agg(F.min_by(F.struct("__gw_t", "__gw_d"), F.xxhash64("__gw_t", "__gw_d")).alias("x")).select("x.*")
+    rows = one.mapInArrow(run, "d string, x array<float>").toPandas()
     if not len(rows):
         return [], np.zeros((0, DIM + 1))
     names = sorted(rows["d"].unique())
@@ -87,10 +103,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_c
     return names, w
 
 
-def members(docs: DataFrame, names: list[str], w: np.ndarray, id_col: str, text_col: str, drop: tuple[str, ...] = (), steps: list[np.ndarray] | None = None) -> DataFrame:
-    """docs (without drop) and __gw_tokens, __gw_post; with steps also __gw_rate, in the same pass over the texts."""
+def members(docs: DataFrame, names: list[str], w: np.ndarray, text_col: str, added: tuple[str, str, str], drop: tuple[str, ...] = (), path: Path | None = None) -> DataFrame:
+    """docs (without drop) with tokens, posterior and (with a path) rate under the added names, in one pass over the texts."""
     kept = [f for f in docs.schema.fields if f.name not in drop]
-    added = [T.StructField("__gw_tokens", T.LongType()), T.StructField("__gw_post", T.ArrayType(T.DoubleType()))] + [T.StructField("__gw_rate", T.DoubleType())] * (steps is not None)
+    fields = [T.StructField(added[0], T.LongType()), T.StructField(added[1], T.ArrayType(T.DoubleType()))] + [T.StructField(added[2], T.DoubleType())] * (path is not None)
 
     def run(tables):
         for table in tables:
@@ -98,92 +114,154 @@ def members(docs: DataFrame, names: list[str], w: np.ndarray, id_col: str, text_
             for _, texts in batches(table, text_col):
                 x, t = features(texts)
                 tokens.append(t)
-                post.append(softmax(x @ w[:, :-1].T + w[:, -1]) if names else np.zeros((len(texts), 0)))
+                post.append(stepped(softmax(x @ w[:, :-1].T + w[:, -1])) if names else np.zeros((len(texts), 0)))
             post = np.concatenate(post) if post else np.zeros((0, len(names)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(post) + 1) * len(names), pa.int32()), pa.array(post.ravel()))
-            rate = [] if steps is None else [pa.array(replay(post, steps))]
-            yield pa.RecordBatch.from_arrays([*[table.column(f.name) for f in kept], pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), lists, *rate], names=[f.name for f in [*kept, *added]])
-
-    return docs.mapInArrow(run, T.StructType([*kept, *added]))
-
-
-def replay(post: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """The rates after the given gradient steps."""
-    r = np.ones(len(post))
-    for g in steps:
-        r = np.maximum(0.0, r - post @ g)
-    return r
+            rate = [] if path is None else [pa.array(path.replay(post)[0])]
+            yield pa.RecordBatch.from_arrays([*[table.column(f.name) for f in kept], pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), lists, *rate], names=[f.name for f in [*kept, *fields]])
+
+    return docs.mapInArrow(run, T.StructType([*kept, *fields]))
+
+
+def stepped(post: np.ndarray) -> np.ndarray:
+    """Posteriors in whole steps that still add up to 1: the largest remainders are rounded up."""
+    x = post * STEPS
+    low = np.floor(x)
+    missing = np.rint(STEPS - low.sum(1)).astype(int)
+    rank = np.argsort(np.argsort(low - x, axis=1, kind="stable"), axis=1, kind="stable")
+    return (low + (rank < missing[:, None])) / STEPS
+
+
+@dataclass
+class Path:
+    """The steps taken, D numbers each: enough to find the rate of any posterior."""
+
+    scale: np.ndarray
+    goal: np.ndarray
+    #: (kind, D-vector, factor): see stepped_by().
+    steps: list[tuple[str, np.ndarray, float]] = field(default_factory=list)
+    #: Expected tokens by domain at the end, and whether the optimality condition is met.
+    got: np.ndarray | None = None
+    converged: bool = True
+
+    def weight(self, post: np.ndarray) -> np.ndarray:
+        w = post @ self.scale
+        return np.where(w > 0, w, np.inf)
+
+    def stepped_by(self, post: np.ndarray, w: np.ndarray, r: np.ndarray, before: np.ndarray, step: tuple[str, np.ndarray, float]) -> np.ndarray:
+        """The rates after one more step: by the scaled gradient, by a curvature's direction, or by momentum beyond the
+        sure step."""
+        kind, u, factor = step
+        if kind == "curved":
+            return np.maximum(0.0, r - factor * (post @ u))
+        if kind == "scaled":
+            return np.maximum(0.0, r - factor * (post @ u) / w)
+        sure = np.maximum(0.0, r - (post @ u) / w)
+        return np.maximum(0.0, sure + factor * (sure - before))
+
+    def replay(self, post: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rates, rates before the last step)."""
+        r = before = np.ones(len(post))
+        w = self.weight(post)
+        for step in self.steps:
+            before, r = r, self.stepped_by(post, w, r, before, step)
+        return r, before
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, width)
 
 
-def solve(table: DataFrame, names: list[str], targets: dict[str, float], total: float | None, rounds: int, tolerance: float) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(steps, target tokens, expected tokens) from a cut table of (__gw_tokens, __gw_post)."""
+def solve(cells: DataFrame, names: list[str], targets: dict[str, float], total: float | None, rounds: int, tolerance: float) -> Path:
+    """The rounds over a cut table of (tokens, post)."""
     weight = np.array([max(0.0, targets.get(n, 0.0)) for n in names])
     width = len(names)
 
-    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens by domain, and the curvature sum_i t_i p_i p_i' of the documents whose rate is above 0."""
+    def summed(size: int, of) -> np.ndarray:
+        """The sum over all cells of the size numbers that of(posteriors, tokens) gives for a batch."""
 
         def run(tables):
             for b in tables:
-                p, t = _matrix(b.column("__gw_post"), width), np.asarray(b.column("__gw_tokens")).astype(float)
-                r = replay(p, steps)
-                at = (p * ((r > 0) * t)[:, None]).T @ p
-                yield pa.RecordBatch.from_arrays([pa.array([list(t * r @ p) + list(at.ravel())], pa.list_(pa.float64()))], names=["s"])
-
-        parts = table.mapInArrow(run, "s array<double>").select(F.posexplode("s")).groupBy("pos").agg(F.sum("col")).collect()
-        out = np.zeros(width + width * width)
-        for k, v in parts:
+                v = of(_matrix(b.column("post"), width), np.asarray(b.column("tokens")).astype(float))
+                yield pa.RecordBatch.from_arrays([pa.array([v.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+        out = np.zeros(size)
+        for k, v in cells.mapInArrow(run, "s array<double>").select(F.posexplode("s")).groupBy("pos").agg(F.sum("col")).collect():
             out[k] = v
-        return out[:width], out[width:].reshape(width, width)
+        return out
 
-    now, curve = sums([]) if width else (np.zeros(0), np.zeros((0, 0)))
+    path = Path(np.zeros(width), np.zeros(width))
+    now = summed(width, lambda p, t: t @ p) if width else np.zeros(0)
+    path.scale, path.got = now, now
     usable = (weight > 0) & (now > 0)
     if not usable.any():
-        return [], now, now
+        return path
     share = np.where(usable, weight, 0) / weight[usable].sum()
-    goal = share * (total if total else float((now[usable] / share[usable]).max() * 1.01))
-    steps: list[np.ndarray] = []
-    scale = goal.sum()
+    path.goal = share * (total if total else float((now[usable] / share[usable]).max() * 1.01))
+    gap = lambda s: np.where(usable, s - path.goal, 0)
+    most = tolerance * path.goal.sum()
+
+    def around(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Tokens that the sure step moves, and the curvature of the documents that are above 0 or will be, and that will be."""
+        r, _ = path.replay(p)
+        sure = np.maximum(0.0, r - (p @ g) / path.weight(p))
+        free = [(p * (t * a)[:, None]).T @ p for a in ((r > 0) | (sure > 0), sure > 0)]
+        return np.concatenate([[t @ np.abs(sure - r)], *(x.ravel() for x in free)])
+
+    def tried(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+        r, before = path.replay(p)
+        w = path.weight(p)
+        return np.concatenate([(t * path.stepped_by(p, w, r, before, x)) @ p for x in steps])
+
     for _ in range(rounds):
-        gap = now - goal
-        if np.abs(gap).max() <= tolerance * scale:
+        g = gap(now)
+        if np.abs(g).max() <= most / width:
             break
-        # curvature by domain makes the step a Newton step while no rate is at 0; damped when some are
-        steps.append(np.linalg.lstsq(curve + 1e-9 * np.eye(width) * max(1.0, np.trace(curve)), gap, rcond=None)[0])
-        now, curve = sums(steps)
-    return steps, goal, now
-
-
-def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, tolerance: float = TOLERANCE, drop: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """(docs with __gw_tokens, __gw_post, __gw_rate, the domains)."""
+        found = summed(1 + 2 * width * width, around)
+        if found[0] <= most / 100:
+            break
+        steps = [("scaled", g, f) for f in (1.0, 3.0, 10.0, 40.0)] + [("momentum", g, f) for f in (2.0, 8.0)]
+        for c in found[1:].reshape(2, width, width):
+            u = np.linalg.lstsq(c + 1e-9 * max(1.0, np.trace(c)) * np.eye(width), g, rcond=None)[0]
+            steps += [("curved", u, f) for f in (1.0, 0.3, 0.1)]
+        sums = summed(width * len(steps), tried).reshape(len(steps), width)
+        best = int(np.argmin([np.square(gap(s)).sum() for s in sums]))
+        path.steps.append(steps[best])
+        now = path.got = sums[best]
+    else:
+        path.converged = False
+        warnings.warn(f"rates aren't settled after {rounds} rounds: {now.round().tolist()} tokens for {path.goal.round().tolist()}", stacklevel=2)
+    return path
+
+
+def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, tolerance: float = TOLERANCE, drop: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], tuple[str, str, str]]:
+    """(docs with tokens, posterior and rate, the domains, the names of the three columns)."""
     session(docs)
     names, w = fit(docs, labels, id_col, text_col, domain_col, max_labelled)
-    table = cut(members(docs.select(F.col(id_col).alias("__gw_id"), F.col(text_col).alias("__gw_t")), names, w, "__gw_id", "__gw_t", ("__gw_id", "__gw_t")))
-    steps, _, _ = solve(table, names, TARGETS if targets is None else targets, total, rounds, tolerance)
-    return members(docs, names, w, id_col, text_col, drop, steps), names
+    said = members(docs.select(F.col(text_col).alias("t")), names, w, "t", ("tokens", "post", ""), ("t",))
+    cells = cut(said.groupBy("post").agg(F.sum("tokens").alias("tokens")))
+    path = solve(cells, names, TARGETS if targets is None else targets, total, rounds, tolerance)
+    added = tuple(fresh(docs, x) for x in ("__gw_tokens", "__gw_post", "__gw_rate"))
+    return members(docs, names, w, text_col, added, drop, path), names, added
 
 
 def rates(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """id, tokens, posterior (by domain name), rate of every document."""
     id_col, text_col, domain = kw.get("id_col", "doc_id"), kw.get("text_col", "text"), kw.get("domain_col", "lang")
-    out, names = rated(docs.select(*dict.fromkeys([id_col, text_col, domain])), labels, drop=(text_col,), **kw)
-    post = F.map_from_arrays(F.array(*map(F.lit, names)).cast("array<string>"), F.transform("__gw_post", lambda x: F.round(x, 6)))
-    return out.select(id_col, F.col("__gw_tokens").alias("tokens"), post.alias("posterior"), F.round("__gw_rate", 6).alias("rate"))
+    out, names, (tokens, posterior, rate) = rated(docs.select(*dict.fromkeys([id_col, text_col, domain])), labels, drop=(text_col,), **kw)
+    post = F.map_from_arrays(F.array(*map(F.lit, names)).cast("array<string>"), posterior)
+    return out.select(id_col, F.col(tokens).alias("tokens"), post.alias("posterior"), F.round(rate, 6).alias("rate"))
 
 
 def apply(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """docs, its columns as they are, each row as often as its rate says."""
     id_col, text_col = kw.get("id_col", "doc_id"), kw.get("text_col", "text")
-    out, _ = rated(docs, labels, **kw)
+    out, _, (_, _, name) = rated(docs, labels, **kw)
     chance = F.pmod(F.xxhash64(F.lit("mix"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(1 << 30)) / float(1 << 30)
     # rates are rounded: replays on other batches may differ in the last bits
-    rate = F.round("__gw_rate", 6)
+    rate = F.round(name, 6)
     copies = F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)
-    return out.withColumn("__gw_k", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn(fresh(out, "__gw_k"), F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
