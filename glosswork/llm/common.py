@@ -11,7 +11,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_ROWS = 1_000_000
 #: Characters that one vectorised step handles at a time; longer texts are one step of their own.
 STEP_CHARS = 1_000_000
 WORD = re.compile(r"\w+")
@@ -58,10 +57,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return stored(df)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -71,7 +66,8 @@ def fresh(df: DataFrame, name: str) -> str:
     taken = {c.lower() for c in df.columns}
     k, out = 1, name
     while out.lower() in taken:
-        k, out = k + 1, f"{name}_{k}"
+        k += 1
+        out = f"{name}_{k}"
     return out
 
 

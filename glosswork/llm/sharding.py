@@ -1,27 +1,30 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Documents form groups that stay together: a source, cut by a hash of the id into parts of about GRAIN of a shard where
-it is larger (so a hot source spreads). A group is a vector (bytes, tokens, rows) in units of a shard's share. Groups,
-largest first, go to the shard where the dot product of the group with the residual capacity is highest among those
-that it fits into; where it fits none, to the one it overfills least.
-
-One packing handles at most POOL_GROUPS groups. With more, groups are hashed into pools, each with its own shards, and
-the pools are packed in parallel (applyInPandas): the work grows linearly with the corpus and the driver holds none.
-
-Defined cases. Null or empty text: 0 bytes, 0 tokens, 1 row. Null source: a source of its own; null id: hashed like a
-value. Repeated rows fall into one group and each counts. Ties of the dot product: the lowest shard; ties of size: by
-group name. An empty table: an empty result. assign() passes columns of any name through and adds shard_id (named
-__gw_shard_id where the documents have a shard_id already).
+Documents form groups that stay together: a source, cut by a hash of the id (of the text where there is no id) into as
+many parts as make each about GRAIN of a shard in bytes, tokens and rows alike, so a hot source spreads whatever its
+size. Where parts would hold only a few rows anyway, every id is a part of its own. A part that is still far larger,
+because many rows have one id or no id and one text, is cut further by row. A group is a vector (bytes, tokens, rows) in
+units of a shard's share of all. Groups, largest first, go to the shard where the dot product of the group with the
+residual capacity is highest among those that it fits into; where it fits none, to the one it overfills least.
+
+One packing handles about POOL_GROUPS groups. Groups are hashed into pools of that size, a pool gets as many shards as
+its weight asks, rounded up, and all shards of all pools have the same capacity. The pools are packed in parallel
+(applyInArrow): the work grows linearly with the corpus and the driver holds three totals.
+
+Defined cases. Null or empty text: 0 bytes, 0 tokens, 1 row. Null source: a source of its own. Repeated rows each count.
+Ties of the dot product: the lowest shard; ties of size: by group. An empty table: an empty result. A document larger
+than a shard has one that it overfills. assign() passes columns of any name through and adds shard_id, with a number
+where the documents have such a column already (names have no case).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, read, session
+from .common import cut, fresh, read, session, stored
 
 #: Bytes of text of a full shard.
 SHARD_BYTES = 16 << 20
@@ -32,12 +35,14 @@ POOL_GROUPS = 4096
 SLACK = 1.02
 
 
-def pack(size: np.ndarray, n_shards: int, slack: float = SLACK) -> np.ndarray:
-    """Shard of each group (rows of size: bytes, tokens, rows), placed in the order given."""
-    total = size.sum(0)
-    unit = size / np.where(total > 0, total / n_shards, 1)
-    left = np.full((n_shards, size.shape[1]), slack)
-    at = np.zeros(len(size), np.int64)
+#: Parts of fewer rows than this on the average are single ids instead.
+FEW_ROWS = 16
+
+
+def pack(unit: np.ndarray, n_shards: int, slack: float = SLACK) -> np.ndarray:
+    """Shard of each group (rows of unit: shares of a shard's bytes, tokens, rows), placed in the order given."""
+    left = np.full((n_shards, unit.shape[1]), slack)
+    at = np.zeros(len(unit), np.int64)
     for i, g in enumerate(unit):
         fits = (left >= g - 1e-12).all(1)
         if fits.any():
@@ -49,56 +54,96 @@ def pack(size: np.ndarray, n_shards: int, slack: float = SLACK) -> np.ndarray:
     return at
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    text = F.col(f"`{text_col}`")
-    return docs.select(
-        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("\x00")).alias("s"),
-        F.xxhash64(F.col(f"`{id_col}`")).alias("h"),
-        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("b"),
-        F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long").alias("t"),
-    )
+def _source(docs: DataFrame, source_col: str) -> Column:
+    return F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("\x00"))
 
 
-def layout(docs: DataFrame, id_col: str, text_col: str, source_col: str, shard_bytes: int, grain: float, pool_groups: int) -> tuple[DataFrame, DataFrame, bool]:
-    """(sources with their number of parts, groups with their shard; both cut, whether a broadcast suits the groups)."""
-    session(docs)
-    # 4096 fine parts a source are summed over the documents once; groups and sources follow from them
-    fine = cut(measured(docs, id_col, text_col, source_col).groupBy("s", F.pmod("h", F.lit(4096)).alias("f")).agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("r")))
-    total = fine.agg(F.sum("b")).first()[0] or 0
-    most = max(1.0, shard_bytes * grain)
-    # powers of two nest in the fine parts
-    parts = cut(fine.groupBy("s").agg(F.sum("b").alias("b")).select("s", F.least(F.lit(4096), F.pow(2, F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("b") / most)))))).cast("int").alias("k")))
-    grouped = cut(fine.join(parts, "s").groupBy("s", F.pmod("f", "k").alias("g")).agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("r").alias("r")))
-    n_groups = grouped.count()
-    pools = max(1, -(-n_groups // pool_groups))
-    n_shards = max(1, -(-total // shard_bytes), pools)
-    base, more = divmod(n_shards, pools)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = int(pdf["pool"].iloc[0])
-        n, first = base + (pool < more), pool * base + min(pool, more)
-        pdf = pdf.assign(m=(pdf[["b", "t", "r"]] / np.maximum(pdf[["b", "t", "r"]].sum(), 1)).max(axis=1).round(15)).sort_values(["m", "s", "g"], ascending=[False, True, True])
-        return pdf[["s", "g", "b", "t", "r"]].assign(shard=pack(pdf[["b", "t", "r"]].to_numpy(float), n) + first)
-
-    placed = cut(grouped.withColumn("pool", F.pmod(F.xxhash64("s", "g"), F.lit(pools)).cast("int")).groupBy("pool").applyInPandas(run, "s string, g int, b long, t long, r long, shard long"))
-    return parts, placed, n_groups <= BROADCAST_ROWS
+def _hash(id_col: str, text_col: str) -> Column:
+    """63 bits of the id, or of the text where there is no id."""
+    i = F.col(f"`{id_col}`")
+    return F.shiftrightunsigned(F.when(i.isNull(), F.xxhash64(F.lit("text"), F.col(f"`{text_col}`"))).otherwise(F.xxhash64(i)), 1)
+
+
+def _row() -> Column:
+    """A number for the cut of parts by row: the place of the row in its partition."""
+    return F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 1)
+
+
+def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """(s, h, u, b, t): source, hashes of the id and of the row, bytes and tokens."""
+    text = F.col(f"`{text_col}`")
+    b, t = F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
+    return docs.select(_source(docs, source_col).alias("s"), _hash(id_col, text_col).alias("h"), _row().alias("u"), b.alias("b"), t.alias("t"), *more)
+
+
+def layout(rows: DataFrame, shard_bytes: int, grain: float, pool_groups: int) -> tuple[DataFrame, DataFrame]:
+    """((s, k): parts of a source, 0 for single ids; (s, g, m, j, shard): the shard of cut j of m of a part); stored."""
+    one = rows.agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("r")).first()
+    total = [float(one[c] or 0) for c in "btr"]
+    n_shards = max(1, -(-int(total[0]) // shard_bytes))
+    unit = [x / n_shards if x else 1.0 for x in total]
+    share = lambda: F.greatest(*[F.col(c) / u for c, u in zip("btr", unit)])
+    sums = [F.sum("b").alias("b"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("r"), F.max("b").alias("mb"), F.max("t").alias("mt")]
+    k = F.greatest(F.lit(1), F.ceil(share() / grain))
+    parts = stored(rows.groupBy("s").agg(*sums).select("s", F.when((k > 1) & (k * FEW_ROWS > F.col("r")), 0).otherwise(k).cast("long").alias("k")))
+    groups = rows.join(parts, "s").groupBy("s", part(F.col("h"), F.col("k")).alias("g")).agg(*sums)
+    # by row, as long as one row doesn't make up the part
+    room = F.least(F.col("r"), *[F.floor(F.col(c) / F.greatest(F.col(f"m{c}"), F.lit(1))) + F.when(F.col(c) == 0, F.col("r")).otherwise(0) for c in "bt"])
+    m = F.when(share() > 4 * grain, F.greatest(F.lit(1), F.least(F.ceil(share() / grain), room))).otherwise(1)
+    pieces = cut(groups.withColumn("m", m.cast("long")).select("s", "g", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"), *[(F.col(c) / F.col("m") / u).alias(c) for c, u in zip("btr", unit)]))
+    pools = max(1, -(-pieces.count() // pool_groups))
+    pooled = cut(pieces.withColumn("pool", F.pmod(F.xxhash64("s", "g", "j"), F.lit(pools))))
+    # a pool of at most so many groups has its weight's share of the shards
+    weight = (F.sum("b") + F.sum("t") + F.sum("r")) / F.greatest(F.lit(1), F.lit(sum(x > 0 for x in total)))
+    sizes = stored(pooled.groupBy("pool").agg(F.greatest(F.lit(1), F.ceil(F.round(weight, 6))).cast("long").alias("n")))
+    first = stored(sizes.select("pool", "n", (F.sum("n").over(Window.orderBy("pool")) - F.col("n")).alias("first")))
+
+    def run(t: pa.Table) -> pa.Table:
+        size = np.column_stack([np.asarray(t.column(c)) for c in "btr"])
+        names = list(zip(t.column("s").to_pylist(), t.column("g").to_pylist(), t.column("j").to_pylist()))
+        big = np.round(size.max(1), 12)
+        order = np.array(sorted(range(len(names)), key=lambda i: (-big[i], names[i])))
+        shard = np.empty(len(names), np.int64)
+        shard[order] = pack(size[order], t.column("n")[0].as_py()) + t.column("first")[0].as_py()
+        return pa.table([t.column("s"), t.column("g"), t.column("m"), t.column("j"), pa.array(shard)], names=["s", "g", "m", "j", "shard"])
+
+    placed = pooled.join(first, "pool").groupBy("pool").applyInArrow(run, "s string, g long, m long, j long, shard long")
+    return parts, stored(placed)
+
+
+def part(h: Column, k: Column) -> Column:
+    """The part of an id: its hash itself where every id is a part."""
+    return F.when(k == 0, h).otherwise(F.pmod(h, F.greatest(k, F.lit(1))))
+
+
+def located(keyed: DataFrame, parts: DataFrame, placed: DataFrame, s: str, h: str, u: str, out: str) -> DataFrame:
+    """keyed with the shard of each row; s, h, u: its columns of source and hashes."""
+    k, g, m, ps, gs, gg, j = (fresh(keyed, f"__gw_{x}") for x in ("parts", "part", "cuts", "ps", "gs", "gg", "j"))
+    keyed = keyed.join(parts.select(F.col("s").alias(ps), F.col("k").alias(k)), F.col(s) == F.col(ps)).withColumn(g, part(F.col(h), F.col(k)))
+    # a part's first cut says how many there are
+    lists = placed.groupBy("s", "g").agg(F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("j", "shard"))).alias("x"))
+    lists = stored(lists.select(F.col("s").alias(gs), F.col("g").alias(gg), F.col("m").alias(m), F.transform("x", lambda x: x["shard"]).alias(j)))
+    at = F.get(F.col(j), F.pmod(F.col(u), F.col(m)).cast("int"))
+    return keyed.join(lists, (F.col(s) == F.col(gs)) & (F.col(g) == F.col(gg))).withColumn(out, at)
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_bytes: int = SHARD_BYTES, grain: float = GRAIN, pool_groups: int = POOL_GROUPS) -> DataFrame:
     """docs, its columns as they are, and the shard of each row."""
-    name = "shard_id" if "shard_id" not in docs.columns else "__gw_shard_id"
-    parts, placed, light = layout(docs, id_col, text_col, source_col, shard_bytes, grain, pool_groups)
-    to = (lambda d: F.broadcast(d)) if light else (lambda d: d)
-    keyed = docs.withColumns({"__gw_s": F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("\x00")), "__gw_f": F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(4096))})
-    keyed = keyed.join(to(parts.select(F.col("s").alias("__gw_s"), F.col("k").alias("__gw_parts"))), "__gw_s").withColumn("__gw_g", F.pmod("__gw_f", "__gw_parts"))
-    out = keyed.join(to(placed.select(F.col("s").alias("__gw_s"), F.col("g").alias("__gw_g"), F.col("shard").alias("__gw_at"))), ["__gw_s", "__gw_g"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__gw_at").alias(name))
-
-
-def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
-    """id, source, bytes, tokens, shard_id of every row."""
-    out = assign(docs.select(F.col(id_col).alias("__gw_id"), F.col(text_col).alias("__gw_t"), F.col(source_col).alias("__gw_src")), "__gw_id", "__gw_t", "__gw_src", **kw)
-    return out.select(F.col("__gw_id").alias(id_col), F.col("__gw_src").alias(source_col), F.coalesce(F.octet_length("__gw_t"), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.regexp_count("__gw_t", F.lit(r"\S+")), F.lit(0)).cast("long").alias("tokens"), "shard_id")
+    session(docs)
+    parts, placed = layout(cut(measured(docs, id_col, text_col, source_col)), shard_bytes, grain, pool_groups)
+    name = fresh(docs, "shard_id")
+    s, h, u, out = (fresh(docs, f"__gw_{x}") for x in ("s", "h", "u", "at"))
+    keyed = docs.withColumns({s: _source(docs, source_col), h: _hash(id_col, text_col), u: _row()})
+    return located(keyed, parts, placed, s, h, u, out).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(out).alias(name))
+
+
+def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_bytes: int = SHARD_BYTES, grain: float = GRAIN, pool_groups: int = POOL_GROUPS) -> DataFrame:
+    """id, source, bytes, tokens, shard_id of every row; texts are read once."""
+    session(docs)
+    rows = cut(measured(docs, id_col, text_col, source_col, F.col(f"`{id_col}`").alias("i"), F.col(f"`{source_col}`").alias("from")))
+    parts, placed = layout(rows, shard_bytes, grain, pool_groups)
+    out = located(rows, parts, placed, "s", "h", "u", "at")
+    return out.select(F.col("i").alias(id_col), F.col("from").alias(source_col), F.col("b").alias("bytes"), F.col("t").alias("tokens"), F.col("at").alias("shard_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
