@@ -3,15 +3,16 @@
 1. A logistic model over surface features (symbol, shout, table, repetition rates; vectorised over Arrow batches) and
    the hashed distinct words of the whole text is fitted on a bounded sample of labelled documents. A document is good
    only if its quality is 1 and it isn't toxic.
-2. Every document gives evidence to its host and to its path on the host: its label where it has one, else the
-   classifier's probability. Grouped aggregation sums the evidence over all documents.
+2. Every document gives evidence to its host and to its path on the host: the classifier's probability, for labelled
+   documents too, so a label moves a site only through the classifier. Grouped aggregation sums the evidence over all
+   documents.
 3. The prior strength of each level is estimated by moments from the spread of the site means; a path is shrunk
    toward its host and a host toward the global mean, the document's own evidence left out.
 4. posterior logit = classifier logit + logit(path posterior) - logit(global mean).
 
 Defined cases. Null or empty text: no evidence of its own (classifier logit = prior logit), so the site decides.
 Null source or language: they form a site of their own. Null labels are no labels (toxic
-alone makes a document bad, a null there doesn't); a document labelled twice counts the mean of its labels. Empty documents: an empty result. No labels or only one class: the classifier is
+alone makes a document bad, a null there doesn't); a document labelled twice counts the mean of its labels, and of several rows of a labelled id one is learnt from. Empty documents: an empty result. No labels or only one class: the classifier is
 constant at the smoothed mean of what there is (0.5 with none) and everything at or above the threshold is kept.
 Repeated rows are scored alike and each counts. Extra columns of any name pass through keep().
 """
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, WORD, batches, cut, read, session
+from .common import WORD, batches, cut, fresh, read, session, stored
 
 #: Most labelled documents that the classifier is fitted on (taken by hash order).
 MAX_LABELLED = 6000
@@ -101,8 +102,8 @@ def surface(texts: list[str]) -> np.ndarray:
     ])
 
 
-def with_logit(docs: DataFrame, text_col: str, w: np.ndarray, base: float, drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs (without drop) and a column __gw_logit; base where there is no text."""
+def with_logit(docs: DataFrame, text_col: str, w: np.ndarray, base: float, name: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs (without drop) and the logit under a name; base where there is no text."""
     kept = [f for f in docs.schema.fields if f.name not in drop]
     ids = np.flatnonzero(w[SURFACE:-1])
     own, weights = np.append(w[:SURFACE], w[-1]), w[SURFACE:-1][ids]
@@ -115,9 +116,9 @@ def with_logit(docs: DataFrame, text_col: str, w: np.ndarray, base: float, drop:
                 have = [i for i, t in enumerate(texts) if t]
                 if have:
                     out[[start + i for i in have]] = np.clip(logits([texts[i] for i in have], own, words), -30, 30)
-            yield pa.RecordBatch.from_arrays([*[table.column(f.name) for f in kept], pa.array(out)], names=[*[f.name for f in kept], "__gw_logit"])
+            yield pa.RecordBatch.from_arrays([*[table.column(f.name) for f in kept], pa.array(out)], names=[*[f.name for f in kept], name])
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("__gw_logit", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.DoubleType())]))
 
 
 def labelled(labels: DataFrame, id_col: str, label_col: str, toxic_col: str | None) -> DataFrame:
@@ -133,6 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     known = labelled(labels, id_col, label_col, toxic_col).withColumnRenamed("__gw_lid", "__gw_id")
     sample = known.orderBy(F.xxhash64("__gw_id"), "__gw_id").limit(max_labelled)
     joined = docs.select(F.col(id_col).alias("__gw_id"), F.col(text_col).alias("__gw_t")).join(F.broadcast(sample), "__gw_id").where(F.length("__gw_t") > 0)
+    # one row of an id, chosen by content: repeated documents don't pile up
+    joined = joined.groupBy("__gw_id").agg(F.min_by(F.struct("__gw_t", "__gw_y"), F.xxhash64("__gw_t")).alias("x")).select("x.*")
 
     def run(tables):
         for table in tables:
@@ -220,46 +223,55 @@ def strengths(sites: DataFrame, level: list[str], floor: float = 2.0, most: floa
     return m, float(min(most, max(floor, m * (1 - m) / between - 1))) if between > 0 else most
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, label_col: str = "quality", toxic_col: str | None = "toxic", max_labelled: int = MAX_LABELLED, broadcast_rows: int = BROADCAST_ROWS, drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with a column __gw_post (posterior probability of good quality) and __gw_logit, __gw_path.
-
-    host defaults to the source column up to its first '/', path to the rest of the source and the language."""
-    session(docs)
+def _sites(host: Column | None, path: Column | None) -> tuple[Column, Column]:
+    """Host and path of a document: by default the source up to its first '/', and its rest with the language."""
     host = F.element_at(F.split("source", "/"), 1) if host is None else host
     path = F.concat_ws("/", F.regexp_replace("source", "^[^/]*/?", ""), "lang") if path is None else path
+    return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
+
+
+def evidence(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: Column | None, path: Column | None, label_col: str, toxic_col: str | None, max_labelled: int):
+    """(weights, base logit, cut narrow table (i, h, p, logit) of all documents, prior): prior adds site and posterior to
+    a frame that has a logit, a host and a path."""
+    session(docs)
     w, mean = fit(docs, labels, id_col, text_col, label_col, max_labelled, toxic_col)
     base = math.log(mean / (1 - mean))
-    known = labelled(labels, id_col, label_col, toxic_col)
-    # one narrow pass: what each document says, without its text
-    said = with_logit(docs.select(F.col(id_col).alias("__gw_id"), F.coalesce(host, F.lit("")).alias("h"), F.coalesce(path, F.lit("")).alias("p"), F.col(text_col).alias("__gw_t")), "__gw_t", w, base, ("__gw_t",))
-    said = said.join(known, said["__gw_id"] == known["__gw_lid"], "left").select("h", "p", F.coalesce("__gw_y", 1 / (1 + F.exp(-F.col("__gw_logit")))).alias("e"))
-    sites = cut(said.groupBy("h", "p").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("e").alias("s")))
+    h, p = _sites(host, path)
+    said = cut(with_logit(docs.select(F.col(id_col).alias("i"), h.alias("h"), p.alias("p"), F.col(text_col).alias("t")), "t", w, base, "logit", ("t",)))
+    sites = cut(said.groupBy("h", "p").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(1 / (1 + F.exp(-F.col("logit")))).alias("s")))
     m, s_host = strengths(sites, ["h"])
     _, s_path = strengths(sites, ["h", "p"])
-    hosts = sites.groupBy(F.col("h").alias("__gw_hh")).agg(F.sum("n").alias("__gw_hn"), F.sum("s").alias("__gw_hs"))
-    table = sites.join(hosts, sites["h"] == hosts["__gw_hh"]).select(F.col("h").alias("__gw_h"), F.col("p").alias("__gw_p"), F.col("n").alias("__gw_n"), F.col("s").alias("__gw_s"), "__gw_hn", "__gw_hs")
-    if sites.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        table = F.broadcast(table)
-    out = with_logit(docs.withColumns({"__gw_dh": F.coalesce(host, F.lit("")), "__gw_dp": F.coalesce(path, F.lit(""))}), text_col, w, base, drop)
-    out = out.join(table, (F.col("__gw_dh") == F.col("__gw_h")) & (F.col("__gw_dp") == F.col("__gw_p")), "left")
-    own = 1 / (1 + F.exp(-F.col("__gw_logit")))
-    at_host = (F.greatest(F.lit(0.0), F.col("__gw_hs") - own) + s_host * m) / (F.greatest(F.lit(0.0), F.col("__gw_hn") - 1) + s_host)
-    at_path = (F.greatest(F.lit(0.0), F.col("__gw_s") - own) + s_path * at_host) / (F.greatest(F.lit(0.0), F.col("__gw_n") - 1) + s_path)
-    prior = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), at_path))
-    post = F.col("__gw_logit") + F.log(prior / (1 - prior)) - math.log(m / (1 - m))
-    return out.withColumns({"__gw_path": prior, "__gw_post": 1 / (1 + F.exp(-post))}).drop("__gw_dh", "__gw_dp", "__gw_h", "__gw_p", "__gw_n", "__gw_s", "__gw_hn", "__gw_hs")
-
-
-def posteriors(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **kw) -> DataFrame:
-    """doc_id, classifier_p, site_p, posterior, keep for every document."""
-    id_col = kw.get("id_col", "doc_id")
-    s = scored(docs.select(*dict.fromkeys([id_col, kw.get("text_col", "text"), *([] if kw.get("host") is not None else ["source", "lang"])])), labels, drop=(kw.get("text_col", "text"),), **kw)
-    return s.select(F.col(id_col), F.round(1 / (1 + F.exp(-F.col("__gw_logit"))), 6).alias("classifier_p"), F.round("__gw_path", 6).alias("site_p"), F.round("__gw_post", 6).alias("posterior"), (F.col("__gw_post") >= threshold).alias("keep"))
-
-
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **kw) -> DataFrame:
+    hosts = sites.groupBy(F.col("h").alias("hh")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+    table = stored(sites.join(hosts, F.col("h") == F.col("hh")).select("h", "p", "n", "s", "hn", "hs"))
+
+    def prior(frame: DataFrame, logit: str, at: str, under: str, site: str, post: str) -> DataFrame:
+        names = {c: fresh(frame, f"__gw_{c}") for c in table.columns}
+        out = frame.join(table.select(*[F.col(c).alias(x) for c, x in names.items()]), (F.col(at) == F.col(names["h"])) & (F.col(under) == F.col(names["p"])), "left")
+        n, s, hn, hs = (F.col(names[c]) for c in ("n", "s", "hn", "hs"))
+        own = 1 / (1 + F.exp(-F.col(logit)))
+        at_host = (F.greatest(F.lit(0.0), hs - own) + s_host * m) / (F.greatest(F.lit(0.0), hn - 1) + s_host)
+        at_path = (F.greatest(F.lit(0.0), s - own) + s_path * at_host) / (F.greatest(F.lit(0.0), n - 1) + s_path)
+        inside = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), at_path))
+        total = F.col(logit) + F.log(inside / (1 - inside)) - math.log(m / (1 - m))
+        return out.withColumns({site: inside, post: 1 / (1 + F.exp(-total))}).drop(*names.values())
+
+    return w, base, said, prior
+
+
+def posteriors(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, label_col: str = "quality", toxic_col: str | None = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """id, classifier_p, site_p, posterior, keep for every document; all but the classifier works on the narrow table."""
+    _, _, said, prior = evidence(docs, labels, id_col, text_col, host, path, label_col, toxic_col, max_labelled)
+    s = prior(said, "logit", "h", "p", "site", "post")
+    return s.select(F.col("i").alias(id_col), F.round(1 / (1 + F.exp(-F.col("logit"))), 6).alias("classifier_p"), F.round("site", 6).alias("site_p"), F.round("post", 6).alias("posterior"), (F.col("post") >= threshold).alias("keep"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, label_col: str = "quality", toxic_col: str | None = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """docs, its columns as they are, without the documents that the classifier rejects."""
-    return scored(docs, labels, **kw).where(F.col("__gw_post") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    w, base, _, prior = evidence(docs, labels, id_col, text_col, host, path, label_col, toxic_col, max_labelled)
+    logit, at, under, site, post = (fresh(docs, f"__gw_{x}") for x in ("logit", "at", "under", "site", "post"))
+    h, p = _sites(host, path)
+    rated = with_logit(docs.withColumns({at: h, under: p}), text_col, w, base, logit)
+    return prior(rated, logit, at, under, site, post).where(F.col(post) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

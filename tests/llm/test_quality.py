@@ -21,21 +21,20 @@ def labels(spark, truth, every=2):
     return spark.createDataFrame([(i, y, 0) for i, y in truth.items() if i % every == 0] + [(None, 1, 0), (5, None, 0)], LABELS)
 
 
-def brute(data, known, w, base):
+def brute(data, w, base):
     """Posteriors of every document with loops over sites."""
     sig = lambda x: 1 / (1 + math.exp(-x))
     logits = [float(np.clip(quality.features([t])[0] @ w[:-1] + w[-1], -30, 30)) if t else base for _, t, *_ in data]
     site = [((s or "").split("/")[0], "/".join(x for x in [None if s is None else "/".join(s.split("/")[1:]), lang] if x is not None)) for _, _, lang, s, _ in data]
     own = [sig(x) for x in logits]
-    say = [known.get(d[0], o) for d, o in zip(data, own)]
 
     def strength(keys):
         g = {}
-        for k, e in zip(keys, say):
+        for k, e in zip(keys, own):
             x = g.setdefault(k, [0, 0.0])
             x[0] += 1
             x[1] += e
-        n, s, k = len(say), sum(say), len(g)
+        n, s, k = len(own), sum(own), len(g)
         m = min(max(s / n, 1e-4), 1 - 1e-4)
         free = n - sum(a * a for a, _ in g.values()) / n
         between = (sum(b * b / a for a, b in g.values()) - n * m * m - (k - 1) * m * (1 - m)) / free if k > 1 and free > 0 else 0
@@ -57,14 +56,31 @@ def test_posteriors_equal_brute_force(spark):
     data = data + odd()
     df, known = frame(spark, data), labels(spark, truth)
     w, mean = quality.fit(df, known, "doc_id", "text", "quality", quality.MAX_LABELLED)
-    want = brute(data, {i: y for i, y in truth.items() if i % 2 == 0}, w, math.log(mean / (1 - mean)))
-    for kw in ({}, {"broadcast_rows": 0}):
-        got = {}
-        for r in quality.posteriors(df, known, **kw).collect():
-            got.setdefault(repr(r["doc_id"]), []).append(r["posterior"])
-        assert set(got) == set(want)
-        for i in want:
-            assert np.allclose(sorted(got[i]), sorted(want[i]), atol=2e-6), i
+    want = brute(data, w, math.log(mean / (1 - mean)))
+    got = {}
+    for r in quality.posteriors(df, known).collect():
+        got.setdefault(repr(r["doc_id"]), []).append(r["posterior"])
+    assert set(got) == set(want)
+    for i in want:
+        assert np.allclose(sorted(got[i]), sorted(want[i]), atol=2e-6), i
+    kept = sorted(repr(r["doc_id"]) for r in quality.keep(clashing(spark, data), known).collect())
+    assert kept == sorted(i for i, ps in want.items() for x in ps if x >= quality.THRESHOLD)
+
+
+def test_a_label_does_not_move_its_own_site(spark, monkeypatch):
+    """The classifier held fixed, a document alone on its site has the same site posterior whatever its label."""
+    data, truth = corpus(100, 55)
+    data.append((7777, data[0][1], "en", "lonely/x", 1))
+    fixed = quality.fit(frame(spark, data), labels(spark, truth), "doc_id", "text", "quality", quality.MAX_LABELLED)
+    monkeypatch.setattr(quality, "fit", lambda *a, **kw: fixed)
+    site = [quality.posteriors(frame(spark, data), labels(spark, truth | {7778: 1}).union(spark.createDataFrame([(7777, y, 0)], LABELS))).where("doc_id = 7777").first()["site_p"] for y in (0, 1)]
+    assert site[0] == site[1]
+
+
+def test_repeated_rows_of_a_labelled_document_are_learnt_once(spark):
+    data, truth = corpus(80, 56)
+    (w, m), (v, n) = (quality.fit(frame(spark, x), labels(spark, truth), "doc_id", "text", "quality", quality.MAX_LABELLED) for x in (data, data + data[:1] * 300))
+    assert m == n and np.allclose(w, v, atol=1e-6)
 
 
 def test_held_out_accuracy_keeps_the_clean(spark):
