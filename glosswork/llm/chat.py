@@ -1,8 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-The turns of a conversation are collected as structs and sorted by (turn, role, text). Adjacent turns of one role are
+The turns of a conversation are collected as a set of structs (by hash, map side first) and sorted by (turn, role, text). Adjacent turns of one role are
 merged: the places where a run begins come from one filter over the positions, and each run is sliced and joined, so
-the work is linear in the turns. Messages are concatenated as <|role|> line, text, <|end|>.
+the work is that of sorting the turns. Messages are concatenated as <|role|> line, text, <|end|>.
 
 Defined cases. Rows of null conv_id belong to no conversation and are left out. A null role is "unknown", a null text
 is empty, a null turn sorts first. Repeated rows (same turn, role and text) count once; turns with one number and
@@ -21,7 +21,7 @@ from .common import read
 def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, n_turns, n_messages, roles (joined by blanks), chat."""
     t = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(role_col, F.lit("unknown")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    got = turns.where(F.col(conv_col).isNotNull()).groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.array_distinct(F.collect_list(t))).alias("ts"))
+    got = turns.where(F.col(conv_col).isNotNull()).groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_set(t)).alias("ts"))
     # array_sort puts null fields last; turns without a number come first
     got = got.withColumn("ts", F.concat(F.filter("ts", lambda x: x["turn"].isNull()), F.filter("ts", lambda x: x["turn"].isNotNull())))
     starts = F.filter(F.sequence(F.lit(1), F.size("ts")), lambda i: (i == 1) | (F.element_at("ts", i)["role"] != F.element_at("ts", F.greatest(i - 1, F.lit(1)))["role"]))

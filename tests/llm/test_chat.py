@@ -30,6 +30,23 @@ def test_a_very_long_conversation(spark):
     assert sorted(map(tuple, chat.formatted(spark.createDataFrame(data, TURNS)).collect())) == brute(data)
 
 
+def test_repeated_turns_of_many_partitions_count_once(spark):
+    data = [(n % 7, n % 50, "user" if n % 2 else None, f"t{n % 50}") for n in range(7000)] + [(3, None, None, None)] * 500
+    assert sorted(map(tuple, chat.formatted(spark.createDataFrame(data, TURNS).repartition(16)).collect())) == brute(data)
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    import time
+
+    took = {}
+    for n in (20_000, 20_000, 40_000):  # the first run warms up
+        df = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 3 = 0, 'assistant', 'user') as role", "concat('t', id) as text")
+        began = time.perf_counter()
+        assert chat.formatted(df).first()["n_turns"] == n
+        took[n] = time.perf_counter() - began
+    assert took[40_000] < 3.2 * took[20_000] + 1
+
+
 def test_only_spark_expressions(spark):
     plan = chat.formatted(spark.createDataFrame([(1, 1, "user", "a")], TURNS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
