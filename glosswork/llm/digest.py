@@ -5,8 +5,9 @@ xxhash groups the documents. Buckets of two or more rows are compared byte by by
 to the least and the greatest of the bucket (map-side, so a bucket of a million copies sends one text a task); where
 both agree, all agree. Where they don't - a hash collision - the bucket is split by its canonical text.
 
-Texts travel for candidates only. The candidate digests are broadcast while there are at most BROADCAST_ROWS, else
-joined by shuffle.
+The digests of all rows are computed once and cut; texts are canonicalised again only where the digest is among those of
+two or more rows, and only they travel. The tables of buckets are stored, so the planner broadcasts them by their size
+or joins by shuffle.
 
 Defined cases. Null text: no digest, a group of its own with group_id = id and group_size 1. Empty and blank texts
 are equal to each other. Repeated rows each count and get a row each. A null id in a group: the least id that is not
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, batches, cut, read, session, small
+from .common import batches, cut, read, session, stored
 
 
 def canonical(text: str) -> str:
@@ -48,27 +49,25 @@ def digests(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> Dat
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, hi long, lo long" + ", c string" * with_text)
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, digest (hex), group_id, group_size, keep for every row; keep marks the rows of the representative's id."""
     session(docs)
-    all_rows = digests(docs, id_col, text_col, False)
-    buckets = cut(all_rows.where("hi is not null").groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    wanted = small(buckets.select(F.col("hi").alias("h"), F.col("lo").alias("l")), broadcast_rows)
+    all_rows = cut(digests(docs, id_col, text_col, False))
+    buckets = stored(all_rows.where("hi is not null").groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    wanted = buckets.select(F.col("hi").alias("h"), F.col("lo").alias("l"))
     texts = digests(docs, id_col, text_col, True).where("hi is not null")
     texts = texts.join(wanted, (texts["hi"] == wanted["h"]) & (texts["lo"] == wanted["l"]), "left_semi")
-    checked = cut(texts.groupBy("hi", "lo").agg((F.min("c") == F.max("c")).alias("same")))
-    broken = checked.where("not same").select(F.col("hi").alias("h"), F.col("lo").alias("l"))
+    broken = stored(texts.groupBy("hi", "lo").agg((F.min("c") == F.max("c")).alias("same")).where("not same").select(F.col("hi").alias("h"), F.col("lo").alias("l")))
     hexed = F.lower(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
     known = buckets.select(F.col("hi").alias("bh"), F.col("lo").alias("bl"), "first", "n")
-    ok = all_rows.join(small(known, broadcast_rows), (F.col("hi") == F.col("bh")) & (F.col("lo") == F.col("bl")), "left")
+    ok = all_rows.join(known, (F.col("hi") == F.col("bh")) & (F.col("lo") == F.col("bl")), "left")
     cols = [F.col("id").alias(id_col), hexed.alias("digest"), F.coalesce("first", "id").alias("group_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size")]
     if broken.isEmpty():
         out = ok.select(*cols)
     else:
-        lost = small(cut(broken), broadcast_rows)
         same_key = (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))
-        fine = ok.join(lost, same_key, "left_anti").select(*cols)
-        split = texts.join(lost, same_key, "left_semi")
+        fine = ok.join(broken, same_key, "left_anti").select(*cols)
+        split = texts.join(broken, same_key, "left_semi")
         by_text = split.groupBy("hi", "lo", "c").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
         out = fine.union(split.join(by_text, ["hi", "lo", "c"]).select(*cols))
     return out.withColumn("keep", F.col(id_col).eqNullSafe(F.col("group_id")))

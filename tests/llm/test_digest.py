@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from glosswork.llm import digest
 
-from .frames import DOCS, frame, odd, rows
+from .frames import DOCS, clashing, frame, odd, rows
 
 
 def brute(data):
@@ -33,7 +33,11 @@ DATA = rows(40) + odd() + [(50, "Straße  ﬁn", "de", "a", 1), (51, "STRASSE\nf
 def test_groups_equal_brute_force_by_broadcast_and_by_shuffle(spark):
     df = frame(spark, DATA)
     assert got(digest.groups(df)) == brute(DATA)
-    assert got(digest.groups(df, broadcast_rows=0)) == brute(DATA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert got(digest.groups(clashing(spark, DATA))) == brute(DATA)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_a_hash_collision_is_split_by_the_bytes(spark, monkeypatch):
