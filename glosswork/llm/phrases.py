@@ -10,11 +10,12 @@ found in at least two documents. Every occurrence in every document is located:
    have equal keys, so one shuffle settles them). Of windows that a batch holds more than twice, two documents are sent:
    the least and another. A window of two or more documents is recurring, and the smallest (id, place) is where it lives.
    The recurring windows with their homes make a second shelf.
-3. Each document asks that shelf where its windows live. Runs of consecutive windows that live in it are the passages,
-   which it sends to its own shard; it goes itself to the shards where its windows live and to no other, so work grows
-   with the text and not with text times shards. Each shard becomes an Aho-Corasick automaton (pyahocorasick over word
-   numbers) of SEED-word seeds, at most STRIDE words apart and away from the ends: any window of MIN_WORDS words holds a
-   whole seed. A shard that many documents need is served by several tasks, each with the whole automaton.
+3. Runs of consecutive windows in the documents where they live are the passages. They are sharded by that document, a
+   file a shard in the shared folder. Each document asks the second shelf where its windows live and goes to those shards
+   and to no other, so work grows with the text and not with text times shards. A task that gets documents of a shard
+   makes its passages into an Aho-Corasick automaton (pyahocorasick over word numbers) of SEED-word seeds, at most STRIDE
+   words apart and away from the ends: any window of MIN_WORDS words holds a whole seed. The planner may split the
+   documents of a shard that many need over several tasks (adaptive rebalancing).
 4. A hit is extended to both sides word by word and counts from MIN_WORDS words on.
 
 Nothing is sampled, collected or broadcast, and the steps are the same at every size.
@@ -35,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, batches, cut, mix, read, rolling, session
-from .shelf import Shelf, keys_only, shelve
+from .common import Words, batches, cut, mix, read, rolling, session, shared
+from .shelf import Shelf, get, keys_only, put, shelve
 
 MIN_WORDS = 50
 K = 25
@@ -46,8 +47,6 @@ STRIDE = MIN_WORDS - SEED + 1
 SHARD_WORDS = 250_000
 #: Windows that one step of the confirmation handles.
 STEP_WINDOWS = 500_000
-#: Documents that one task streams through a shard, about.
-TASK_DOCS = 4_000
 
 def _slide_min(a: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours."""
@@ -85,7 +84,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def recurring_keys(rows: DataFrame, kind: str) -> DataFrame:
-    """(h, n): keys of two or more documents, and how many rows have them."""
+    """(h): keys of two or more documents."""
 
     def run(tables):
         words = Words()
@@ -96,18 +95,15 @@ def recurring_keys(rows: DataFrame, kind: str) -> DataFrame:
                 pair = np.unique(np.column_stack([h, who.astype(np.uint64)]), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].astype(np.uint64).view(np.int64).copy()), table.column("id").take(pa.array(pair[:, 1].astype(np.int64) + start))], names=["h", "id"])
 
-    return rows.select("id", "t").mapInArrow(run, f"h long, id {kind}").groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", "n")
+    return rows.select("id", "t").mapInArrow(run, f"h long, id {kind}").groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
 
 
 def _known(texts, words: Words, shelf: Shelf):
-    """(key, document, first window, number of windows, window hashes, documents of the key) under keys on the shelf."""
+    """(key, document, first window, number of windows, window hashes) under keys on the shelf."""
     h, who, first, n, ws = keys(texts, words)
-    at, docs, _ = shelf.find(h)
-    order = np.argsort(at)
-    at, docs = at[order], docs[order]
     good = np.zeros(len(h), bool)
-    good[at] = True
-    return h[at], who[at], first[at], n[at], ws[np.repeat(good, n)], docs
+    good[shelf.find(h)[0]] = True
+    return h[good], who[good], first[good], n[good], ws[np.repeat(good, n)]
 
 
 def _codes(ids: pa.Array) -> np.ndarray:
@@ -132,8 +128,8 @@ def _least_two(h, w, doc, place) -> np.ndarray:
 
 
 def window_rows(rows: DataFrame, kind: str, shelf: Shelf) -> DataFrame:
-    """(h, id, c, first, m, ws): runs of windows under known keys; m documents have the key. A batch sends no window of a
-    key for more than two documents."""
+    """(h, id, c, first, ws): runs of windows under known keys. A batch sends no window of a key for more than two
+    documents."""
 
     def run(tables):
         words = Words()
@@ -141,7 +137,7 @@ def window_rows(rows: DataFrame, kind: str, shelf: Shelf) -> DataFrame:
             words.trim()
             code, c = _codes(table.column("id")), table.column("c")
             for start, texts in batches(table, "t"):
-                h, who, first, n, ws, m = _known(texts, words, shelf)
+                h, who, first, n, ws = _known(texts, words, shelf)
                 if not len(h):
                     continue
                 row = np.repeat(np.arange(len(h)), n)
@@ -151,29 +147,29 @@ def window_rows(rows: DataFrame, kind: str, shelf: Shelf) -> DataFrame:
                 r = row[at][cut_at]
                 take = pa.array(who[r] + start)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[cut_at, len(at)].astype(np.int32)), pa.array(ws[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[r].view(np.int64)), table.column("id").take(take), c.take(take), pa.array(place[at][cut_at].astype(np.int32)), pa.array(m[r]), lists], names=["h", "id", "c", "first", "m", "ws"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[r].view(np.int64)), table.column("id").take(take), c.take(take), pa.array(place[at][cut_at].astype(np.int32)), lists], names=["h", "id", "c", "first", "ws"])
 
-    return rows.select("id", "c", "t").mapInArrow(run, f"h long, id {kind}, c long, first int, m long, ws array<long>")
+    return rows.select("id", "c", "t").mapInArrow(run, f"h long, id {kind}, c long, first int, ws array<long>")
 
 
 def _confirm(step: int):
-    """Rows (h, id, c, first, m, ws) in order become (w, c, at, m): window w recurs and lives at place at of c."""
+    """Rows (h, id, c, first, ws) in order become (w, c, at): window w recurs and lives at place at of c."""
 
     def run(tables):
-        # flat windows (key, window, document number, place, content, documents of the key) that aren't settled yet
+        # flat windows (key, window, document number, place, content) that aren't settled yet
         held, size, carried, last_id, code = [], 0, 0, None, 0
 
         def settled(parts, last):
-            h, w, doc, place, c, m = (np.concatenate(x) for x in zip(*parts))
+            h, w, doc, place, c = (np.concatenate(x) for x in zip(*parts))
             done = np.ones(len(h), bool) if last else h != h[-1]
             at = _least_two(h[done], w[done], doc[done], place[done])
             at = np.flatnonzero(done)[at]
             twice = np.flatnonzero((h[at][1:] == h[at][:-1]) & (w[at][1:] == w[at][:-1]))
             x = at[twice]  # the first of two documents is the least
-            out = pa.RecordBatch.from_arrays([pa.array(w[x].view(np.int64)), pa.array(c[x]), pa.array(place[x]), pa.array(m[x])], names=["w", "c", "at", "m"])
+            out = pa.RecordBatch.from_arrays([pa.array(w[x].view(np.int64)), pa.array(c[x]), pa.array(place[x])], names=["w", "c", "at"])
             rest = np.flatnonzero(~done)
             rest = rest[_least_two(h[rest], w[rest], doc[rest], place[rest])] if len(rest) else rest
-            return out, [tuple(v[rest] for v in (h, w, doc, place, c, m))]
+            return out, [tuple(v[rest] for v in (h, w, doc, place, c))]
 
         for table in tables:
             if not table.num_rows:
@@ -188,7 +184,7 @@ def _confirm(step: int):
             number = code + np.cumsum(change)
             code, last_id = int(number[-1]), ids.dictionary[int(index[-1])].as_py()
             place = np.asarray(table.column("first")).astype(np.int64)[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            held.append((np.asarray(table.column("h"))[row], np.asarray(lists.flatten()).view(np.uint64), number[row], place, np.asarray(table.column("c"))[row], np.asarray(table.column("m"))[row]))
+            held.append((np.asarray(table.column("h"))[row], np.asarray(lists.flatten()).view(np.uint64), number[row], place, np.asarray(table.column("c"))[row]))
             size += len(row)
             if size >= max(step, 2 * carried):
                 out, held = settled(held, False)
@@ -200,43 +196,55 @@ def _confirm(step: int):
     return run
 
 
-def _visits(shelf: Shelf, homes: Shelf, n_shards: int):
-    """Documents (id, k, c, t) become (shard, salt, id, k, t, first, words): the passages that live in them, for every
-    task of their shard, and the texts, once for each shard where a window of theirs lives."""
+def _found(texts, words: Words, shelf: Shelf, homes: Shelf):
+    """(document, place, home, place there) of each recurring window."""
+    h, who, first, n, ws = _known(texts, words, shelf)
+    row = np.repeat(np.arange(len(h)), n)
+    place = (first[row] + np.arange(len(ws)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int64)
+    x, c, at = homes.find(ws)
+    return who[row[x]], place[x], c, at
+
+
+def _passages(shelf: Shelf, homes: Shelf, dwellings: Shelf, n_shards: int):
+    """(shard, id, first, words): the passages that live in the documents (id, c, t)."""
 
     def run(tables):
         words = Words()
         for table in tables:
             words.trim()
             own = np.asarray(table.column("c"))
+            home = np.zeros(len(own), bool)
+            home[dwellings.find(own)[0]] = True
             for start, texts in batches(table, "t"):
-                h, who, first, n, ws, _ = _known(texts, words, shelf)
-                row = np.repeat(np.arange(len(h)), n)
-                place = (first[row] + np.arange(len(ws)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int64)
-                x, c, packed = homes.find(ws)
-                doc = who[row[x]]
-                at, salts = packed & 0x7FFFFFFF, packed >> 31
-                shard = c % n_shards  # the sign goes: numpy's modulo is never negative
-                out: list[tuple] = []
-                mine = (c == own[start + doc]) & (at == place[x])
-                order = np.lexsort([at[mine], doc[mine]])
-                d, a, s, k = (v[mine][order] for v in (doc, at, shard, salts))
+                texts = [t if home[start + i] else None for i, t in enumerate(texts)]
+                doc, place, c, at = _found(texts, words, shelf, homes)
+                mine = np.flatnonzero((c == own[start + doc]) & (at == place))
+                mine = mine[np.lexsort([place[mine], doc[mine]])]
+                d, a = doc[mine], place[mine]
                 for part in np.split(np.arange(len(d)), np.flatnonzero((np.diff(d) != 0) | (np.diff(a) > 1)) + 1):
                     if len(part):
                         i, j = part[0], part[-1]
-                        flat = list(map(words.__getitem__, texts[d[i]].lower().split()[a[i] : a[j] + MIN_WORDS]))
-                        line = np.array(flat, np.uint64).view(np.int64)
-                        out.extend((start + int(d[i]), int(s[i]), salt, int(a[i]), line) for salt in range(int(k[i])))
-                to = np.unique(np.column_stack([doc, shard, salts]), axis=0) if len(doc) else np.zeros((0, 3), np.int64)
-                for part in range(0, len(out), 512):
-                    p = out[part : part + 512]
-                    take = pa.array([q[0] for q in p], pa.int64())
-                    none = pa.nulls(len(p), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([q[1] for q in p], pa.int32()), pa.array([q[2] for q in p], pa.int32()), table.column("id").take(take), table.column("k").take(take), none, pa.array([q[3] for q in p], pa.int32()), pa.array([q[4] for q in p], pa.list_(pa.int64()))], names=["shard", "salt", "id", "k", "t", "first", "words"])
-                if len(to):
+                        flat = np.array(list(map(words.__getitem__, texts[d[i]].lower().split()[a[i] : a[j] + MIN_WORDS])), np.uint64).view(np.int64)
+                        lists = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
+                        yield pa.RecordBatch.from_arrays([pa.array([int(own[start + d[i]] % n_shards)], pa.int32()), table.column("id").slice(start + int(d[i]), 1), pa.array([int(a[i])], pa.int32()), lists], names=["shard", "id", "first", "words"])
+
+    return run
+
+
+def _visits(shelf: Shelf, homes: Shelf, n_shards: int):
+    """Documents (id, k, t) become (shard, id, k, t), once for each shard where a window of theirs lives."""
+
+    def run(tables):
+        words = Words()
+        for table in tables:
+            words.trim()
+            for start, texts in batches(table, "t"):
+                doc, _, c, _ = _found(texts, words, shelf, homes)
+                if len(doc):
+                    # numpy's modulo is never negative
+                    to = np.unique(np.column_stack([doc, c % n_shards]), axis=0)
                     take = pa.array(to[:, 0] + start)
-                    salt = own[start + to[:, 0]] % np.maximum(to[:, 2], 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(to[:, 1].astype(np.int32)), pa.array(salt.astype(np.int32)), table.column("id").take(take), table.column("k").take(take), table.column("t").take(take), pa.nulls(len(to), pa.int32()), pa.nulls(len(to), pa.list_(pa.int64()))], names=["shard", "salt", "id", "k", "t", "first", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(to[:, 1].astype(np.int32)), table.column("id").take(take), table.column("k").take(take), table.column("t").take(take)], names=["shard", "id", "k", "t"])
 
     return run
 
@@ -304,46 +312,63 @@ class Shard:
         return out
 
 
-def _stream(tables):
-    """Passages of a shard come first, then the documents; (id, k, s, e, first_doc, first_start) of each hit."""
-    at, shard = None, Shard()
-    words = Words()
-    for table in tables:
-        words.trim()
-        who, found = [], []
-        shards, ids, firsts, lists, texts = table.column("shard").to_pylist(), table.column("id"), table.column("first"), table.column("words"), table.column("t")
-        salts = table.column("salt").to_pylist()
-        for i in range(table.num_rows):
-            if (shards[i], salts[i]) != at:
-                at, shard = (shards[i], salts[i]), Shard()
-            t = texts[i].as_py()
-            if t is None:
-                shard.add(ids[i].as_py(), firsts[i].as_py(), np.asarray(lists[i].values).view(np.uint64))
-            else:
-                for hit in shard.find(np.array(list(map(words.__getitem__, t.lower().split())), np.uint64)):
+def _written(folder: str):
+    """Writes the passages of a shard; returns how many there are."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_file(sink, t.schema) as out:
+            out.write_table(t)
+        put(f"{folder}/{t.column('shard')[0].as_py()}.arrow", sink.getvalue().to_pybytes())
+        return pa.table({"n": [t.num_rows]})
+
+    return run
+
+
+def _stream(folder: str):
+    """Documents (shard, id, k, t) in order of the shards become (id, k, s, e, first_doc, first_start) of each hit."""
+
+    def run(tables):
+        at, shard = None, Shard()
+        words = Words()
+        for table in tables:
+            words.trim()
+            who, found = [], []
+            texts = table.column("t")
+            for i, to in enumerate(table.column("shard").to_pylist()):
+                if to != at:
+                    at, shard = to, Shard()
+                    kept = pa.ipc.open_file(pa.BufferReader(get(f"{folder}/{to}.arrow"))).read_all()
+                    lists = kept.column("words")
+                    for j, (id_, first) in enumerate(zip(kept.column("id").to_pylist(), kept.column("first").to_pylist())):
+                        shard.add(id_, first, np.asarray(lists[j].values).view(np.uint64))
+                for hit in shard.find(np.array(list(map(words.__getitem__, texts[i].as_py().lower().split())), np.uint64)):
                     who.append(i)
                     found.append(hit)
-        take = pa.array(who, pa.int64())
-        cols = [ids.take(take), table.column("k").take(take), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], table.schema.field("id").type), pa.array([x[3] for x in found], pa.int32())]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "k", "s", "e", "first_doc", "first_start"])
+            take = pa.array(who, pa.int64())
+            ids = table.column("id").take(take)
+            cols = [ids, table.column("k").take(take), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], ids.type), pa.array([x[3] for x in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "k", "s", "e", "first_doc", "first_start"])
+
+    return run
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, task_docs: int = TASK_DOCS, step_windows: int = STEP_WINDOWS) -> DataFrame:
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, step_windows: int = STEP_WINDOWS) -> DataFrame:
     """id, start_word, n_words of every repeated passage, and first_doc, first_start: where its beginning is found first."""
     session(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _rows(docs, id_col, text_col)
-    shelf = shelve(keys_only(cut(recurring_keys(rows, kind)), "h", "n"))
+    shelf = shelve(keys_only(cut(recurring_keys(rows, kind)), "h"))
     met = window_rows(rows, kind, shelf).repartition("h").sortWithinPartitions("h", "id", "c", "first")
-    living = cut(met.mapInArrow(_confirm(step_windows), "w long, c long, at long, m long"))
+    living = cut(met.mapInArrow(_confirm(step_windows), "w long, c long, at long"))
     n_shards = max(1, -(-living.count() // shard_words))
-    # tasks of a shard: from the documents that have its most frequent keys, one key for each home
-    home = living.groupBy("c").agg(F.max("m").alias("m")).groupBy(F.pmod("c", F.lit(n_shards)).alias("shard")).agg(F.ceil(F.sum("m") / task_docs).alias("salts"))
-    placed = living.withColumn("shard", F.pmod("c", F.lit(n_shards))).join(home, "shard").select("w", "c", (F.col("at") + F.shiftleft("salts", 31)).alias("v"))
-    homes = shelve(keys_only(cut(placed), "w", "c", "v"))
-    both = rows.mapInArrow(_visits(shelf, homes, n_shards), f"shard int, salt int, id {kind}, k long, t string, first int, words array<long>")
-    sent = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("t").isNotNull())
-    hits = sent.mapInArrow(_stream, f"id {kind}, k long, s int, e int, first_doc {kind}, first_start int")
+    homes = shelve(keys_only(living, "w", "c", "at"))
+    dwellings = shelve(keys_only(cut(living.select("c").distinct()), "c"))
+    folder = shared(docs.sparkSession)
+    passages = rows.select("id", "c", "t").mapInArrow(_passages(shelf, homes, dwellings, n_shards), f"shard int, id {kind}, first int, words array<long>")
+    passages.groupBy("shard").applyInArrow(_written(folder), "n long").agg(F.sum("n")).collect()
+    visits = rows.select("id", "k", "t").mapInArrow(_visits(shelf, homes, n_shards), f"shard int, id {kind}, k long, t string")
+    hits = visits.hint("rebalance", "shard").sortWithinPartitions("shard").mapInArrow(_stream(folder), f"id {kind}, k long, s int, e int, first_doc {kind}, first_start int")
     # runs that share a window or touch (their windows are neighbours) are one
     listed = hits.groupBy("id", "k").agg(F.array_sort(F.collect_set(F.struct("s", "e", "first_doc", "first_start"))).alias("x"))
 

@@ -59,7 +59,7 @@ def test_equals_brute_force(spark):
 
 def test_equals_brute_force_with_many_shards_tasks_and_steps(spark):
     d = data(22)
-    assert got(phrases.occurrences(frame(spark, d), shard_words=200, task_docs=3, step_windows=90)) == brute(d)
+    assert got(phrases.occurrences(frame(spark, d), shard_words=200, step_windows=90)) == brute(d)
 
 
 def test_a_passage_that_a_third_of_all_rows_hold_and_string_ids(spark):
@@ -67,7 +67,7 @@ def test_a_passage_that_a_third_of_all_rows_hold_and_string_ids(spark):
     d = [(f"d{i}", t + (" " + hot if i % 3 == 0 else "") + (" " + hot[:300] if i % 7 == 0 else ""), *r) for i, t, *r in rows(240, 23, 10, 60)]
     d += d[:3] * 2
     schema = DOCS.replace("doc_id long", "doc_id string")
-    for kw in ({}, {"task_docs": 20, "step_windows": 64}):
+    for kw in ({}, {"shard_words": 30, "step_windows": 64}):
         assert got(phrases.occurrences(frame(spark, d, schema).repartition(3), **kw)) == brute(d)
 
 
