@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that one vectorised step handles at a time; longer texts are one step of their own.
@@ -84,18 +84,6 @@ def batches(table: pa.RecordBatch, text: str, step: int = STEP_CHARS):
         yield start, texts[start:]
 
 
-class Words(dict):
-    """word -> 64-bit hash, filled on use and emptied when it has grown large."""
-
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def trim(self, most: int = 1_000_000) -> None:
-        if len(self) > most:
-            self.clear()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -126,3 +114,17 @@ def rolling(flat: np.ndarray, k: int) -> np.ndarray:
     up, down = powers(n)
     total = np.r_[np.uint64(0), np.cumsum(flat * up, dtype=np.uint64)]
     return (total[k:] - total[:-k]) * down[: n - k + 1]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each lower-case word of all texts in a row, words of each text); words stand between white space."""
+    parts = [t.lower().split() if t else [] for t in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    if not sizes.sum():
+        return np.zeros(0, np.uint64), sizes
+    raw = np.frombuffer((" ".join(chain.from_iterable(parts)) + " ").encode("utf-8", "surrogatepass"), np.uint8)
+    end = np.flatnonzero(raw == 32)
+    up, down = powers(len(raw))
+    total = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)
+    before = np.r_[np.uint64(0), total[end[:-1]]]
+    return mix((total[end] - before) * down[np.r_[0, end[:-1] + 1]]), sizes

@@ -28,15 +28,13 @@ Columns of other names aren't read. Windows and documents are told apart by 64-b
 
 from __future__ import annotations
 
-from itertools import chain
-
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, batches, cut, mix, read, rolling, session, shared
+from .common import batches, cut, mix, read, rolling, session, shared, word_hashes
 from .shelf import Shelf, get, keys_only, put, shelve
 
 MIN_WORDS = 50
@@ -57,16 +55,14 @@ def _slide_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (w - span)], a[w - span :]) if w > span else a
 
 
-def keys(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, document, first window, number of windows, window hashes of all in a row) of the winnowed windows."""
     empty = np.zeros(0, np.uint64)
-    lists = [list(map(words.__getitem__, t.lower().split())) if t else [] for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    n = int(sizes.sum())
+    flat, sizes = word_hashes(texts)
+    n = len(flat)
     if n < MIN_WORDS:
         return empty, empty.astype(np.int64), empty.astype(np.int64), empty.astype(np.int64), empty
-    flat = np.fromiter(chain.from_iterable(lists), np.uint64, n)
-    owner = np.repeat(np.arange(len(lists)), sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     first = np.cumsum(sizes) - sizes
     whole, least = mix(rolling(flat, MIN_WORDS)), _slide_min(mix(rolling(flat, K)), MIN_WORDS - K + 1)
     at = np.flatnonzero(owner[: n - MIN_WORDS + 1] == owner[MIN_WORDS - 1 :])
@@ -87,20 +83,18 @@ def recurring_keys(rows: DataFrame, kind: str) -> DataFrame:
     """(h): keys of two or more documents."""
 
     def run(tables):
-        words = Words()
         for table in tables:
-            words.trim()
             for start, texts in batches(table, "t"):
-                h, who, *_ = keys(texts, words)
+                h, who, *_ = keys(texts)
                 pair = np.unique(np.column_stack([h, who.astype(np.uint64)]), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].astype(np.uint64).view(np.int64).copy()), table.column("id").take(pa.array(pair[:, 1].astype(np.int64) + start))], names=["h", "id"])
 
     return rows.select("id", "t").mapInArrow(run, f"h long, id {kind}").groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
 
 
-def _known(texts, words: Words, shelf: Shelf):
+def _known(texts, shelf: Shelf):
     """(key, document, first window, number of windows, window hashes) under keys on the shelf."""
-    h, who, first, n, ws = keys(texts, words)
+    h, who, first, n, ws = keys(texts)
     good = np.zeros(len(h), bool)
     good[shelf.find(h)[0]] = True
     return h[good], who[good], first[good], n[good], ws[np.repeat(good, n)]
@@ -132,12 +126,10 @@ def window_rows(rows: DataFrame, kind: str, shelf: Shelf) -> DataFrame:
     documents."""
 
     def run(tables):
-        words = Words()
         for table in tables:
-            words.trim()
             code, c = _codes(table.column("id")), table.column("c")
             for start, texts in batches(table, "t"):
-                h, who, first, n, ws = _known(texts, words, shelf)
+                h, who, first, n, ws = _known(texts, shelf)
                 if not len(h):
                     continue
                 row = np.repeat(np.arange(len(h)), n)
@@ -196,9 +188,9 @@ def _confirm(step: int):
     return run
 
 
-def _found(texts, words: Words, shelf: Shelf, homes: Shelf):
+def _found(texts, shelf: Shelf, homes: Shelf):
     """(document, place, home, place there) of each recurring window."""
-    h, who, first, n, ws = _known(texts, words, shelf)
+    h, who, first, n, ws = _known(texts, shelf)
     row = np.repeat(np.arange(len(h)), n)
     place = (first[row] + np.arange(len(ws)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int64)
     x, c, at = homes.find(ws)
@@ -209,22 +201,20 @@ def _passages(shelf: Shelf, homes: Shelf, dwellings: Shelf, n_shards: int):
     """(shard, id, first, words): the passages that live in the documents (id, c, t)."""
 
     def run(tables):
-        words = Words()
         for table in tables:
-            words.trim()
             own = np.asarray(table.column("c"))
             home = np.zeros(len(own), bool)
             home[dwellings.find(own)[0]] = True
             for start, texts in batches(table, "t"):
                 texts = [t if home[start + i] else None for i, t in enumerate(texts)]
-                doc, place, c, at = _found(texts, words, shelf, homes)
+                doc, place, c, at = _found(texts, shelf, homes)
                 mine = np.flatnonzero((c == own[start + doc]) & (at == place))
                 mine = mine[np.lexsort([place[mine], doc[mine]])]
                 d, a = doc[mine], place[mine]
                 for part in np.split(np.arange(len(d)), np.flatnonzero((np.diff(d) != 0) | (np.diff(a) > 1)) + 1):
                     if len(part):
                         i, j = part[0], part[-1]
-                        flat = np.array(list(map(words.__getitem__, texts[d[i]].lower().split()[a[i] : a[j] + MIN_WORDS])), np.uint64).view(np.int64)
+                        flat = word_hashes([texts[d[i]]])[0][a[i] : a[j] + MIN_WORDS].view(np.int64)
                         lists = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
                         yield pa.RecordBatch.from_arrays([pa.array([int(own[start + d[i]] % n_shards)], pa.int32()), table.column("id").slice(start + int(d[i]), 1), pa.array([int(a[i])], pa.int32()), lists], names=["shard", "id", "first", "words"])
 
@@ -235,11 +225,9 @@ def _visits(shelf: Shelf, homes: Shelf, n_shards: int):
     """Documents (id, k, t) become (shard, id, k, t), once for each shard where a window of theirs lives."""
 
     def run(tables):
-        words = Words()
         for table in tables:
-            words.trim()
             for start, texts in batches(table, "t"):
-                doc, _, c, _ = _found(texts, words, shelf, homes)
+                doc, _, c, _ = _found(texts, shelf, homes)
                 if len(doc):
                     # numpy's modulo is never negative
                     to = np.unique(np.column_stack([doc, c % n_shards]), axis=0)
@@ -330,21 +318,22 @@ def _stream(folder: str):
 
     def run(tables):
         at, shard = None, Shard()
-        words = Words()
         for table in tables:
-            words.trim()
             who, found = [], []
-            texts = table.column("t")
-            for i, to in enumerate(table.column("shard").to_pylist()):
-                if to != at:
-                    at, shard = to, Shard()
-                    kept = pa.ipc.open_file(pa.BufferReader(get(f"{folder}/{to}.arrow"))).read_all()
-                    lists = kept.column("words")
-                    for j, (id_, first) in enumerate(zip(kept.column("id").to_pylist(), kept.column("first").to_pylist())):
-                        shard.add(id_, first, np.asarray(lists[j].values).view(np.uint64))
-                for hit in shard.find(np.array(list(map(words.__getitem__, texts[i].as_py().lower().split())), np.uint64)):
-                    who.append(i)
-                    found.append(hit)
+            shards = table.column("shard").to_pylist()
+            for start, texts in batches(table, "t"):
+                flat, sizes = word_hashes(texts)
+                end = np.cumsum(sizes)
+                for i, to in enumerate(shards[start : start + len(texts)]):
+                    if to != at:
+                        at, shard = to, Shard()
+                        kept = pa.ipc.open_file(pa.BufferReader(get(f"{folder}/{to}.arrow"))).read_all()
+                        lists = kept.column("words")
+                        for j, (id_, first) in enumerate(zip(kept.column("id").to_pylist(), kept.column("first").to_pylist())):
+                            shard.add(id_, first, np.asarray(lists[j].values).view(np.uint64))
+                    for hit in shard.find(flat[end[i] - sizes[i] : end[i]]):
+                        who.append(start + i)
+                        found.append(hit)
             take = pa.array(who, pa.int64())
             ids = table.column("id").take(take)
             cols = [ids, table.column("k").take(take), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], ids.type), pa.array([x[3] for x in found], pa.int32())]
