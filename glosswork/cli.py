@@ -1,4 +1,4 @@
-"""Command line: python -m glosswork.cli index|search|analyze|bootstrap ..."""
+"""Command line: python -m glosswork.cli index|search|analyze|bootstrap|chat ..."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .engine import Engine
+from .engine import Engine, summarised, together
 from .functions import text
 from .operators import bootstrap, graph, stats
 from .sources import config, corpus
@@ -17,7 +17,7 @@ from .sources import config, corpus
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="glosswork")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, needs in (("index", ("data", "store")), ("search", ("store", "query")), ("analyze", ("data",)), ("bootstrap", ("data", "out"))):
+    for name, needs in (("index", ("data", "store")), ("search", ("store", "query")), ("analyze", ("data",)), ("bootstrap", ("data", "out")), ("chat", ("config", "query"))):
         c = sub.add_parser(name)
         for n in needs:
             c.add_argument(f"--{n}", required=True)
@@ -29,9 +29,25 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None) -> str:
+def chat(spark: SparkSession, path: str, question: str, ask=None) -> str:
+    """Cards for a question to the store that an agent's YAML names (store, stoplist, dict, taxonomy, rules, top_k), and,
+    with ask, which calls a language model, its summary."""
+    conf = config.load_yaml(path)
+    if missing := [k for k in ("store", "stoplist", "dict", "taxonomy") if not conf.get(k)]:
+        raise ValueError(f"{', '.join(missing)} missing in {path}")
+    engine = Engine(spark, conf["store"], config.load(conf["stoplist"], conf["taxonomy"], conf["dict"], None, conf.get("rules")))
+    found = [r.asDict(recursive=True) for r in engine.cards(question, int(conf.get("top_k") or 0) or 3).collect()]
+    if not found:
+        return "No facts found."
+    lines = [json.dumps(c, default=str) for c in found]
+    return "\n".join(lines if ask is None else [*lines, "Summary:", *summarised([together(found)], question, ask)])
+
+
+def main(argv: list[str] | None = None, ask=None) -> str:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    if a.command == "chat":
+        return chat(spark, a.config, a.query, ask)
     parts = config.load(a.stoplist, a.taxonomy, a.dict, a.lexicon, a.rules)
     if a.command in ("index", "search"):
         engine = Engine(spark, a.store, parts)

@@ -63,6 +63,32 @@ def expand(facts: DataFrame, seeds: DataFrame, depth: int = 2, most: int = 50, d
     return seen.where("hops > 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("query_id", "token", F.round(F.pow(F.lit(decay), F.col("hops")), 6).alias("confidence"))
 
 
+def paths(facts: DataFrame) -> DataFrame:
+    """(relation, subject, object, path): the shortest chain of each provable fact of the relations in PROVEN, by names
+    where several are as short; path: the nodes from the subject to the object.
+
+    One join a hop: only the best chain of each pair goes on, and what is known already isn't found again."""
+    step = cut(facts.where(F.col("relation").isin(*PROVEN)).select("relation", "subject", "object").distinct())
+    front = cut(step.withColumn("path", F.array("subject", "object")))
+    known = front
+    while not front.isEmpty():
+        near = step.select("relation", F.col("subject").alias("object"), F.col("object").alias("next"))
+        new = front.join(near, ["relation", "object"]).select("relation", "subject", F.col("next").alias("object"), F.concat("path", F.array("next")).alias("path"))
+        new = new.groupBy("relation", "subject", "object").agg(F.min("path").alias("path"))
+        front = cut(new.join(known, ["relation", "subject", "object"], "left_anti"))
+        known = cut(known.union(front))
+    return known
+
+
+def proofs(facts: DataFrame) -> DataFrame:
+    """(subject, object, depth, relation, source, target): the steps that lead from one name to another by the first
+    relation of PROVEN that does."""
+    order = F.array_position(F.array(*map(F.lit, PROVEN)), F.col("relation"))
+    best = paths(facts).groupBy("subject", "object").agg(F.min(F.struct(order.alias("o"), "relation", "path")).alias("x"))
+    hops = F.transform(F.sequence(F.lit(0), F.size("x.path") - 2), lambda k: F.struct(k.alias("depth"), F.get("x.path", k).alias("source"), F.get("x.path", k + 1).alias("target")))
+    return best.select("subject", "object", F.col("x.relation").alias("relation"), F.explode(hops).alias("h")).select("subject", "object", "h.depth", "relation", "h.source", "h.target")
+
+
 class Proofs:
     """Explanations over a bounded set of facts, held by the driver in the order they were added."""
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import Weights, association, authority, damping, recency, total
 from ..functions.text import jaccard
-from ..runtime import cut, light
-from .stats import frequencies, members, numbered
+from ..runtime import cut, stored
+from .stats import dictionary, frequencies, members, number
 
 
 def candidates(docs: DataFrame, queries: DataFrame, limit: int, wanted: str = "wanted") -> DataFrame:
@@ -23,7 +23,7 @@ def candidates(docs: DataFrame, queries: DataFrame, limit: int, wanted: str = "w
 
     The inverted index is joined with the query tokens; per query the window keeps limit rows map side first."""
     asked = queries.select("query_id", F.explode(F.array_distinct(wanted)).alias("token"))
-    hits = members(docs, "doc_id", "tokens", "published_at").join(light(asked), "token").select("query_id", "doc_id", "published_at").distinct()
+    hits = members(docs, "doc_id", "tokens", "published_at").join(stored(asked), "token").select("query_id", "doc_id", "published_at").distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("published_at"), "doc_id")
     return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).drop("r")
 
@@ -33,15 +33,15 @@ class Index:
 
     def __init__(self, docs: DataFrame, queries: DataFrame, min_df: int):
         occ = members(docs)
-        self.vocabulary = numbered(frequencies(occ))
-        words = light(self.vocabulary)
-        self.docs = cut(occ.join(words, "token").groupBy("doc_id").agg(F.collect_list("id").alias("ids"), F.count_if(F.col("df") >= min_df).alias("common")))
+        self.vocabulary = dictionary(frequencies(occ))
+        distinct = F.array_distinct(F.filter("tokens", lambda x: x != ""))
+        self.docs = stored(docs.select("doc_id", F.transform(distinct, number).alias("ids")))
         each = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("qt"))
         # tokens that the corpus doesn't have keep a null number
-        self.asked = cut(each.join(words.withColumnRenamed("token", "qt"), "qt", "left").select("query_id", "qt", F.col("id").alias("qi"), F.col("df").alias("df_q")))
-        wanted = light(self.asked.where("qi is not null").select("qi", "df_q").distinct())
+        self.asked = stored(each.join(self.vocabulary.withColumnRenamed("token", "qt"), "qt", "left").select("query_id", "qt", F.col("id").alias("qi"), F.col("df").alias("df_q")))
+        wanted = stored(self.asked.where("qi is not null").select("qi", "df_q").distinct())
         # (doc_id, qi, df_q) of the query tokens in each document
-        self.held = self.docs.select("doc_id", "common", F.explode("ids").alias("qi")).join(wanted, "qi")
+        self.held = self.docs.select("doc_id", F.explode("ids").alias("qi")).join(wanted, "qi")
         self.min_df = min_df
 
     def pairs(self, held: DataFrame) -> DataFrame:
@@ -51,14 +51,9 @@ class Index:
         return both.select(F.explode("qs").alias("qi"), "di").where("qi <> di").groupBy("qi", "di").agg(F.count(F.lit(1)).alias("n"))
 
     def near(self) -> DataFrame:
-        """(qi, near): how many tokens of at least min_df documents a query token meets, ten at most.
-
-        One document with ten others settles it; only tokens without such a document need their pairs."""
-        others = F.col("common") - (F.col("df_q") >= self.min_df).cast("int")
-        most = cut(self.held.groupBy("qi").agg(F.max(others).alias("m")))
-        few = most.where("m < 10")
-        counted = self.pairs(self.held.join(light(few), "qi", "left_semi")).join(self.vocabulary.select(F.col("id").alias("di"), "df"), "di").where(F.col("df") >= self.min_df).groupBy("qi").agg(F.least(F.lit(10), F.count(F.lit(1))).alias("near"))
-        return most.where("m >= 10").select("qi", F.lit(10).cast("long").alias("near")).union(counted.select("qi", F.col("near").cast("long")))
+        """(qi, near): how many tokens of at least min_df documents a query token meets, ten at most."""
+        common = self.vocabulary.where(F.col("df") >= self.min_df).select(F.col("id").alias("di"))
+        return self.found.join(common, "di", "left_semi").groupBy("qi").agg(F.least(F.lit(10), F.count(F.lit(1))).cast("long").alias("near"))
 
 
 def breakdown(docs: DataFrame, queries: DataFrame, now: datetime, k: int = 3, weights: Weights = Weights(), normal: bool = True, min_df: int = 5, damped: bool = True) -> DataFrame:
@@ -69,14 +64,43 @@ def breakdown(docs: DataFrame, queries: DataFrame, now: datetime, k: int = 3, we
     n = docs.count()
     found = cut(candidates(docs, queries, 4 * k))
     index = Index(docs, queries, min_df)
+    index.found = stored(index.pairs(index.held))
     df_d = index.vocabulary.select(F.col("id").alias("di"), F.col("df").alias("df_d"))
     held = found.select("query_id", "doc_id").join(index.docs.select("doc_id", F.explode("ids").alias("di")), "doc_id").join(df_d, "di")
-    top = held.join(index.asked, "query_id").join(index.pairs(index.held), ["qi", "di"])
+    return _scored(found, docs, queries, index.asked, held, index.found, index.near(), n, now, weights, normal, damped)
+
+
+def from_store(store, queries: DataFrame, now: datetime, k: int = 3, weights: Weights = Weights(), normal: bool = True, min_df: int = 5, damped: bool = True) -> DataFrame:
+    """breakdown() of a few queries from a store: it reads the postings, frequencies and pairs of their tokens alone, and
+    the documents found. The tokens and the ids found go through the driver; both are bounded by the queries."""
+    rows = queries.select("tokens", "wanted").collect()
+    asked, wanted = (sorted({t for r in rows for t in r[c]}) for c in ("tokens", "wanted"))
+    each = queries.select("query_id", F.explode(F.array_distinct("wanted")).alias("token"))
+    hits = store.holding(wanted).join(F.broadcast(each), "token").select("query_id", "doc_id", "published_at").distinct()
+    w = Window.partitionBy("query_id").orderBy(F.desc("published_at"), "doc_id")
+    found = stored(hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 4 * k).drop("r"))
+    all_docs = store.read("docs")
+    n = all_docs.count()
+    docs = stored(all_docs.where(F.col("doc_id").isin([r["doc_id"] for r in found.select("doc_id").distinct().collect()])).select("doc_id", "tokens", "cats", "published_at", "links_out"))
+    own = store.frequencies(asked).select(F.col("token").alias("qt"), F.col("df").alias("df_q"))
+    who = stored(queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("qt")).join(own, "qt", "left").select("query_id", "qt", F.when(F.col("df_q").isNotNull(), F.col("qt")).alias("qi"), "df_q"))
+    pairs = stored(store.pairs(asked).select(F.col("token").alias("qi"), F.col("neighbor").alias("di"), "n"))
+    df = store.read("token_df").select(F.col("token").alias("di"), F.col("df").alias("df_d"))
+    tokens = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("di"))
+    held = found.select("query_id", "doc_id").join(tokens, "doc_id").join(df, "di")
+    near = pairs.join(df.where(F.col("df_d") >= min_df), "di", "left_semi").groupBy("qi").agg(F.least(F.lit(10), F.count(F.lit(1))).cast("long").alias("near"))
+    return _scored(found, docs, queries, who, held, pairs, near, n, now, weights, normal, damped)
+
+
+def _scored(found: DataFrame, docs: DataFrame, queries: DataFrame, asked: DataFrame, held: DataFrame, pairs: DataFrame, near: DataFrame, n: int, now: datetime, weights: Weights, normal: bool, damped: bool) -> DataFrame:
+    """Score parts of the candidates found. asked: query_id, qt, qi, df_q; held: query_id, doc_id, di, df_d of the
+    candidates' tokens; pairs: qi, di, n; near: qi, near. qi and di name tokens in any one way."""
+    top = held.join(asked, "query_id").join(pairs, ["qi", "di"])
     score = association(F.col("n"), F.col("df_q"), F.col("df_d"), F.lit(n), normal)
     best = top.groupBy("query_id", "doc_id", "qt").agg(F.greatest(F.lit(0.0), F.max(score)).alias("best"))
     sizes = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("held"))
     factor = damping(F.coalesce("near", F.lit(0)) / (10.0 * F.col("held"))) if damped else F.lit(1.0)
-    factors = index.asked.join(sizes, "query_id").join(index.near(), "qi", "left").select("query_id", "qt", factor.alias("factor"))
+    factors = asked.join(sizes, "query_id").join(near, "qi", "left").select("query_id", "qt", factor.alias("factor"))
     every = found.select("query_id", "doc_id").join(factors, "query_id").join(best, ["query_id", "doc_id", "qt"], "left")
     parts = every.groupBy("query_id", "doc_id").agg((F.sum(F.coalesce("best", F.lit(0.0)) * F.col("factor")) / F.count(F.lit(1))).alias("pmi"), F.avg("factor").alias("damping"))
     out = found.join(docs.drop("published_at"), "doc_id").join(queries.select("query_id", F.col("cats").alias("__qc")), "query_id").join(parts, ["query_id", "doc_id"], "left")
@@ -104,10 +128,22 @@ def with_neighbors(docs: DataFrame, queries: DataFrame, near: DataFrame, limit:
 
 
 def cards(ranked: DataFrame, docs: DataFrame, queries: DataFrame, id_column: Column) -> DataFrame:
-    """One card a query: bullets, sources, mean score parts, matched tokens. docs: doc_id, title, url, published_at, tokens."""
-    j = ranked.join(docs.select("doc_id", "title", "url", "published_at", "tokens"), "doc_id").join(queries.select("query_id", F.col("tokens").alias("__q")), "query_id")
-    one = j.withColumn("hit", F.array_intersect("tokens", "__q"))
-    parts = ("pmi", "cats", "recency", "authority", "length", "total")
-    g = one.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url", "published_at"))).alias("x"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("matched"), *[F.round(F.avg(p), 6).alias(p) for p in parts])
-    out = g.select("query_id", F.transform("x", lambda x: x["title"]).alias("bullets"), F.transform("x", lambda x: F.struct(x["url"].alias("url"), x["published_at"].alias("time"))).alias("sources"), "matched", F.create_map(*[v for p in parts for v in (F.lit(p), F.col(p))]).alias("breakdown"))
-    return out.withColumn("id", id_column)
+    """One card for each ranked document: title, bullets, sources, score parts, and why it was found (query tokens, those
+    that it holds, the query's categories, tokens that facts added). docs: doc_id, title, url, published_at, tokens."""
+    q = queries.select("query_id", F.col("tokens").alias("__q"), F.col("cats").alias("__c"), F.array_except("wanted", "tokens").alias("__w"))
+    j = ranked.join(docs.select("doc_id", "title", "url", "published_at", F.col("tokens").alias("__t")), "doc_id").join(q, "query_id")
+    parts = ("pmi", "cats", "recency", "authority", "length")
+    return j.select(
+        "query_id",
+        "rank",
+        "doc_id",
+        id_column.alias("id"),
+        "title",
+        F.array("title").alias("bullets"),
+        F.array(F.struct("url", F.col("published_at").alias("time"))).alias("sources"),
+        F.create_map(*[v for p in parts for v in (F.lit(p), F.col(p))]).alias("breakdown"),
+        F.col("__q").alias("query_tokens"),
+        F.array_sort(F.array_intersect("__t", "__q")).alias("matched"),
+        F.col("__c").alias("category_overlap"),
+        F.col("__w").alias("expanded"),
+    )

@@ -12,12 +12,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import Damping, association, damped_pair, damping
-from ..runtime import cut, light
+from ..runtime import cut, stored
 
 
 def members(corpus: DataFrame, key: str = "doc_id", tokens: str = "tokens", *more: str) -> DataFrame:
-    """(key, token, *more), each token once a document; narrow."""
-    return corpus.select(F.col(key).alias("doc_id"), *more, F.explode(F.array_distinct(F.col(tokens))).alias("token")).where("token <> ''")
+    """(key, token, *more), each token once a document; narrow. Tokens may be numbers, see coded()."""
+    out = corpus.select(F.col(key).alias("doc_id"), *more, F.explode(F.array_distinct(F.col(tokens))).alias("token"))
+    return out.where("token <> ''") if dict(out.dtypes)["token"] == "string" else out
+
+
+def number(token: Column) -> Column:
+    """The 64-bit number that stands for a token while pairs are counted."""
+    return F.xxhash64(token)
+
+
+def coded(corpus: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """The corpus with numbers for its tokens, made inside each row; dictionary() leads back."""
+    return corpus.withColumn(tokens, F.transform(F.filter(tokens, lambda x: x != ""), number))
+
+
+def dictionary(df: DataFrame) -> DataFrame:
+    """(token, df, id) from frequencies(), stored. Two tokens of one number, which 64 bits make all but impossible, are
+    an error: no count is ever mixed up."""
+    out = stored(df.select("token", "df", number(F.col("token")).alias("id")))
+    if not out.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("two tokens have one number")
+    return out
+
+
+def named(counts: DataFrame, words: DataFrame, *columns: str) -> DataFrame:
+    """Numbers in the columns become tokens again; words: dictionary()."""
+    for c in columns:
+        w = words.select(F.col("id").alias("__id"), F.col("token").alias("__token"))
+        counts = counts.join(w, F.col(c) == F.col("__id")).drop(c, "__id").withColumnRenamed("__token", c)
+    return counts
 
 
 def frequencies(occ: DataFrame) -> DataFrame:
@@ -35,26 +63,37 @@ def band(df: DataFrame, n: int, least: float = 0.0, most: float = 1.0, floor: in
     return df.where((F.col("df") >= floor) & (F.col("df") >= least * n) & (F.col("df") <= most * n))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """(token, df, id) with ids in the order of the tokens, unique and not dense; cut, so that they stay."""
-    return cut(df.select("token", "df").orderBy("token").withColumn("id", F.monotonically_increasing_id()))
+def pair_ids(occ: DataFrame) -> DataFrame:
+    """(i, j, n): documents that hold both numbers, i < j, from occurrences (doc_id, id), each once.
 
+    Each document's numbers are one sorted array; a row of the first generator is a left one with those after it, so no
+    row holds more than one document's, and counts are summed map side before the only wide shuffle."""
+    return array_pairs(occ.groupBy("doc_id").agg(F.array_sort(F.collect_list("id")).alias("v")))
 
-def pair_ids(occ: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(i, j, n): documents that hold both, i < j, of the tokens in a numbered() vocabulary.
 
-    Each document's ids are one sorted array; a row of the first generator is a left token with those after it, so no
-    row holds more than one document's ids, and counts are summed map side before the only wide shuffle."""
-    ids = occ.join(light(vocabulary.select("token", "id")), "token").groupBy("doc_id").agg(F.array_sort(F.collect_list("id")).alias("v"))
-    left = ids.select("v", F.posexplode("v").alias("p", "i")).where(F.col("p") + 1 < F.size("v")).select("i", F.slice("v", F.col("p") + 2, F.size("v")).alias("rest"))
+def array_pairs(sets: DataFrame) -> DataFrame:
+    """pair_ids() from arrays v of distinct numbers in order."""
+    left = sets.select("v", F.posexplode("v").alias("p", "i")).where(F.col("p") + 1 < F.size("v")).select("i", F.slice("v", F.col("p") + 2, F.size("v")).alias("rest"))
     return left.select("i", F.explode("rest").alias("j")).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pairs(occ: DataFrame, df: DataFrame, n_least: int = 1) -> DataFrame:
-    """(t1, t2, n, df1, df2), t1 < t2, of the tokens in df."""
-    v = numbered(df)
-    side = lambda k: light(v.select(F.col("id").alias("ij"[k - 1]), F.col("token").alias(f"t{k}"), F.col("df").alias(f"df{k}")))
-    return pair_ids(occ, v).where(F.col("n") >= n_least).join(side(1), "i").join(side(2), "j").select("t1", "t2", "n", "df1", "df2")
+    """(t1, t2, n, df1, df2), t1 < t2, of the tokens in df that n_least documents share.
+
+    Only a token in n_least documents can have such a pair. Counting is done with numbers; names come to what is left."""
+    words = dictionary(df.where(F.col("df") >= n_least))
+    ids = occ.select("doc_id", number(F.col("token")).alias("id")).join(words.select("id"), "id", "left_semi")
+    side = lambda k: words.select(F.col("id").alias("ij"[k - 1]), F.col("token").alias(f"x{k}"), F.col("df").alias(f"d{k}"))
+    found = pair_ids(ids).where(F.col("n") >= n_least).join(side(1), "i").join(side(2), "j")
+    up = F.col("x1") < F.col("x2")
+    return found.select(F.when(up, F.col("x1")).otherwise(F.col("x2")).alias("t1"), F.when(up, F.col("x2")).otherwise(F.col("x1")).alias("t2"), "n", F.when(up, F.col("d1")).otherwise(F.col("d2")).alias("df1"), F.when(up, F.col("d2")).otherwise(F.col("d1")).alias("df2"))
+
+
+def all_pairs(corpus: DataFrame, df: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(t1, t2, n, df1, df2) of all pairs of a coded() corpus; df: (token, df) of its numbers, stored."""
+    found = array_pairs(corpus.select(F.array_sort(F.array_distinct(tokens)).alias("v")))
+    side = lambda k: df.select(F.col("token").alias(f"t{k}"), F.col("df").alias(f"df{k}"))
+    return found.select(F.col("i").alias("t1"), F.col("j").alias("t2"), "n").join(side(1), "t1").join(side(2), "t2").select("t1", "t2", "n", "df1", "df2")
 
 
 def scored(found: DataFrame, n: int, normal: bool = True) -> DataFrame:
@@ -80,21 +119,26 @@ def neighbors(found: DataFrame, k: int = 10, min_df: int = 5) -> DataFrame:
 
 def damping_factors(found: DataFrame, df: DataFrame, size: int, d: Damping = Damping()) -> DataFrame:
     """(token, neighbors, factor) of every token of df; size: tokens of the vocabulary. Neighbours score at least the threshold."""
-    near = both_ways(found).where(F.col("score") >= d.threshold).groupBy("token").agg(F.count(F.lit(1)).alias("neighbors"))
+    near = ends(found.where(F.col("score") >= d.threshold), lambda t: [F.count(F.lit(1)).alias("neighbors")], lambda: [F.sum("neighbors").alias("neighbors")])
     ratio = F.col("neighbors") / float(size) if size else F.lit(0.0)
     return df.select("token").join(near, "token", "left").select("token", F.coalesce("neighbors", F.lit(0)).cast("long").alias("neighbors")).withColumn("factor", damping(ratio, d))
 
 
 def damped(found: DataFrame, factors: DataFrame) -> DataFrame:
-    """scored() pairs with the score damped at both ends; factors should be cut."""
-    f = factors.select("token", "factor")
-    one, two = (light(f.select(F.col("token").alias(f"t{k}"), F.col("factor").alias(f"f{k}"))) for k in (1, 2))
+    """scored() pairs with the score damped at both ends; factors should be stored."""
+    one, two = (factors.select(F.col("token").alias(f"t{k}"), F.col("factor").alias(f"f{k}")) for k in (1, 2))
     return found.join(one, "t1").join(two, "t2").withColumn("score", damped_pair(F.col("score"), F.col("f1"), F.col("f2"))).drop("f1", "f2")
 
 
 def best_scores(found: DataFrame) -> DataFrame:
     """(token, pmi_max): the highest damped score of a token's pairs, 0 at least."""
-    return both_ways(found).groupBy("token").agg(F.greatest(F.lit(0.0), F.max("score")).alias("pmi_max"))
+    return ends(found, lambda t: [F.max("score").alias("m")], lambda: [F.greatest(F.lit(0.0), F.max("m")).alias("pmi_max")])
+
+
+def ends(found: DataFrame, first, second) -> DataFrame:
+    """An aggregate of each token's pairs: by the left ends, by the right ends, and of both; no pair is doubled."""
+    one, two = (found.groupBy(F.col(t).alias("token")).agg(*first(t)) for t in ("t1", "t2"))
+    return one.union(two).groupBy("token").agg(*second())
 
 
 def bigrams(corpus: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -140,21 +184,24 @@ def main_category(token_cats: DataFrame) -> DataFrame:
 
 
 def phrase_pairs(found_bigrams: DataFrame, found: DataFrame, min_score: float, limit: int) -> DataFrame:
-    """Bigrams whose pair scores enough, by phrase score (bigram count times damped score); found is scored and damped."""
+    """Bigrams whose pair scores enough, by phrase score (bigram count times damped score); found is scored and damped.
+
+    Both sides name tokens alike, by name or by number; ties are broken by a and b."""
     b = found_bigrams.where("a <> b").withColumns({"t1": F.least("a", "b"), "t2": F.greatest("a", "b")})
     out = b.withColumnRenamed("n", "bigrams").join(found.withColumnRenamed("n", "support"), ["t1", "t2"]).where(F.col("score") >= min_score)
     return out.select("a", "b", "score", "bigrams", "support", (F.col("bigrams") * F.col("score")).alias("phrase_score")).orderBy(F.desc(F.round("phrase_score", 6)), F.desc("bigrams"), "a", "b").limit(limit)
 
 
-def linked_tokens(skips: DataFrame, df: DataFrame, n: int, min_support: int, normal: bool = True) -> DataFrame:
-    """Skip-gram pairs of enough support with their score (contextual neighbours)."""
+def linked_tokens(skips: DataFrame, df: DataFrame, n: int, min_support: int, normal: bool = True, ordered: bool = False) -> DataFrame:
+    """Skip-gram pairs of enough support with their score (contextual neighbours); ordered: the best first."""
     one, two = (df.select(F.col("token").alias(c), F.col("df").alias(f"df{k}")) for k, c in ((1, "a"), (2, "b")))
-    return skips.where(F.col("n") >= min_support).join(one, "a").join(two, "b").select("a", "b", "n", association(F.col("n"), F.col("df1"), F.col("df2"), F.lit(n), normal).alias("score"))
+    out = skips.where(F.col("n") >= min_support).join(one, "a").join(two, "b").select("a", "b", "n", association(F.col("n"), F.col("df1"), F.col("df2"), F.lit(n), normal).alias("score"))
+    return out.orderBy(F.desc(F.round("score", 9)), F.desc("n"), "a", "b") if ordered else out
 
 
 def without_tokens(stats: DataFrame, tokens: DataFrame, *columns: str) -> DataFrame:
     """A table of counts without the rows that name one of the tokens; what else there is stays as counted."""
-    gone = light(tokens.select(F.col("token").alias("__gone")).distinct())
+    gone = stored(tokens.select(F.col("token").alias("__gone")).distinct())
     for c in columns:
         stats = stats.join(gone, F.col(c) == F.col("__gone"), "left_anti")
     return stats

@@ -20,10 +20,8 @@ TAXONOMY = {"sectors": {"english": ["the", "of", "that"], "german": ["der", "und
 PHRASES = [("of the", ["of the"]), ("in the", ["in the"]), ("de la", ["de la", "de las"]), ("that is", ["that is", "that was"])]
 FACTS = [("is_a", "gpt", "transformer"), ("is_a", "transformer", "neural-network"), ("is_a", "neural-network", "model"), ("used_for", "gpt", "text"), ("used_for", "text", "search"), ("related_to", "model", "data"), ("related_to", "data", "corpus"), ("related_to", "corpus", "data"), ("related_to", "corpus", "text"), ("related_to", "that", "with"), ("related_to", "with", "for")]
 NOW = datetime(2024, 6, 1, tzinfo=timezone.utc)
-#: Vocabulary for pair statistics, as shares of the documents: rarer tokens have no reliable pairs, commoner ones are hubs.
-PAIR = {"least": 0.005, "most": 0.1, "floor": 5}
-#: Vocabulary from which stop words are found.
-COMMON = 0.02
+#: Documents that a rule, a linked pair or an edge of a cluster needs (the tuners' and the bootstrap's own thresholds).
+SUPPORT, SYNONYM_SUPPORT, SYNONYM_SCORE = 5, 3, 0.3
 STOP = tuning.StopThresholds(df_percent=15.0, pmi_max=0.6, entropy=-1.0, bootstrap_df_percent=15.0)
 MODES = ("view", "click", "purchase")
 
@@ -35,22 +33,31 @@ def _docs(spark: SparkSession, sf: str, stops=()) -> DataFrame:
 
 def _stats(spark: SparkSession, sf: str, stops=()) -> tuple[DataFrame, int, DataFrame, DataFrame]:
     """corpus, documents, members, frequencies."""
-    d = _docs(spark, sf, stops)
+    d = stats.cut(_docs(spark, sf, stops))
     occ = stats.members(d)
     return d, d.count(), occ, stats.frequencies(occ)
 
 
-def _banded(spark, sf, normal=True, vocabulary=PAIR):
+def _scored(spark, sf, normal=True, floor=SUPPORT, least=1):
+    """corpus, n, and scored pairs of all tokens of floor documents that least documents share; the floor is the
+    neighbours' (P2), and no pair of that support is without it."""
     d, n, occ, df = _stats(spark, sf)
-    return d, n, stats.scored(stats.pairs(occ, stats.band(df, n, **vocabulary)), n, normal)
+    return d, n, stats.scored(stats.pairs(occ, df.where(F.col("df") >= floor), least), n, normal)
 
 
-def _common(spark, sf, least=COMMON):
-    d, n, occ, df = _stats(spark, sf)
-    df = stats.cut(df)
-    found = stats.cut(stats.scored(stats.pairs(occ, stats.band(df, n, least)), n))
-    factors = stats.cut(stats.damping_factors(found, stats.band(df, n, least), stats.band(df, n, least).count()))
-    return d, n, df, found, factors
+def _everything(spark, sf, normal=True):
+    """corpus, n, dictionary, and scored pairs of all tokens, by number."""
+    d, n, _, df = _stats(spark, sf)
+    words = stats.dictionary(df)
+    return d, n, words, stats.scored(stats.all_pairs(stats.coded(d), words.select(F.col("id").alias("token"), "df")), n, normal)
+
+
+def _hubs(spark, sf):
+    """corpus, Counted, and its factors: (token, neighbors, factor) by number."""
+    d = stats.cut(_docs(spark, sf))
+    counted = tuning.Counted(d, F.col("source_cats"))
+    df, found = counted.without(None)
+    return d, counted, found, stats.stored(stats.damping_factors(found, df, df.count()))
 
 
 def _r(name: str):
@@ -63,7 +70,7 @@ def tokenize_clean(spark, sf):
 
 def lexicon_tokens(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text"), STOPS, SYNONYMS).alias("tokens"))
-    return d.select("doc_id", F.explode("tokens").alias("token")).where(F.col("token").isin(*set(SYNONYMS.values()))).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return d.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def clean_text_urls(spark, sf):
@@ -101,51 +108,63 @@ def high_df_tokens(spark, sf):
     return stats.frequency_stats(df, n).select("token", "df", _r("df_percent")).orderBy(F.desc("df"), "token").limit(20)
 
 
-def bigram_counts(spark, sf, least=2):
-    return stats.bigrams(_docs(spark, sf)).where(F.col("n") >= least)
+def bigram_counts(spark, sf):
+    return stats.bigrams(_docs(spark, sf))
 
 
-def skipgram_counts(spark, sf, least=5):
-    return stats.skipgrams(_docs(spark, sf)).where(F.col("n") >= least)
+def skipgram_counts(spark, sf):
+    return stats.skipgrams(_docs(spark, sf))
 
 
-def doc_pair_counts(spark, sf, vocabulary=PAIR, least=5):
-    return _banded(spark, sf, True, vocabulary)[2].where(F.col("n") >= least).select("t1", "t2", "n")
+def doc_pair_counts(spark, sf):
+    """All pairs of all tokens, summed up for each token: partners, documents shared with them, the most with one."""
+    _, _, words, found = _everything(spark, sf)
+    n = F.count(F.lit(1))
+    sums = stats.ends(found, lambda t: [n.alias("partners"), F.sum("n").alias("joint"), F.max("n").alias("most")], lambda: [F.sum("partners").alias("partners"), F.sum("joint").alias("joint"), F.max("most").alias("most")])
+    return stats.named(sums, words.drop("df"), "token")
 
 
-def pmi_pairs(spark, sf, vocabulary=PAIR, least=5):
-    return _banded(spark, sf, False, vocabulary)[2].where(F.col("n") >= least).select("t1", "t2", "n", _r("score"))
+def pmi_pairs(spark, sf):
+    """All pairs of all tokens, raw scores: the highest and the lowest of each token, and how many are above 0."""
+    _, _, words, found = _everything(spark, sf, False)
+    one = lambda t: [F.max("score").alias("h"), F.min("score").alias("l"), F.count_if(F.col("score") > 1e-9).alias("above")]
+    sums = stats.ends(found, one, lambda: [F.max("h").alias("highest"), F.min("l").alias("lowest"), F.sum("above").alias("above")])
+    return stats.named(sums, words.drop("df"), "token").select("token", _r("highest"), _r("lowest"), "above")
 
 
-def npmi_pairs(spark, sf, vocabulary=PAIR, least=5):
-    return _banded(spark, sf, True, vocabulary)[2].where(F.col("n") >= least).select("t1", "t2", "n", _r("score"))
+def npmi_pairs(spark, sf):
+    """The pairs of the support that rules need, of all tokens."""
+    return _scored(spark, sf, True, SUPPORT, SUPPORT)[2].select("t1", "t2", "n", _r("score"))
 
 
 def basket_npmi(spark, sf):
-    d = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("tokens"))
+    d = stats.cut(table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("tokens")))
     occ, n = stats.members(d), d.count()
     return stats.scored(stats.pairs(occ, stats.frequencies(occ)), n).select("t1", "t2", "n", _r("score"))
 
 
 def event_pair_npmi(spark, sf):
-    d = table(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.collect_set("event_type").alias("tokens"))
+    d = stats.cut(table(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.collect_set("event_type").alias("tokens")))
     occ, n = stats.members(d), d.count()
     return stats.scored(stats.pairs(occ, stats.frequencies(occ)), n).select("t1", "t2", "n", _r("score"))
 
 
-def top_neighbors(spark, sf, vocabulary=PAIR):
-    return stats.neighbors(_banded(spark, sf, True, vocabulary)[2]).select("token", "neighbor", "n", _r("score"), F.col("rank").cast("long").alias("rank"))
+def top_neighbors(spark, sf):
+    return stats.neighbors(_scored(spark, sf)[2]).select("token", "neighbor", "n", _r("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def phrase_pairs(spark, sf, least=COMMON):
-    d, _, _, found, factors = _common(spark, sf, least)
-    out = stats.phrase_pairs(stats.bigrams(d), stats.damped(found, factors), 0.01, 200)
+def phrase_pairs(spark, sf):
+    d, counted, found, factors = _hubs(spark, sf)
+    found = stats.named(stats.damped(found, factors).where("score >= 0.01").join(stats.bigrams(stats.coded(d)).select(F.least("a", "b").alias("t1"), F.greatest("a", "b").alias("t2")).distinct(), ["t1", "t2"], "left_semi"), counted.words.drop("df"), "t1", "t2")
+    up = F.col("t1") < F.col("t2")
+    found = found.select(F.when(up, F.col("t1")).otherwise(F.col("t2")).alias("t1"), F.when(up, F.col("t2")).otherwise(F.col("t1")).alias("t2"), "n", "score")
+    out = stats.phrase_pairs(stats.bigrams(d), found, 0.01, 200)
     return out.select("a", "b", _r("score"), "bigrams", "support", _r("phrase_score"))
 
 
 def linked_tokens(spark, sf):
     d, n, _, df = _stats(spark, sf)
-    return stats.linked_tokens(stats.skipgrams(d), df, n, 5).where("score > 0.1").select("a", "b", "n", _r("score"))
+    return stats.linked_tokens(stats.skipgrams(d), df, n, SUPPORT).where("score > 0.1").select("a", "b", "n", _r("score"))
 
 
 def token_categories(spark, sf):
@@ -156,32 +175,31 @@ def token_category_entropy(spark, sf):
     return stats.entropies(stats.token_categories(_docs(spark, sf), F.array("outlet"))).select("token", (F.round("entropy", 6) + 0.0).alias("entropy"))
 
 
-def damping_factors(spark, sf, least=COMMON):
-    return _common(spark, sf, least)[4].select("token", "neighbors", _r("factor"))
+def damping_factors(spark, sf):
+    _, counted, _, factors = _hubs(spark, sf)
+    return counted.named(factors).select("token", "neighbors", _r("factor"))
 
 
-def stopword_stats(spark, sf, least=COMMON):
-    d, n, df, found, factors = _common(spark, sf, least)
-    ent = stats.entropies(stats.token_categories(d, F.col("source_cats")))
-    return tuning.stopword_stats(df, n, stats.damped(found, factors), ent).select("token", "df", _r("df_percent"), _r("idf"), _r("pmi_max"), (F.round("entropy", 6) + 0.0).alias("entropy"))
+def stopword_stats(spark, sf):
+    counted = tuning.Counted(_docs(spark, sf), F.col("source_cats"))
+    return counted.named(counted.rows(None)).select("token", "df", _r("df_percent"), _r("idf"), _r("pmi_max"), (F.round("entropy", 6) + 0.0).alias("entropy"))
 
 
-def stopword_candidates(spark, sf, least=COMMON):
-    d, n, df, found, factors = _common(spark, sf, least)
-    ent = stats.entropies(stats.token_categories(d, F.col("source_cats")))
-    return tuning.stop_candidates(tuning.stopword_stats(df, n, stats.damped(found, factors), ent), STOP).select("token", "df", _r("pmi_max"), (F.round("entropy", 6) + 0.0).alias("entropy"), "bootstrap", _r("score"))
+def stopword_candidates(spark, sf):
+    counted = tuning.Counted(_docs(spark, sf), F.col("source_cats"))
+    return counted.named(tuning.stop_candidates(counted.rows(None), STOP)).select("token", "df", _r("pmi_max"), (F.round("entropy", 6) + 0.0).alias("entropy"), "bootstrap", _r("score"))
 
 
-def _rules(spark, sf, vocabulary=PAIR):
-    return tuning.rules(_banded(spark, sf, True, vocabulary)[2], 0.5, 5)
+def _rules(spark, sf):
+    return tuning.rules(_scored(spark, sf, True, SUPPORT, SUPPORT)[2], 0.5, SUPPORT)
 
 
-def rule_suggestions(spark, sf, vocabulary=PAIR):
-    return _rules(spark, sf, vocabulary).where("confidence >= 0.6").select("relation", "subject", "object", _r("score"), "support", _r("confidence"))
+def rule_suggestions(spark, sf):
+    return _rules(spark, sf).where("confidence >= 0.6").select("relation", "subject", "object", _r("score"), "support", _r("confidence"))
 
 
-def rule_export(spark, sf, vocabulary=PAIR):
-    return tuning.rule_lines(_rules(spark, sf, vocabulary).withColumn("confidence", F.round("confidence", 6)))
+def rule_export(spark, sf):
+    return tuning.rule_lines(_rules(spark, sf))
 
 
 def taxonomy_assign(spark, sf):
@@ -255,31 +273,39 @@ def batch_search(spark, sf):
     return search.top_k(_searched(spark, sf, False)[2]).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), _r("total"))
 
 
-def retrieve_with_neighbors(spark, sf, vocabulary=PAIR):
-    near = stats.cut(stats.neighbors(_banded(spark, sf, True, vocabulary)[2]))
+def retrieve_with_neighbors(spark, sf):
+    near = stats.cut(stats.neighbors(_scored(spark, sf)[2]))
     return search.with_neighbors(_docs(spark, sf), _queries(spark, sf, False), near)
 
 
 def cards(spark, sf):
     d, q, s = _searched(spark, sf, False)
     d = d.select("doc_id", text.story_title(F.col("text")).alias("title"), "url", "published_at", "tokens")
-    out = search.cards(search.top_k(s), d, q, text.card_id(F.col("query_id").cast("string")))
+    out = search.cards(search.top_k(s), d, q, text.card_id(F.col("query_id").cast("string"), F.col("doc_id").cast("string")))
     show = lambda c: F.array_join(c, "|")
-    return out.select("id", "query_id", show(F.col("bullets")).alias("bullets"), show(F.transform("sources", lambda x: x["url"])).alias("urls"), show(F.col("matched")).alias("matched"), F.col("breakdown")["total"].alias("total"))
+    parts = [F.round(F.col("breakdown")[p], 6).alias(p) for p in ("pmi", "cats", "recency", "authority", "length")]
+    return out.select("id", "query_id", F.col("rank").cast("long").alias("rank"), "title", show(F.col("bullets")).alias("bullets"), show(F.transform("sources", lambda x: x["url"])).alias("urls"), show(F.col("matched")).alias("matched"), show(F.col("category_overlap")).alias("category_overlap"), show(F.col("expanded")).alias("expanded"), *parts)
 
 
-def collisions(spark, sf, vocabulary=PAIR):
+def collisions(spark, sf):
     q = _queries(spark, sf, False)
-    found = stats.cut(_banded(spark, sf, True, vocabulary)[2])
+    found = stats.stored(_scored(spark, sf)[2])
     best = stats.neighbors(found, 1).select("token", F.col("score").alias("strength"))
     strengths = q.select("query_id", F.posexplode("tokens").alias("pos", "token")).join(best, "token")
     return signals.collisions(strengths, found).select("query_id", "a", "b", _r("strength_a"), _r("strength_b"), _r("joint"), _r("surprise"))
 
 
-def prediction_error(spark, sf, vocabulary=PAIR):
-    near = stats.neighbors(_banded(spark, sf, True, vocabulary)[2])
-    d, q = stats.cut(_docs(spark, sf).select("doc_id", "published_at", "tokens")), _queries(spark, sf, False)
-    return signals.prediction_error(near, q, search.candidates(d, q, 12, "tokens"), d).select("query_id", "predicted", "actual", "shared", "missing", "unexpected", _r("error"))
+def _signals(spark, sf):
+    d, q, s = _searched(spark, sf, False)
+    return signals.bundle(q, stats.cut(search.top_k(s).select("query_id", "doc_id")), d.select("doc_id", "tokens"), stats.stored(_scored(spark, sf)[2]))
+
+
+def prediction_error(spark, sf):
+    return _signals(spark, sf)["prediction_error"].select("query_id", "predicted", "actual", "shared", "missing", "unexpected", _r("error"))
+
+
+def token_damping(spark, sf):
+    return _signals(spark, sf)["token_damping"].select("query_id", "token", "neighbors", _r("factor"))
 
 
 def _facts(spark, sf):
@@ -308,11 +334,8 @@ def neighbors_undirected(spark, sf):
 
 
 def proof_path(spark, sf):
-    """Every two names of the literal facts; the facts are a small literal list."""
-    p = graph.Proofs(FACTS)
-    names = sorted({x for f in FACTS for x in f[1:]})
-    rows = [(a, b, s["depth"], s["relation"], s["source"], s["target"]) for a in names for b in names for s in p.path(a, b)]
-    return spark.createDataFrame(rows, "subject string, object string, depth int, relation string, source string, target string")
+    """The proof of everything that can be proven from the facts of the tables and the literal ones."""
+    return graph.proofs(_facts(spark, sf)).select("subject", "object", F.col("depth").cast("long").alias("depth"), "relation", "source", "target")
 
 
 def phrase_parse(spark, sf):
@@ -320,17 +343,14 @@ def phrase_parse(spark, sf):
     return _docs(spark, sf).select("doc_id", p.column(F.col("tokens")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.filter("t", lambda x: x.contains(" "))).cast("long").alias("n_phrases"))
 
 
-def _edges(spark, sf, vocabulary=PAIR):
-    return _banded(spark, sf, True, vocabulary)[2].where("n >= 5 and score >= 0.5")
-
-
-def clusters(spark, sf, vocabulary=PAIR):
-    e = _edges(spark, sf, vocabulary).select(F.col("t1").alias("a"), F.col("t2").alias("b"))
+def clusters(spark, sf):
+    e = _scored(spark, sf, True, SUPPORT, SUPPORT)[2].where("score >= 0.5").select(F.col("t1").alias("a"), F.col("t2").alias("b"))
     return graph.clusters(e).select("root", F.array_join("tokens", ",").alias("tokens"), "size")
 
 
-def synonym_groups(spark, sf, vocabulary=PAIR):
-    e = stats.cut(_edges(spark, sf, vocabulary).select(F.col("t1").alias("a"), F.col("t2").alias("b"), "score", "n"))
+def synonym_groups(spark, sf):
+    d, n, _, df = _stats(spark, sf)
+    e = stats.cut(stats.linked_tokens(stats.skipgrams(d), df, n, SYNONYM_SUPPORT).where(F.col("score") >= SYNONYM_SCORE))
     return graph.synonym_groups(e).select("canonical", F.array_join("variants", ",").alias("variants"), _r("score"), "support")
 
 
@@ -357,13 +377,13 @@ def document_upsert(spark, sf):
     return store.upserted(old, new, "url").select("url", "doc_id", F.size("tokens").cast("long").alias("n_tokens"))
 
 
-def prune_tokens(spark, sf, least=2):
+def prune_tokens(spark, sf):
     gone = spark.createDataFrame([(s,) for s in STOPS], "token string")
-    return stats.without_tokens(stats.bigrams(_docs(spark, sf)), gone, "a", "b").where(F.col("n") >= least)
+    return stats.without_tokens(stats.bigrams(_docs(spark, sf)), gone, "a", "b")
 
 
 def autotune_rounds(spark, sf):
-    out, _ = tuning.rounds(_docs(spark, sf), STOP, 3)
+    out, _ = tuning.rounds(_docs(spark, sf), STOP, 3, F.col("source_cats"))
     return out.select(F.col("round").cast("long").alias("round"), "token", "df", _r("score"))
 
 
@@ -412,15 +432,18 @@ def _pmi(n, a, b, big="big_n") -> str:
     return f"ln((({n} + 1e0) * {big}) / (({a} + 1e0) * ({b} + 1e0)))"
 
 
-def _pairs(where: str, score=_npmi) -> str:
-    return f"""{U}, v AS (SELECT tok, df FROM df, nn WHERE {where}), o AS MATERIALIZED (SELECT doc_id, tok, df FROM u JOIN v USING (tok)),
-p AS MATERIALIZED (SELECT t1, t2, n, df1, df2, {score('n', 'df1', 'df2')} AS score FROM (SELECT a.tok AS t1, b.tok AS t2, count(*) AS n, any_value(a.df) AS df1, any_value(b.df) AS df2 FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.tok < b.tok GROUP BY 1, 2), nn)"""
+def _pairs(where: str, score=_npmi, least: int = 1, base: str = U + ", ") -> str:
+    """v(tok, df, id), o, pn(i, j, n): pairs by number of the tokens that a condition admits; sc: scored."""
+    return f"""{base}v AS MATERIALIZED (SELECT tok, df, row_number() OVER (ORDER BY tok)::INTEGER AS id FROM df, nn WHERE {where}), o AS MATERIALIZED (SELECT doc_id, id FROM u JOIN v USING (tok)),
+pn AS MATERIALIZED (SELECT a.id AS i, b.id AS j, count(*)::INTEGER AS n FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= {least}),
+sc AS MATERIALIZED (SELECT i, j, n, x.df AS df1, y.df AS df2, {score('n', 'x.df', 'y.df')} AS score FROM pn JOIN v x ON i = x.id JOIN v y ON j = y.id CROSS JOIN nn)"""
 
 
-IN_BAND = f"df >= {PAIR['floor']} AND df >= {PAIR['least']} * big_n AND df <= {PAIR['most']} * big_n"
-BAND = _pairs(IN_BAND)
-BOTH = "e AS MATERIALIZED (SELECT t1 AS token, t2 AS neighbor, n, df1 AS token_df, df2 AS neighbor_df, score FROM p UNION ALL SELECT t2, t1, n, df2, df1, score FROM p)"
-NEAR = f"{BOTH}, near AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY round(score, 9) DESC, neighbor) AS rank FROM e WHERE token_df >= 5 AND neighbor_df >= 5) WHERE rank <= 10)"
+NAMES = "p AS MATERIALIZED (SELECT x.tok AS t1, y.tok AS t2, n, df1, df2, score FROM sc JOIN v x ON i = x.id JOIN v y ON j = y.id)"
+NEAR_PAIRS = f"{_pairs(f'df >= {SUPPORT}')}, {NAMES}"
+MORE_PAIRS = f"{_pairs(f'df >= {SUPPORT}', base='')}, {NAMES}"
+SUPPORTED = f"{_pairs(f'df >= {SUPPORT}', least=SUPPORT)}, {NAMES}"
+NEAR = "e AS MATERIALIZED (SELECT t1 AS token, t2 AS neighbor, n, score FROM p UNION ALL SELECT t2, t1, n, score FROM p), nx AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY round(score, 9) DESC, neighbor) AS rank FROM e) WHERE rank <= 500), near AS MATERIALIZED (SELECT * FROM nx WHERE rank <= 10)"
 
 
 def _damp(ratio: str) -> str:
@@ -428,9 +451,19 @@ def _damp(ratio: str) -> str:
     return f"CASE WHEN {ratio} <= 0.3e0 THEN 1e0 WHEN {ratio} >= 0.6e0 THEN 0.1e0 ELSE 1 - {t} * {t} * (3 - 2 * {t}) * 0.9e0 END"
 
 
-HUBS = f"""{_pairs(f'df >= {COMMON} * big_n')}, {BOTH}, f AS MATERIALIZED (SELECT tok AS token, coalesce(neighbors, 0) AS neighbors, {_damp('(coalesce(neighbors, 0) / (SELECT count(*) FROM v)::DOUBLE)')} AS factor
-FROM v LEFT JOIN (SELECT token, count(*) AS neighbors FROM e WHERE score >= 0.05 GROUP BY token) ON tok = token),
-q AS MATERIALIZED (SELECT t1, t2, n, score * sqrt(a.factor * b.factor) AS score FROM p JOIN f a ON t1 = a.token JOIN f b ON t2 = b.token)"""
+def _hub(sc: str, v: str, f: str, q: str, scale: str = "") -> str:
+    """Damping factors f(id, neighbors, factor) of the tokens v by the scored pairs sc, and damped pairs q(i, j, n, score)."""
+    return f"""{f} AS MATERIALIZED (SELECT id, coalesce(neighbors, 0)::BIGINT AS neighbors, {_damp(f'(coalesce(neighbors, 0) / (SELECT count(*) FROM {v})::DOUBLE)')} AS factor
+FROM {v} LEFT JOIN (SELECT id, sum(k) AS neighbors FROM (SELECT i AS id, count(*) AS k FROM {sc} WHERE score >= 0.05 GROUP BY i UNION ALL SELECT j, count(*) FROM {sc} WHERE score >= 0.05 GROUP BY j) GROUP BY id) USING (id)),
+{q} AS (SELECT i, j, n, score * sqrt(a.factor * b.factor) AS score FROM {sc} JOIN {f} a ON i = a.id JOIN {f} b ON j = b.id)"""
+
+
+def _most(q: str, out: str) -> str:
+    return f"{out} AS MATERIALIZED (SELECT id, greatest(0, max(m)) AS pmi_max FROM (SELECT i AS id, max(score) AS m FROM {q} GROUP BY i UNION ALL SELECT j, max(score) FROM {q} GROUP BY j) GROUP BY id)"
+
+
+ALL_PAIRS = _pairs("TRUE")
+HUBS = f"{ALL_PAIRS}, {_hub('sc', 'v', 'f', 'q')}"
 BIGRAMS = "bg AS (SELECT a, b, count(*) AS n FROM (SELECT unnest(list_slice(toks, 1, len(toks) - 1)) AS a, unnest(list_slice(toks, 2, len(toks))) AS b FROM d WHERE len(toks) > 1) GROUP BY a, b)"
 SKIPS = """pos AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM d),
 sk AS MATERIALIZED (SELECT a, b, count(*) AS n FROM (SELECT DISTINCT x.doc_id, least(x.tok, y.tok) AS a, greatest(x.tok, y.tok) AS b FROM (SELECT p.doc_id, p.tok, p.i, unnest([1, 2, 3, 4]) AS k FROM pos p) x JOIN pos y ON x.doc_id = y.doc_id AND y.i = x.i + x.k WHERE x.tok <> y.tok) GROUP BY a, b)"""
@@ -441,16 +474,41 @@ def _entropy(cat: str) -> str:
 en AS MATERIALIZED (SELECT tok, (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(count(*) + 1e0) AS entropy FROM tc GROUP BY tok)"""
 
 
-STOPROWS = f"""{HUBS}, {_entropy('lang')}, mx AS (SELECT token, greatest(0, max(score)) AS pmi_max FROM (SELECT t1 AS token, score FROM q UNION ALL SELECT t2, score FROM q) GROUP BY token),
-ss AS MATERIALIZED (SELECT df.tok AS token, df, 100e0 * df / big_n AS df_percent, ln(big_n::DOUBLE / (1 + df)) AS idf, coalesce(pmi_max, 0e0) AS pmi_max, coalesce(entropy, 0) AS entropy FROM df CROSS JOIN nn LEFT JOIN mx ON df.tok = mx.token LEFT JOIN en ON en.tok = df.tok)"""
+def _rows(v: str, mx: str, en: bool) -> str:
+    e = "coalesce(entropy, 0)" if en else "0e0"
+    return f"SELECT id, tok AS token, df, 100e0 * df / big_n AS df_percent, ln(big_n::DOUBLE / (1 + df)) AS idf, coalesce(pmi_max, 0e0) AS pmi_max, {e} AS entropy FROM {v} CROSS JOIN nn LEFT JOIN {mx} USING (id)" + (" LEFT JOIN en USING (tok)" if en else "")
 
 
+STOPROWS = f"{HUBS}, {_entropy('lang')}, {_most('q', 'mx')}, ss AS MATERIALIZED ({_rows('v', 'mx', True)})"
 def _candidates(pmi_max="pmi_max", e="entropy", s=STOP) -> str:
     return f"CASE WHEN {pmi_max} = 0 THEN df_percent > {s.bootstrap_df_percent} ELSE df_percent > {s.df_percent} AND {pmi_max} < {s.pmi_max} AND {e} > {s.entropy} END"
 
 
-def _score(e="entropy") -> str:
-    return f"(df_percent / 100 + (1 - pmi_max) + CASE WHEN pmi_max = 0 THEN greatest({e}, {STOP.bootstrap_entropy}) ELSE {e} END) / 3"
+def _score(e="entropy", s=STOP) -> str:
+    return f"(df_percent / 100 + (1 - pmi_max) + CASE WHEN pmi_max = 0 THEN greatest({e}, {s.bootstrap_entropy}) ELSE {e} END) / 3"
+
+
+def _discovery(rounds: int, thresholds, gone: tuple[str, ...], limit: int | None, en: bool) -> str:
+    """CTEs v1, sc1, s1 ... : the rounds of stop-word discovery, one after the other over what is left."""
+    ctes = [ALL_PAIRS] + ([_entropy("lang")] if en else [])
+    vocabulary, scored_ = "v", "sc"
+    if gone:
+        ctes.append(f"v0 AS MATERIALIZED (SELECT * FROM v WHERE tok NOT IN ({_list(gone)})), sc0 AS MATERIALIZED (SELECT * FROM sc WHERE i IN (SELECT id FROM v0) AND j IN (SELECT id FROM v0))")
+        vocabulary, scored_ = "v0", "sc0"
+    for k in range(1, rounds + 1):
+        ctes.append(f"{_hub(scored_, vocabulary, f'f{k}', f'q{k}')}, {_most(f'q{k}', f'mx{k}')}, s{k} AS MATERIALIZED (SELECT id, token, df, {_score(s=thresholds)} AS score FROM ({_rows(vocabulary, f'mx{k}', en)}) WHERE {_candidates(s=thresholds)}{f' ORDER BY round({_score(s=thresholds)}, 6) DESC, token LIMIT {limit}' if limit else ''})")
+        if k < rounds:
+            ctes.append(f"w{k} AS MATERIALIZED (SELECT * FROM {vocabulary} WHERE id NOT IN (SELECT id FROM s{k})), x{k} AS MATERIALIZED (SELECT * FROM {scored_} WHERE i NOT IN (SELECT id FROM s{k}) AND j NOT IN (SELECT id FROM s{k}))")
+            vocabulary, scored_ = f"w{k}", f"x{k}"
+    return ", ".join(ctes)
+
+
+def _components(edges: str, hops: int = 14) -> str:
+    """co(token, root) of edges(a, b): smallest labels spread to the neighbours and along themselves, round by round."""
+    out = [f"ew AS MATERIALIZED (SELECT a AS u, b AS w FROM {edges} UNION SELECT b, a FROM {edges}), l0 AS MATERIALIZED (SELECT u, least(u, min(w)) AS r FROM ew GROUP BY u)"]
+    for k in range(1, hops + 1):
+        out.append(f"h{k} AS MATERIALIZED (SELECT ew.u, least(any_value(x.r), min(y.r)) AS r FROM ew JOIN l{k - 1} x ON x.u = ew.u JOIN l{k - 1} y ON y.u = ew.w GROUP BY ew.u), l{k} AS MATERIALIZED (SELECT a.u, least(a.r, b.r) AS r FROM h{k} a JOIN h{k} b ON b.u = a.r)")
+    return ", ".join(out) + f", co AS MATERIALIZED (SELECT u AS token, r AS root FROM l{hops})"
 
 
 def _cats_of(toks: str) -> str:
@@ -465,7 +523,7 @@ def _cats_of(toks: str) -> str:
 KEYWORDS = "kw(category, keyword) AS (VALUES " + ", ".join(f"('{c}', '{k}')" for c, k in sorted({(n, k) for kind in ("sectors", "events", "regions") for n, ks in TAXONOMY[kind].items() for k in ks})) + ")"
 ENTITY = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS type, '{name}' AS value FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{k}')" for k in ks) for kind, names in TAXONOMY["entities"].items() for name, ks in names.items())
 TOPIC = ", ".join(f"CASE WHEN {' OR '.join(f'contains(s, {k!r})' for k in ks)} THEN '{name}' END" for name, ks in sources.TOPICS.items())
-RULES = f"rl AS (SELECT 'related_to' AS relation, t1 AS subject, t2 AS object, score, n AS support, 0.6e0 / (1 + exp(-(score - 0.8e0))) + 0.4e0 / (1 + exp(-(n - 5e0))) AS confidence FROM p WHERE score >= 0.5 AND n >= 5)"
+RULES = f"rl AS (SELECT 'related_to' AS relation, t1 AS subject, t2 AS object, score, n AS support, 0.6e0 / (1 + exp(-(score - 0.8e0))) + 0.4e0 / (1 + exp(-(n - 5e0))) AS confidence FROM p WHERE score >= 0.5)"
 TITLE = "CASE WHEN regexp_extract(text, '^[^.!?]{1,119}[.!?]') <> '' THEN regexp_extract(text, '^[^.!?]{1,119}[.!?]') ELSE text END"
 STRIP = "regexp_replace(html, '<[^>]*>', '', 'g')"
 for _mark, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
@@ -508,12 +566,17 @@ tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in PARTS)
-EDGES = f"ed AS (SELECT t1 AS a, t2 AS b, score, n FROM p WHERE n >= 5 AND score >= 0.5), ew AS (SELECT a AS u, b AS w FROM ed UNION SELECT b, a FROM ed), re(u, w) AS (SELECT u, u FROM ew UNION SELECT re.u, ew.w FROM re JOIN ew ON re.w = ew.u), co AS MATERIALIZED (SELECT u AS token, min(w) AS root FROM re GROUP BY u)"
+CLUSTER_EDGES = "ed AS MATERIALIZED (SELECT t1 AS a, t2 AS b FROM p WHERE score >= 0.5)"
+LINKED = f"lk AS MATERIALIZED (SELECT * FROM (SELECT a, b, n, {_npmi('n', 'x.df', 'y.df')} AS score FROM sk JOIN df x ON a = x.tok JOIN df y ON b = y.tok CROSS JOIN nn))"
+PATHS = f"""{ALL_FACTS}, ok AS (SELECT * FROM facts WHERE relation IN ({_list(graph.PROVEN)})),
+pa(relation, subject, object, path) AS (SELECT relation, subject, object, [subject, object] FROM ok UNION ALL SELECT pa.relation, pa.subject, ok.object, list_append(path, ok.object) FROM pa JOIN ok ON pa.relation = ok.relation AND pa.object = ok.subject
+WHERE pa.object <> pa.subject AND NOT list_contains(path[2:], ok.object)),
+be AS (SELECT subject, object, first(relation ORDER BY o, len(path), path) AS relation, first(path ORDER BY o, len(path), path) AS path FROM (SELECT *, list_position([{_list(graph.PROVEN)}], relation) AS o FROM pa) GROUP BY 1, 2)"""
 OLD_NEW = f"new AS MATERIALIZED (SELECT doc_id, list_filter(toks, lambda x: x NOT IN ({_list(STOPS)})) AS toks FROM d WHERE doc_id % 3 = 0)"
 
 SQL: dict[str, str] = {
     "tokenize_clean": f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {KEPT} AS t FROM documents)",
-    "lexicon_tokens": f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(list_transform({ALL}, lambda x: CASE x {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in SYNONYMS.items())} ELSE x END)) AS token FROM documents) WHERE token IN ({_list(sorted(set(SYNONYMS.values())))}) GROUP BY 1, 2",
+    "lexicon_tokens": f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(list_transform({ALL}, lambda x: CASE x {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in SYNONYMS.items())} ELSE x END), lambda x: x NOT IN ({_list(STOPS)}))) AS token FROM documents) GROUP BY 1, 2",
     "clean_text_urls": r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\[source:[^\]]*\]', '', 'gi'), 'author\(s\):[^\n]*', '', 'gi'), 'https?://[^\s"''<>]+', '', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS clean FROM pages""",
     "strip_html": rf"SELECT page_id, regexp_replace({STRIP}, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS stripped FROM pages",
     "categorize_pages": f"SELECT page_id, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') ELSE 'tech' END AS topics FROM (SELECT page_id, list_filter([{TOPIC}], lambda x: x IS NOT NULL) AS l FROM (SELECT page_id, lower(url || ' ' || html) AS s FROM pages))",
@@ -522,23 +585,23 @@ SQL: dict[str, str] = {
     "doc_validity": f"SELECT source AS outlet, count(*) FILTER (trim(coalesce(text, '')) <> '' AND trim(coalesce({TITLE}, '')) <> '') AS valid, count(*) AS n FROM documents GROUP BY source",
     "doc_frequency": f"WITH {U} SELECT tok AS token, df, round(100e0 * df / big_n, 6) AS df_percent, round(ln(big_n::DOUBLE / (1 + df)), 6) AS idf FROM df, nn",
     "high_df_tokens": f"WITH {U} SELECT tok AS token, df, round(100e0 * df / big_n, 6) AS df_percent FROM df, nn ORDER BY df DESC, tok LIMIT 20",
-    "bigram_counts": f"WITH {D}, {BIGRAMS} SELECT * FROM bg WHERE n >= 2",
-    "skipgram_counts": f"WITH {D}, {SKIPS} SELECT * FROM sk WHERE n >= 5",
-    "doc_pair_counts": f"WITH {BAND} SELECT t1, t2, n FROM p WHERE n >= 5",
-    "pmi_pairs": f"WITH {_pairs(IN_BAND, _pmi)} SELECT t1, t2, n, round(score, 6) AS score FROM p WHERE n >= 5",
-    "npmi_pairs": f"WITH {BAND} SELECT t1, t2, n, round(score, 6) AS score FROM p WHERE n >= 5",
+    "bigram_counts": f"WITH {D}, {BIGRAMS} SELECT * FROM bg",
+    "skipgram_counts": f"WITH {D}, {SKIPS} SELECT * FROM sk",
+    "doc_pair_counts": f"WITH {_pairs('TRUE')}, ag AS (SELECT i AS id, count(*) AS k, sum(n) AS s, max(n) AS m FROM pn GROUP BY i UNION ALL SELECT j, count(*), sum(n), max(n) FROM pn GROUP BY j) SELECT tok AS token, sum(k)::BIGINT AS partners, sum(s)::BIGINT AS joint, max(m)::BIGINT AS most FROM ag JOIN v USING (id) GROUP BY tok",
+    "pmi_pairs": f"WITH {_pairs('TRUE', _pmi)}, ag AS (SELECT i AS id, max(score) AS h, min(score) AS l, count(*) FILTER (score > 1e-9) AS k FROM sc GROUP BY i UNION ALL SELECT j, max(score), min(score), count(*) FILTER (score > 1e-9) FROM sc GROUP BY j) SELECT tok AS token, round(max(h), 6) AS highest, round(min(l), 6) AS lowest, sum(k)::BIGINT AS above FROM ag JOIN v USING (id) GROUP BY tok",
+    "npmi_pairs": f"WITH {SUPPORTED} SELECT t1, t2, n, round(score, 6) AS score FROM p",
     "basket_npmi": f"WITH u AS MATERIALIZED (SELECT DISTINCT l_orderkey AS k, l_suppkey::VARCHAR AS tok FROM lineitem), nn AS (SELECT count(DISTINCT k) AS big_n FROM u), df AS (SELECT tok, count(*) AS df FROM u GROUP BY tok), pc AS (SELECT a.tok AS t1, b.tok AS t2, count(*) AS n FROM u a JOIN u b ON a.k = b.k AND a.tok < b.tok GROUP BY 1, 2) SELECT t1, t2, n, round({_npmi('n', 'x.df', 'y.df')}, 6) AS score FROM pc JOIN df x ON t1 = x.tok JOIN df y ON t2 = y.tok CROSS JOIN nn",
     "event_pair_npmi": f"WITH u AS MATERIALIZED (SELECT DISTINCT user_id AS k, event_type AS tok FROM events), nn AS (SELECT count(DISTINCT k) AS big_n FROM u), df AS (SELECT tok, count(*) AS df FROM u GROUP BY tok), pc AS (SELECT a.tok AS t1, b.tok AS t2, count(*) AS n FROM u a JOIN u b ON a.k = b.k AND a.tok < b.tok GROUP BY 1, 2) SELECT t1, t2, n, round({_npmi('n', 'x.df', 'y.df')}, 6) AS score FROM pc JOIN df x ON t1 = x.tok JOIN df y ON t2 = y.tok CROSS JOIN nn",
-    "top_neighbors": f"WITH {BAND}, {NEAR} SELECT token, neighbor, n, round(score, 6) AS score, rank FROM near",
-    "phrase_pairs": f"WITH {HUBS}, {BIGRAMS} SELECT a, b, round(score, 6) AS score, bg.n AS bigrams, q.n AS support, round(bg.n * score, 6) AS phrase_score FROM bg JOIN q ON t1 = least(a, b) AND t2 = greatest(a, b) WHERE a <> b AND score >= 0.01 ORDER BY round(bg.n * score, 6) DESC, bg.n DESC, a, b LIMIT 200",
-    "linked_tokens": f"WITH {U}, {SKIPS} SELECT a, b, n, round(score, 6) AS score FROM (SELECT a, b, n, {_npmi('n', 'x.df', 'y.df')} AS score FROM sk JOIN df x ON a = x.tok JOIN df y ON b = y.tok CROSS JOIN nn WHERE n >= 5) WHERE score > 0.1",
+    "top_neighbors": f"WITH {NEAR_PAIRS}, {NEAR} SELECT token, neighbor, n, round(score, 6) AS score, rank FROM near",
+    "phrase_pairs": f"WITH {HUBS}, {BIGRAMS}, bi AS (SELECT a, b, bg.n AS bigrams, least(x.id, y.id) AS i, greatest(x.id, y.id) AS j FROM bg JOIN v x ON a = x.tok JOIN v y ON b = y.tok WHERE a <> b) SELECT a, b, round(score, 6) AS score, bigrams, q.n AS support, round(bigrams * score, 6) AS phrase_score FROM bi JOIN q USING (i, j) WHERE score >= 0.01 ORDER BY round(bigrams * score, 6) DESC, bigrams DESC, a, b LIMIT 200",
+    "linked_tokens": f"WITH {U}, {SKIPS}, {LINKED} SELECT a, b, n, round(score, 6) AS score FROM lk WHERE n >= {SUPPORT} AND score > 0.1",
     "token_categories": f"WITH {U} SELECT tok AS token, lang AS category, count(*) AS n FROM u JOIN d USING (doc_id) GROUP BY 1, 2",
     "token_category_entropy": f"WITH {U}, {_entropy('source')} SELECT tok AS token, round(entropy, 6) + 0e0 AS entropy FROM en",
-    "damping_factors": f"WITH {HUBS} SELECT token, neighbors, round(factor, 6) AS factor FROM f",
+    "damping_factors": f"WITH {HUBS} SELECT tok AS token, neighbors, round(factor, 6) AS factor FROM f JOIN v USING (id)",
     "stopword_stats": f"WITH {STOPROWS} SELECT token, df, round(df_percent, 6) AS df_percent, round(idf, 6) AS idf, round(pmi_max, 6) AS pmi_max, round(entropy, 6) + 0e0 AS entropy FROM ss",
     "stopword_candidates": f"WITH {STOPROWS} SELECT token, df, round(pmi_max, 6) AS pmi_max, round(entropy, 6) + 0e0 AS entropy, pmi_max = 0 AS bootstrap, round({_score()}, 6) AS score FROM ss WHERE {_candidates()}",
-    "rule_suggestions": f"WITH {BAND}, {RULES} SELECT relation, subject, object, round(score, 6) AS score, support, round(confidence, 6) AS confidence FROM rl WHERE confidence >= 0.6",
-    "rule_export": f"WITH {BAND}, {RULES} SELECT printf('%s(%s, %s). %% confidence %.2f support %d', relation, replace(subject, '-', '_'), replace(object, '-', '_'), round(confidence, 6), support) AS line FROM rl",
+    "rule_suggestions": f"WITH {SUPPORTED}, {RULES} SELECT relation, subject, object, round(score, 6) AS score, support, round(confidence, 6) AS confidence FROM rl WHERE confidence >= 0.6",
+    "rule_export": f"WITH {SUPPORTED}, {RULES} SELECT printf('%s(%s, %s). %% confidence %.2f support %d', relation, replace(subject, '-', '_'), replace(object, '-', '_'), confidence, support) AS line FROM rl",
     "taxonomy_assign": f"WITH {D} SELECT doc_id, array_to_string({_cats_of('toks')}, ',') AS cats FROM d",
     "entity_extract": ENTITY,
     "entity_suggestions": f"SELECT type, value, count(*) AS occurrences, round(1 - exp(-count(*) / 10e0), 6) AS confidence FROM ({ENTITY}) GROUP BY 1, 2 HAVING count(*) >= 3 AND 1 - exp(-count(*) / 10e0) >= 0.6",
@@ -551,32 +614,39 @@ UNION ALL SELECT 'orphan', coalesce(category, ''), tok, df, round(df / big_n::DO
     "score_breakdown": f"{_searching(False)} SELECT query_id, doc_id, {ROUND} FROM br",
     "search_topk": f"{_searching(True)} SELECT query_id, doc_id, rank, {ROUND} FROM tp",
     "batch_search": f"{_searching(False)} SELECT query_id, doc_id, rank, round(total, 6) AS total FROM tp",
-    "cards": f"""{_searching(False)}, mt AS (SELECT query_id, array_to_string(list_sort(list_distinct(list(tok))), '|') AS matched FROM tp JOIN u USING (doc_id) JOIN qt USING (query_id) WHERE tok = qt GROUP BY 1)
-SELECT upper(left(sha256(query_id::VARCHAR), 26)) AS id, query_id, string_agg({TITLE}, '|' ORDER BY rank) AS bullets, string_agg('doc://' || doc_id, '|' ORDER BY rank) AS urls, any_value(coalesce(matched, '')) AS matched, round(avg(total), 6) AS total FROM tp JOIN documents USING (doc_id) LEFT JOIN mt USING (query_id) GROUP BY query_id""",
-    "retrieve_with_neighbors": f"""WITH {BAND}, {NEAR}, {_ask(False)}, w1 AS (SELECT query_id, qt AS tok FROM qt), w2 AS (SELECT DISTINCT query_id, neighbor AS tok FROM qt JOIN near ON token = qt WHERE rank <= 5),
+    "cards": f"""{_searching(False)}, ex AS (SELECT query_id, array_to_string(list_sort(list(token)), '|') AS expanded FROM x WHERE token NOT IN (SELECT qt FROM qt WHERE qt.query_id = x.query_id) GROUP BY 1)
+SELECT upper(left(sha256(query_id || chr(31) || doc_id), 26)) AS id, query_id, rank, {TITLE} AS title, {TITLE} AS bullets, 'doc://' || doc_id AS urls, array_to_string(list_sort(list_intersect(list_distinct(toks), qtoks)), '|') AS matched,
+array_to_string({_cats_of('qtoks')}, '|') AS category_overlap, coalesce(expanded, '') AS expanded, round(pmi, 6) AS pmi, round(cats, 6) AS cats, round(recency, 6) AS recency, round(authority, 6) AS authority, round(length, 6) AS length FROM tp JOIN d USING (doc_id) JOIN qq USING (query_id) LEFT JOIN ex USING (query_id)""",
+    "retrieve_with_neighbors": f"""WITH {NEAR_PAIRS}, {NEAR}, {_ask(False)}, w1 AS (SELECT query_id, qt AS tok FROM qt), w2 AS (SELECT DISTINCT query_id, neighbor AS tok FROM qt JOIN near ON token = qt WHERE rank <= 5),
 {_cand('w1', 100)}, {_cand('w2', 100).replace('ca AS', 'cb AS')}, un AS (SELECT query_id, doc_id, min(way) AS way FROM (SELECT *, 0 AS way FROM ca UNION ALL SELECT *, 1 FROM cb) GROUP BY 1, 2)
 SELECT query_id, doc_id, way = 0 AS direct FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY way, doc_id DESC) AS r FROM un) WHERE r <= 100""",
-    "collisions": f"""WITH {BAND}, {NEAR}, {_ask(False)}, st AS (SELECT query_id, list_position(qall, qt) AS pos, qt AS token, score AS strength FROM qt JOIN qq USING (query_id) JOIN near ON token = qt AND rank = 1 WHERE score >= 0.3)
+    "collisions": f"""WITH {NEAR_PAIRS}, {NEAR}, {_ask(False)}, st AS (SELECT query_id, list_position(qall, qt) AS pos, qt AS token, score AS strength FROM qt JOIN qq USING (query_id) JOIN near ON token = qt AND rank = 1 WHERE score >= 0.3)
 SELECT query_id, a, b, round(strength_a, 6) AS strength_a, round(strength_b, 6) AS strength_b, round(j, 6) AS joint, round(greatest(0, 0.5e0 * sqrt(strength_a * strength_b) - j), 6) AS surprise FROM (SELECT x.query_id, x.token AS a, y.token AS b, x.strength AS strength_a, y.strength AS strength_b, coalesce(p.score, 0) AS j
 FROM st x JOIN st y ON x.query_id = y.query_id AND x.pos < y.pos LEFT JOIN p ON t1 = least(x.token, y.token) AND t2 = greatest(x.token, y.token)) WHERE j <= 0.15 AND greatest(0, 0.5e0 * sqrt(strength_a * strength_b) - j) >= 0.1""",
-    "prediction_error": f"""WITH {BAND}, {NEAR}, {_ask(False)}, wanted AS (SELECT query_id, qt AS tok FROM qt), {_cand('wanted', 12)}, pr AS (SELECT DISTINCT query_id, neighbor AS tok FROM qt JOIN near ON token = qt), ac AS (SELECT DISTINCT query_id, tok FROM ca JOIN u USING (doc_id))
+    "prediction_error": f"""{_searching(False)}, {MORE_PAIRS}, {NEAR}, pr AS (SELECT DISTINCT query_id, neighbor AS tok FROM qt JOIN near ON token = qt), ac AS (SELECT DISTINCT query_id, tok FROM tp JOIN u USING (doc_id))
 SELECT query_id, count(pr.tok) AS predicted, count(ac.tok) AS actual, count(*) FILTER (pr.tok IS NOT NULL AND ac.tok IS NOT NULL) AS shared, count(*) FILTER (ac.tok IS NULL) AS missing, count(*) FILTER (pr.tok IS NULL) AS unexpected, round(1 - count(*) FILTER (pr.tok IS NOT NULL AND ac.tok IS NOT NULL) / count(*)::DOUBLE, 6) AS error FROM pr FULL JOIN ac USING (query_id, tok) GROUP BY query_id""",
     "fact_closure": f"WITH RECURSIVE {CLOSURE} SELECT * FROM cl",
     "facts_provable": f"WITH RECURSIVE {CLOSURE}, nm AS (SELECT subject AS x FROM facts UNION SELECT object FROM facts), ask AS (SELECT relation, x AS subject, object FROM nm, (VALUES ('is_a'), ('used_for'), ('related_to')) r(relation), (VALUES ('WORLD'), ('corpus'), ('search')) o(object)) SELECT ask.*, cl.subject IS NOT NULL AS holds FROM ask LEFT JOIN cl USING (relation, subject, object)",
     "expand_tokens": f"WITH {ALL_FACTS}, {LINKS.format(f='facts')}, {_hops('SELECT DISTINCT subject AS query_id, subject AS token FROM facts')} SELECT query_id, token, round(pow(0.7e0, hops), 6) AS confidence FROM x",
     "neighbors_undirected": f"WITH {ALL_FACTS}, {LINKS.format(f='facts')} SELECT * FROM ln",
-    "clusters": f"WITH RECURSIVE {BAND}, {EDGES} SELECT root, string_agg(token, ',' ORDER BY token) AS tokens, count(*) AS size FROM co GROUP BY root HAVING count(*) >= 3",
-    "synonym_groups": f"WITH RECURSIVE {BAND}, {EDGES}, en AS (SELECT root, max(score) AS score, sum(n)::BIGINT AS support FROM (SELECT a AS token, score, n FROM ed UNION ALL SELECT b, score, n FROM ed) JOIN co USING (token) GROUP BY root) SELECT root AS canonical, string_agg(token, ',' ORDER BY token) AS variants, round(any_value(score), 6) AS score, any_value(support) AS support FROM co JOIN en USING (root) WHERE token <> root GROUP BY root",
+    "clusters": f"WITH {SUPPORTED}, {CLUSTER_EDGES}, {_components('ed')} SELECT root, string_agg(token, ',' ORDER BY token) AS tokens, count(*) AS size FROM co GROUP BY root HAVING count(*) >= 3",
+    "synonym_groups": f"WITH {U}, {SKIPS}, {LINKED}, ed AS MATERIALIZED (SELECT * FROM lk WHERE n >= {SYNONYM_SUPPORT} AND score >= {SYNONYM_SCORE}), {_components('ed')}, en AS (SELECT root, max(score) AS score, sum(n)::BIGINT AS support FROM (SELECT a AS token, score, n FROM ed UNION ALL SELECT b, score, n FROM ed) JOIN co USING (token) GROUP BY root) SELECT root AS canonical, string_agg(token, ',' ORDER BY token) AS variants, round(any_value(score), 6) AS score, any_value(support) AS support FROM co JOIN en USING (root) WHERE token <> root GROUP BY root",
     "keyword_candidates": rf"WITH {U} SELECT tok AS token, df, round(100e0 * df / big_n, 6) AS df_percent FROM df, nn WHERE 100e0 * df / big_n BETWEEN 2 AND 60 AND strlen(tok) BETWEEN 3 AND 30 AND length(regexp_replace(tok, '\P{{Nd}}', '', 'g')) / strlen(tok)::DOUBLE <= 0.5 AND length(tok) - length(replace(tok, '-', '')) <= 2 AND tok NOT IN ({_list([*STOPS, *bootstrap.GENERIC])})",
     "reingest_deltas": f"WITH {D}, {OLD_NEW} SELECT tok AS token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(toks) AS tok FROM (SELECT doc_id, toks FROM new UNION ALL SELECT doc_id, toks FROM d WHERE doc_id % 3 <> 0)) GROUP BY 1",
     "document_upsert": f"WITH {D}, {OLD_NEW} SELECT 'doc://' || doc_id AS url, doc_id, len(toks) AS n_tokens FROM (SELECT doc_id, toks FROM new UNION ALL SELECT doc_id, toks FROM d WHERE doc_id % 3 <> 0)",
-    "prune_tokens": f"WITH {D}, {BIGRAMS} SELECT * FROM bg WHERE n >= 2 AND a NOT IN ({_list(STOPS)}) AND b NOT IN ({_list(STOPS)})",
+    "prune_tokens": f"WITH {D}, {BIGRAMS} SELECT * FROM bg WHERE a NOT IN ({_list(STOPS)}) AND b NOT IN ({_list(STOPS)})",
     "cleaner_updates": f"WITH {D} SELECT doc_id, len({KEPT}) AS n_tokens FROM d WHERE {KEPT} <> toks",
     "category_histogram": f"WITH {D} SELECT category, count(*) AS n FROM (SELECT unnest({_cats_of('toks')}) AS category FROM d) GROUP BY 1",
     "event_trends": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, token, count(*) AS n FROM (SELECT DISTINCT event_id, ts, unnest([event_type, json_extract_string(props, '$.k')]) AS token FROM events) WHERE token IS NOT NULL GROUP BY 1, 2",
+    "token_damping": f"""{_searching(False)}, {MORE_PAIRS}, {NEAR}, sizes AS (SELECT query_id, count(DISTINCT tok) AS size FROM tp JOIN u USING (doc_id) GROUP BY 1), hb AS (SELECT token, count(*) AS neighbors FROM nx WHERE score >= 0.05 GROUP BY 1),
+td AS (SELECT query_id, qt AS token, coalesce(neighbors, 0) AS neighbors, coalesce(coalesce(neighbors, 0) / size::DOUBLE, 0) AS ratio FROM qt LEFT JOIN hb ON token = qt LEFT JOIN sizes USING (query_id)) SELECT query_id, token, neighbors, round({_damp('ratio')}, 6) AS factor FROM td""",
+    "proof_path": f"WITH RECURSIVE {PATHS} SELECT subject, object, k::BIGINT AS depth, relation, path[k + 1] AS source, path[k + 2] AS target FROM (SELECT *, unnest(range(0, len(path) - 1)) AS k FROM be)",
+    "phrase_parse": f"WITH {D}, hit AS (SELECT doc_id, len(toks) AS k, len(list_filter(range(1, len(toks)), lambda i: (toks[i] || ' ' || toks[i + 1]) IN ({_list(sorted({v for _, vs in PHRASES for v in vs}))}))) AS m FROM d) SELECT doc_id, k - m AS n_tokens, m AS n_phrases FROM hit",
+    "autotune_rounds": f"WITH {_discovery(3, STOP, (), None, True)} {' UNION ALL '.join(f'SELECT {k}::BIGINT AS round, token, df, round(score, 6) AS score FROM s{k}' for k in (1, 2, 3))}",
+    "bootstrap_rounds": f"WITH {_discovery(3, STOP, STOPS, 25, False)}, c AS (SELECT (SELECT count(*) FROM s1) AS c1, (SELECT count(*) FROM s2) AS c2, (SELECT count(*) FROM s3) AS c3), t AS (SELECT c1, c2, c3, {len(STOPS)} + c1 AS t1, {len(STOPS)} + c1 + c2 AS t2, {len(STOPS)} + c1 + c2 + c3 AS t3 FROM c) SELECT 1::BIGINT AS iteration, token, t1::BIGINT AS total_stopwords FROM s1, t UNION ALL SELECT 2, token, t2 FROM s2, t UNION ALL SELECT 3, token, t3 FROM s3, t UNION ALL SELECT 1, NULL, t1 FROM t WHERE c1 = 0 UNION ALL SELECT 2, NULL, t2 FROM t WHERE c1 > 0 AND c2 = 0 UNION ALL SELECT 3, NULL, t3 FROM t WHERE c1 > 0 AND c2 > 0 AND c3 = 0",
 }
 
-_QUERIES = (tokenize_clean, lexicon_tokens, clean_text_urls, strip_html, categorize_pages, category_codes, story_titles, doc_validity, doc_frequency, high_df_tokens, bigram_counts, skipgram_counts, doc_pair_counts, pmi_pairs, npmi_pairs, basket_npmi, event_pair_npmi, top_neighbors, phrase_pairs, linked_tokens, token_categories, token_category_entropy, damping_factors, stopword_stats, stopword_candidates, rule_suggestions, rule_export, taxonomy_assign, entity_extract, entity_suggestions, taxonomy_drift, jaccard_categories, inverted_index_lookup, score_breakdown, search_topk, batch_search, retrieve_with_neighbors, cards, collisions, prediction_error, fact_closure, facts_provable, expand_tokens, neighbors_undirected, proof_path, phrase_parse, clusters, synonym_groups, keyword_candidates, reingest_deltas, document_upsert, prune_tokens, autotune_rounds, bootstrap_rounds, cleaner_updates, category_histogram, event_trends)
+_QUERIES = (tokenize_clean, lexicon_tokens, clean_text_urls, strip_html, categorize_pages, category_codes, story_titles, doc_validity, doc_frequency, high_df_tokens, bigram_counts, skipgram_counts, doc_pair_counts, pmi_pairs, npmi_pairs, basket_npmi, event_pair_npmi, top_neighbors, phrase_pairs, linked_tokens, token_categories, token_category_entropy, damping_factors, stopword_stats, stopword_candidates, rule_suggestions, rule_export, taxonomy_assign, entity_extract, entity_suggestions, taxonomy_drift, jaccard_categories, inverted_index_lookup, score_breakdown, search_topk, batch_search, retrieve_with_neighbors, cards, collisions, prediction_error, token_damping, fact_closure, facts_provable, expand_tokens, neighbors_undirected, proof_path, phrase_parse, clusters, synonym_groups, keyword_candidates, reingest_deltas, document_upsert, prune_tokens, autotune_rounds, bootstrap_rounds, cleaner_updates, category_histogram, event_trends)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,24 +1,54 @@
-"""Lineage cuts and size checks that the operators share."""
+"""The shared folder, lineage cuts, stored tables and the spread of small inputs, which the operators share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-#: Most rows of a table that may be sent to every executor; beyond it a shuffle join takes over.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a Parquet table for each core below which its rows are dealt out: a few row groups would keep as few cores busy.
+SPREAD_BYTES = 8 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from there. An own folder is set only where none is."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """A new folder's name inside the folder of spark.checkpoint.dir, which all executors see; it goes with the driver.
+
+    Only a local session, which has no other machine, may be without that setting and gets a folder of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glosswork-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glosswork-"))
+    path = f"{sc.getCheckpointDir().rstrip('/')}/gw-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the shared folder."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        shared(df.sparkSession)
     return df.checkpoint()
 
 
-def light(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint while it has at most limit rows. df should have been cut, as this counts it."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet and read from there: the planner then knows its size and broadcasts it
+    only below spark.sql.autoBroadcastJoinThreshold; adaptive execution corrects it where a filter follows."""
+    path = f"{shared(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """df, read from path, over all cores where it is too small to fill them by itself; a large table stays as it is."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if (1 << 17) <= size < SPREAD_BYTES * cores else df

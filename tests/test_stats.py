@@ -105,14 +105,6 @@ def test_reviewer_and_prune(spark):
     assert set(table(left)) == {("c", "d")}
 
 
-def test_registered_rounds_run(spark, sf):
-    from glosswork.plans import roster
-
-    out = roster.autotune_rounds(spark, sf).collect()
-    assert {r["round"] for r in out} <= {1, 2, 3} and len({r["token"] for r in out}) == len(out) > 0
-    assert roster.bootstrap_rounds(spark, sf).columns == ["iteration", "token", "total_stopwords"]
-
-
 def test_collision_and_prediction_error(spark):
     s = spark.createDataFrame([(1, 0, "perovskite", 2.0), (1, 1, "finance", 1.8), (1, 2, "weak", 0.1)], "query_id long, pos int, token string, strength double")
     j = spark.createDataFrame([("finance", "perovskite", 0.05)], "t1 string, t2 string, score double")
@@ -123,7 +115,7 @@ def test_collision_and_prediction_error(spark):
     docs = spark.createDataFrame([(7, ["a", "c"])], "doc_id long, tokens array<string>")
     r = signals.prediction_error(near, q, spark.createDataFrame([(1, 7)], "query_id long, doc_id long"), docs).first()
     assert (r["shared"], r["missing"], r["unexpected"]) == (1, 1, 1) and r["error"] == pytest.approx(2 / 3)
-    d = signals.token_density(near, q, 2).first()
+    d = signals.token_density(near, q, spark.createDataFrame([(1, 2)], "query_id long, size long")).first()
     assert d["neighbors"] == 1 and d["factor"] == pytest.approx(1 - (2 / 3) ** 2 * (3 - 4 / 3) * 0.9)
 
 

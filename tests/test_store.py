@@ -39,12 +39,42 @@ def test_a_batch_that_broke_off_is_done_again(spark, tmp_path):
     b = spark.createDataFrame([("u", ["alpha", "beta"], T0)], DOC)
     s.ingest(b, version=0)
     new = spark.createDataFrame([("w", ["alpha"], T0)], DOC)
-    # the statistics of version 1 were written, the documents were not
-    s.write("token_df", spark.createDataFrame([("alpha", 2), ("beta", 1)], "token string, df long"), 1)
+    # documents and counts of version 1 were written, its commit mark was not: nobody sees them
+    s._put("docs", new.withColumn("version", F.lit(1).cast("long")), "v1")
+    s._put("token_df", spark.createDataFrame([("alpha", 1)], "token string, d long"), "v1")
+    assert counts(s)[0] == {"alpha": 1, "beta": 1} and s.read("docs").count() == 1
     s.ingest(new, version=1)
     assert counts(s)[0] == {"alpha": 2, "beta": 1} and s.read("docs").count() == 2
 
 
+def test_compaction_changes_nothing_and_lookups_read_their_buckets(spark, tmp_path):
+    s = st.Store(spark, str(tmp_path))
+    for v in range(4):
+        s.ingest(spark.createDataFrame([("u", ["alpha", f"word{v}"], T0), (f"v{v}", ["alpha", "beta"], T1)], DOC), version=v)
+    before = counts(s), sorted(r["url"] for r in s.read("docs").collect())
+    s.compact()
+    assert (counts(s), sorted(r["url"] for r in s.read("docs").collect())) == before
+    s.ingest(spark.createDataFrame([("u", ["beta"], T1)], DOC), version=4)
+    s.compact()
+    s.compact()
+    assert counts(s) == ({"alpha": 4, "beta": 5}, {("alpha", "beta"): 4})
+    assert s.versions("docs") == [4] and s.versions("docs", "base") == [3, 4]
+    assert {(r["token"], r["neighbor"], r["n"]) for r in s.pairs(["beta"]).collect()} == {("beta", "alpha", 4)}
+    assert {r["url"] for r in s.holding(["alpha"]).collect()} == {f"v{v}" for v in range(4)}
+    assert {r["token"]: r["df"] for r in s.frequencies(["beta", "none"]).collect()} == {"beta": 5}
+    assert s.document(url="u").first()["tokens"] == ["beta"] and s.document(url="w").count() == 0
+    plan = s.holding(["alpha"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
+def test_stop_list_and_listings(spark, tmp_path):
+    s = st.Store(spark, str(tmp_path))
+    s.add_stops(["The", "and"])
+    s.add_stops(["and", "of"])
+    s.remove_stops(["AND"])
+    assert [r["token"] for r in s.listing("stoplist", "token").collect()] == ["of", "the"] and s.listing("dict", "phrase") is None
+
+
 def test_stream(spark, tmp_path):
     for n, rows in enumerate(([("u", ["alpha", "beta"], T0)], [("u", ["beta"], T1), ("v", ["beta"], T1)])):
         spark.createDataFrame(rows, DOC).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

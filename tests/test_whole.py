@@ -1,4 +1,4 @@
-"""The whole forms of the roster's queries against brute force on a small folder."""
+"""Queries of the roster over all tokens and pairs against brute force on a small folder."""
 
 import math
 import random
@@ -7,7 +7,8 @@ from itertools import combinations
 
 import pytest
 
-from glosswork.plans import whole
+from glosswork.operators import stats
+from glosswork.plans import roster
 
 N = 60
 
@@ -39,14 +40,21 @@ def npmi(n, a, b):
 
 
 def run(spark, folder, name):
-    return [tuple(r) for r in whole.queries()[f"whole_{name}"](spark, folder).collect()]
+    return [tuple(r) for r in roster.queries()[name](spark, folder).collect()]
 
 
 def test_every_pair_is_counted(spark, folder):
     df, n = counted()
-    assert {(a, b): k for a, b, k in run(spark, folder, "doc_pair_counts")} == dict(n)
+    by = {}
+    for (a, b), k in n.items():
+        for t in (a, b):
+            by.setdefault(t, []).append(k)
+    assert {t: tuple(r) for t, *r in run(spark, folder, "doc_pair_counts")} == {t: (len(v), sum(v), max(v)) for t, v in by.items()}
     got = {(a, b): x for a, b, _, x in run(spark, folder, "npmi_pairs")}
-    assert got == pytest.approx({(a, b): npmi(k, df[a], df[b]) for (a, b), k in n.items()}, abs=2e-6)
+    assert got == pytest.approx({(a, b): npmi(k, df[a], df[b]) for (a, b), k in n.items() if k >= 5}, abs=2e-6)
+    c = stats.cut(roster._docs(spark, folder))
+    found = stats.pairs(stats.members(c), stats.frequencies(stats.members(c)))
+    assert {(r["t1"], r["t2"]): (r["n"], r["df1"], r["df2"]) for r in found.collect()} == {(a, b): (k, df[a], df[b]) for (a, b), k in n.items()}
 
 
 def test_neighbours_of_every_token_of_five_documents(spark, folder):
@@ -77,17 +85,6 @@ def test_damping_and_pmi_max_are_over_all_pairs(spark, folder):
     assert {r[0]: r[4] for r in run(spark, folder, "stopword_stats")} == pytest.approx(scores, abs=5e-6)
 
 
-def test_registered_rounds_count_all_pairs(monkeypatch):
-    seen = []
-    monkeypatch.setattr(whole.roster, "_docs", lambda *_: None)
-    monkeypatch.setattr(whole.roster.tuning, "rounds", lambda *a, least=0.0, **_: seen.append(least) or 1 / 0)
-    monkeypatch.setattr(whole.roster.bootstrap, "run", lambda *a, least=0.0, **_: seen.append(least) or 1 / 0)
-    for f in (whole.roster.autotune_rounds, whole.roster.bootstrap_rounds):
-        with pytest.raises(ZeroDivisionError):
-            f(None, "")
-    assert seen == [0.0, 0.0]
-
-
 def test_bigrams_and_skipgrams_have_no_floor(spark, folder):
     bi, skip = Counter(), Counter()
     for t in texts():
