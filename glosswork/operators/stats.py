@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,18 +65,76 @@ def band(df: DataFrame, n: int, least: float = 0.0, most: float = 1.0, floor: in
     return df.where((F.col("df") >= floor) & (F.col("df") >= least * n) & (F.col("df") <= most * n))
 
 
-def pair_ids(occ: DataFrame) -> DataFrame:
-    """(i, j, n): documents that hold both numbers, i < j, from occurrences (doc_id, id), each once.
-
-    Each document's numbers are one sorted array; a row of the first generator is a left one with those after it, so no
-    row holds more than one document's, and counts are summed map side before the only wide shuffle."""
-    return array_pairs(occ.groupBy("doc_id").agg(F.array_sort(F.collect_list("id")).alias("v")))
-
-
-def array_pairs(sets: DataFrame) -> DataFrame:
-    """pair_ids() from arrays v of distinct numbers in order."""
-    left = sets.select("v", F.posexplode("v").alias("p", "i")).where(F.col("p") + 1 < F.size("v")).select("i", F.slice("v", F.col("p") + 2, F.size("v")).alias("rest"))
-    return left.select("i", F.explode("rest").alias("j")).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
+#: Documents of a token that one task handles; a token of more is split by document and its counts are added up.
+HOT = 100_000
+
+
+def array_pairs(sets: DataFrame, df: DataFrame, least: int = 1, hot: int = HOT) -> DataFrame:
+    """(i, j, n): documents that hold both numbers, i < j, if at least least do. sets: doc_id and an array v of distinct
+    numbers in order; df: (token, df) of the numbers.
+
+    A row of the generator is a left number with those after it, so no row holds more than one document's. The rows of a
+    left number meet in one task as whole arrays, not pair by pair, and are counted there by sorting, group after group;
+    only counts that reach the support leave it."""
+    spark = sets.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    left = sets.select("doc_id", "v", F.posexplode("v").alias("p", "i")).where(F.col("p") + 1 < F.size("v")).select("doc_id", "i", F.slice("v", F.col("p") + 2, F.size("v")).alias("rest"))
+    # few tokens can be so frequent: each takes hot of the occurrences there are
+    many = stored(df.where(F.col("df") > hot).select(F.col("token").alias("__t"), F.ceil(F.col("df") / hot).cast("int").alias("__parts")))
+    split = not many.isEmpty()
+    if split:
+        left = left.join(F.broadcast(many), F.col("i") == F.col("__t"), "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("__parts", F.lit(1))).cast("int")).withColumn("whole", F.col("__parts").isNull())
+    else:
+        left = left.withColumns({"part": F.lit(0), "whole": F.lit(True)})
+
+    def count(tables):
+        at, held, size = None, [], 0
+
+        def summed():
+            if len(held) > 1 or held[0][1] is None:
+                j = np.concatenate([x for x, _ in held])
+                k = np.concatenate([np.ones(len(x), np.int64) if n is None else n for x, n in held])
+                if all(n is None for _, n in held):
+                    u, c = np.unique(j, return_counts=True)
+                else:
+                    u, back = np.unique(j, return_inverse=True)
+                    c = np.bincount(back, weights=k, minlength=len(u)).astype(np.int64)
+                held[:] = [(u, c)]
+            return held[0]
+
+        done: list[tuple] = []
+        for t in tables:
+            lists = t.column("rest")
+            i, part, whole = np.asarray(t.column("i")), np.asarray(t.column("part")), t.column("whole").to_numpy(zero_copy_only=False)
+            flat, ends = np.asarray(lists.flatten()), np.cumsum(np.asarray(lists.value_lengths()).astype(np.int64))
+            new = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (part[1:] != part[:-1])]) if len(i) else []
+            for a, b in zip(new, [*new[1:], len(i)]):
+                here = i[a], part[a], whole[a]
+                if here != at:
+                    if at is not None:
+                        done.append((at, *summed()))
+                    at, held, size = here, [], 0
+                held.append((flat[ends[a - 1] if a else 0 : ends[b - 1]], None))
+                size += len(held[-1][0])
+                if size > 4_000_000:
+                    size = len(summed()[0])
+            yield from _counted(done, least)
+            done = []
+        if at is not None:
+            yield from _counted([(at, *summed())], least)
+
+    met = left.select("i", "part", "whole", "rest").repartition("i", "part").sortWithinPartitions("i", "part")
+    out = met.mapInArrow(count, "i long, j long, n long")
+    return out.groupBy("i", "j").agg(F.sum("n").alias("n")).where(F.col("n") >= least) if split else out
+
+
+def _counted(done: list[tuple], least: int):
+    """One batch of the counts of whole left numbers that reach the support, and of all counts of split ones."""
+    kept = [(i, j[n >= least], n[n >= least]) if whole and least > 1 else (i, j, n) for (i, _, whole), j, n in done]
+    if kept:
+        i = np.repeat(np.array([x for x, _, _ in kept], np.int64), [len(j) for _, j, _ in kept])
+        j, n = (np.concatenate([x[k] for x in kept]).astype(np.int64) for k in (1, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(n)], names=["i", "j", "n"])
 
 
 def pairs(occ: DataFrame, df: DataFrame, n_least: int = 1) -> DataFrame:
@@ -84,14 +144,15 @@ def pairs(occ: DataFrame, df: DataFrame, n_least: int = 1) -> DataFrame:
     words = dictionary(df.where(F.col("df") >= n_least))
     ids = occ.select("doc_id", number(F.col("token")).alias("id")).join(words.select("id"), "id", "left_semi")
     side = lambda k: words.select(F.col("id").alias("ij"[k - 1]), F.col("token").alias(f"x{k}"), F.col("df").alias(f"d{k}"))
-    found = pair_ids(ids).where(F.col("n") >= n_least).join(side(1), "i").join(side(2), "j")
+    sets = ids.groupBy("doc_id").agg(F.array_sort(F.collect_list("id")).alias("v"))
+    found = array_pairs(sets, words.select(F.col("id").alias("token"), "df"), n_least).join(side(1), "i").join(side(2), "j")
     up = F.col("x1") < F.col("x2")
     return found.select(F.when(up, F.col("x1")).otherwise(F.col("x2")).alias("t1"), F.when(up, F.col("x2")).otherwise(F.col("x1")).alias("t2"), "n", F.when(up, F.col("d1")).otherwise(F.col("d2")).alias("df1"), F.when(up, F.col("d2")).otherwise(F.col("d1")).alias("df2"))
 
 
 def all_pairs(corpus: DataFrame, df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(t1, t2, n, df1, df2) of all pairs of a coded() corpus; df: (token, df) of its numbers, stored."""
-    found = array_pairs(corpus.select(F.array_sort(F.array_distinct(tokens)).alias("v")))
+    found = array_pairs(corpus.select("doc_id", F.array_sort(F.array_distinct(tokens)).alias("v")), df)
     side = lambda k: df.select(F.col("token").alias(f"t{k}"), F.col("df").alias(f"df{k}"))
     return found.select(F.col("i").alias("t1"), F.col("j").alias("t2"), "n").join(side(1), "t1").join(side(2), "t2").select("t1", "t2", "n", "df1", "df2")
 

@@ -121,7 +121,7 @@ def doc_pair_counts(spark, sf):
     _, _, words, found = _everything(spark, sf)
     n = F.count(F.lit(1))
     sums = stats.ends(found, lambda t: [n.alias("partners"), F.sum("n").alias("joint"), F.max("n").alias("most")], lambda: [F.sum("partners").alias("partners"), F.sum("joint").alias("joint"), F.max("most").alias("most")])
-    return stats.named(sums, words.drop("df"), "token")
+    return stats.named(sums, words.drop("df"), "token").select("token", "partners", "joint", "most")
 
 
 def pmi_pairs(spark, sf):

@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from glosswork.operators import stats
 from glosswork.plans import roster
@@ -93,3 +94,15 @@ def test_bigrams_and_skipgrams_have_no_floor(spark, folder):
     assert {(a, b): k for a, b, k in run(spark, folder, "bigram_counts")} == dict(bi) and 1 in bi.values()
     assert {(a, b): k for a, b, k in run(spark, folder, "skipgram_counts")} == dict(skip)
     assert {(a, b): k for a, b, k in run(spark, folder, "prune_tokens")} == dict(bi)
+
+
+def test_tokens_of_very_many_documents_are_split(spark, folder):
+    df, n = counted()
+    c = stats.coded(stats.cut(roster._docs(spark, folder)))
+    words = stats.dictionary(stats.frequencies(stats.members(stats.cut(roster._docs(spark, folder)))))
+    name = {r["id"]: r["token"] for r in words.collect()}
+    sets = c.select("doc_id", F.array_sort(F.array_distinct("tokens")).alias("v"))
+    for least in (1, 4):
+        for hot in (7, 1000):
+            got = {tuple(sorted((name[r["i"]], name[r["j"]]))): r["n"] for r in stats.array_pairs(sets, words.select(F.col("id").alias("token"), "df"), least, hot).collect()}
+            assert got == {k: v for k, v in n.items() if v >= least}
