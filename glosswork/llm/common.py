@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD_BYTES = 8 << 20
 #: Characters that one vectorised step handles at a time; longer texts are one step of their own.
 STEP_CHARS = 1_000_000
 WORD = re.compile(r"\w+")
@@ -58,7 +59,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table. Documents of under SPREAD_BYTES a core are dealt out: their few row groups would keep as few cores busy."""
+    path = f"{sf_dir}/{table}.parquet"
+    found = spark.read.parquet(path)
+    if table != "documents":
+        return found
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size, cores = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength(), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if (1 << 17) <= size < SPREAD_BYTES * cores else found
 
 
 def fresh(df: DataFrame, name: str) -> str:
