@@ -40,12 +40,35 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
 
 
+#: Comments, and tags whose quoted attributes may hold a >.
+TAGS = r"""<!--(?s:.*?)-->|</?[A-Za-z!?](?:[^<>"']|"[^"]*"|'[^']*')*>"""
+#: Named entities; &amp; comes last, so that what it makes isn't decoded again.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122", "hellip": "\u2026", "mdash": "\u2014", "ndash": "\u2013", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "bull": "\u2022", "middot": "\u00b7", "times": "\u00d7", "euro": "\u20ac", "pound": "\u00a3", "sect": "\u00a7", "deg": "\u00b0", "amp": "&"}
+SPACES = r"[ \t\n\x0B\f\r\x{0085}\x{00A0}]"
+
+
+def _numbered(text: Column, digits: str, base: int) -> Column:
+    """Numeric entities of one base as their characters; U+FFFD for what is none."""
+    mark = "x" if base == 16 else ""
+    found = F.regexp_extract_all(text, F.lit(f"&#{mark}({digits});"), F.lit(1))
+
+    def char(e: Column) -> Column:
+        n = F.coalesce(F.conv(e, base, 10).try_cast("long"), F.lit(0))
+        good = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(good, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+    parts = F.split(text, f"&#{mark}{digits};", -1)
+    return F.array_join(F.zip_with(parts, F.transform(found, char), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def stripped_html(html: Column) -> Column:
-    """The text nodes joined as they stand; script and style text included, as is, and five entities decoded."""
-    out = F.regexp_replace(html, r"<[^>]*>", "")
-    for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(mark), F.lit(char))
-    return F.regexp_replace(out, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
+    """The text nodes joined as they stand, comments and tags gone, entities decoded, ends trimmed; script and style text
+    is included as it is."""
+    out = F.regexp_replace(html, TAGS, "")
+    out = _numbered(_numbered(out, "[0-9]{1,9}", 10), "[0-9A-Fa-f]{1,8}", 16)
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.regexp_replace(out, f"^{SPACES}+|{SPACES}+$", "")
 
 
 def labelled(text: Column, rules: Mapping[str, Iterable[str]], default: str) -> Column:

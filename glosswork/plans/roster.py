@@ -525,9 +525,21 @@ ENTITY = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS type, '{name}' AS value
 TOPIC = ", ".join(f"CASE WHEN {' OR '.join(f'contains(s, {k!r})' for k in ks)} THEN '{name}' END" for name, ks in sources.TOPICS.items())
 RULES = f"rl AS (SELECT 'related_to' AS relation, t1 AS subject, t2 AS object, score, n AS support, 0.6e0 / (1 + exp(-(score - 0.8e0))) + 0.4e0 / (1 + exp(-(n - 5e0))) AS confidence FROM p WHERE score >= 0.5)"
 TITLE = "CASE WHEN regexp_extract(text, '^[^.!?]{1,119}[.!?]') <> '' THEN regexp_extract(text, '^[^.!?]{1,119}[.!?]') ELSE text END"
-STRIP = "regexp_replace(html, '<[^>]*>', '', 'g')"
-for _mark, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-    STRIP = f"replace({STRIP}, '{_mark}', '{_char}')"
+TAG = text.TAGS.replace("(?s:.*?)", r"(?:.|\n)*?").replace("'", "''")
+
+
+def _decoded(t: str, digits: str, hexed: bool) -> str:
+    """Numeric entities in a column t as characters."""
+    mark, number = ("x", "('0x' || x)") if hexed else ("", "x")
+    char = f"lambda x: chr(CASE WHEN {number}::BIGINT > 0 AND {number}::BIGINT <= 1114111 AND {number}::BIGINT NOT BETWEEN 55296 AND 57343 THEN {number}::INTEGER ELSE 65533 END)"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({t}, '&#{mark}{digits};'), list_transform(regexp_extract_all({t}, '&#{mark}({digits});', 1), {char})), lambda p: p[1] || coalesce(p[2], '')), '')"
+
+
+STRIP = "t"
+for _name, _char in text.ENTITIES.items():
+    STRIP = f"replace({STRIP}, '&{_name};', '{_char.replace(chr(39), chr(39) * 2)}')"
+STRIP = f"regexp_replace({STRIP}, '^{text.SPACES}+|{text.SPACES}+$', '', 'g')"
+STRIPPED = f"SELECT page_id, {STRIP} AS stripped FROM (SELECT page_id, {_decoded('t', '[0-9A-Fa-f]{1,8}', True)} AS t FROM (SELECT page_id, {_decoded('t', '[0-9]{1,9}', False)} AS t FROM (SELECT page_id, regexp_replace(html, '{TAG}', '', 'g') AS t FROM pages)))"
 FACT_ROWS = "lit(relation, subject, object) AS (VALUES " + ", ".join(f"('{r}', '{s}', '{o}')" for r, s, o in FACTS) + ")"
 ALL_FACTS = f"{FACT_ROWS}, facts AS (SELECT * FROM lit UNION SELECT 'is_a', n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT 'is_a', r_name, 'WORLD' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation))"
 CLOSURE = f"{ALL_FACTS}, cl(relation, subject, object) AS (SELECT * FROM facts UNION SELECT c.relation, c.subject, f.object FROM cl c JOIN facts f ON c.relation = f.relation AND c.object = f.subject WHERE c.relation IN ('is_a', 'related_to'))"
@@ -578,7 +590,7 @@ SQL: dict[str, str] = {
     "tokenize_clean": f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {KEPT} AS t FROM documents)",
     "lexicon_tokens": f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(list_transform({ALL}, lambda x: CASE x {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in SYNONYMS.items())} ELSE x END), lambda x: x NOT IN ({_list(STOPS)}))) AS token FROM documents) GROUP BY 1, 2",
     "clean_text_urls": r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\[source:[^\]]*\]', '', 'gi'), 'author\(s\):[^\n]*', '', 'gi'), 'https?://[^\s"''<>]+', '', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS clean FROM pages""",
-    "strip_html": rf"SELECT page_id, regexp_replace({STRIP}, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS stripped FROM pages",
+    "strip_html": STRIPPED,
     "categorize_pages": f"SELECT page_id, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') ELSE 'tech' END AS topics FROM (SELECT page_id, list_filter([{TOPIC}], lambda x: x IS NOT NULL) AS l FROM (SELECT page_id, lower(url || ' ' || html) AS s FROM pages))",
     "category_codes": "SELECT CASE WHEN starts_with(c, 'view') THEN 'look' WHEN starts_with(c, 'purchase.1') THEN 'first-buyers' ELSE string_split(c, '.')[1] END AS code, count(*) AS n FROM (SELECT event_type || '.' || user_id AS c FROM events) GROUP BY 1",
     "story_titles": f"SELECT doc_id, CASE WHEN length(t) > 80 THEN left(t, 77) || '...' ELSE t END AS title FROM (SELECT doc_id, {TITLE} AS t FROM documents)",

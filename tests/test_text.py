@@ -36,6 +36,8 @@ def test_null_text(spark):
 def test_cleaning(spark):
     assert value(spark, text.squeezed(text.without_links(F.lit("A [Source: http://x.y/z] b\nAuthor(s): me, you\nc https://a.b/c d")))) == "A b c d"
     assert value(spark, text.stripped_html(F.lit(" <p>a &lt;b&gt; &amp;amp;</p><script>x</script> "))) == "a <b> &amp;x"
+    html = '<!-- a > b --><a title="x > y" href=\'<\'>A&#233;&#x20AC;&nbsp;&mdash;&amp;#65;&#0;&#55296;</a>\\n<br/> 1 < 2 &hellip;<!-- \\n -->&#128512;\u00a0'
+    assert value(spark, text.stripped_html(F.lit(html.replace("\\n", "\n")))) == "A\u00e9\u20ac\u00a0\u2014&#65;\ufffd\ufffd\n 1 < 2 \u2026\U0001f600"
     assert value(spark, text.labelled(F.lit("Startup Raises $10M Series A"), corpus.TOPICS, "tech")) == ["ai", "startup"]
     assert value(spark, text.labelled(F.lit("nothing"), corpus.TOPICS, "tech")) == ["tech"]
     assert value(spark, text.coded(F.lit("cs.AI"), corpus.CODES)) == "ai" and value(spark, text.coded(F.lit("math.CO"), corpus.CODES)) == "math"
