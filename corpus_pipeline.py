@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages from raw documents to shards, each applied to all that its predecessor kept."""
+"""The corpus pipeline: five stages from raw documents to shards, each applied to all that its predecessor kept.
+
+Defined cases. Null, empty and very long texts: whole texts everywhere; a null or empty text has no evidence of its own
+(its site decides), is never a near copy, holds no benchmark passage, has no tokens, and weighs one row in its shard.
+Null ids: their rows are never near copies and stay. Repeated rows: the near-dedup keeps one row of an id; mixing may
+repeat it again, on purpose. Ties: the smallest id stays; the lowest shard takes. Empty documents: an empty result.
+Empty labels: nothing is rejected and nothing repeated; an empty benchmark: nothing is dropped. Columns beside those of
+documents pass through all stages, whatever their names.
+"""
 
 from __future__ import annotations
 
