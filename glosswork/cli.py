@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--top", type=int, default=3)
         c.add_argument("--iterations", type=int, default=3)
         c.add_argument("--min-score", type=float, default=0.3)
+        c.add_argument("--min-support", type=int, default=3)
     return p
 
 
@@ -65,12 +66,12 @@ def main(argv: list[str] | None = None, ask=None) -> str:
     occ = stats.members(now)
     df = stats.cut(stats.frequencies(occ))
     found = stats.cut(stats.scored(stats.pairs(occ, df), n))
-    phrases = [r.asDict() for r in stats.phrase_pairs(stats.bigrams(now), found, a.min_score, 200).collect()]
+    phrases = [r.asDict() for r in stats.supported_phrases(stats.bigrams(now), found, a.min_score, a.min_support, 200).collect()]
     stops = sorted({*parts.stops, *(w for r in rounds for w in r["new_stopwords"])})
     high = [r.asDict() for r in stats.frequency_stats(df, n).orderBy(F.desc("df"), "token").limit(20).collect()]
     report = {"total_docs": n, "iterations": rounds, "stopwords": stops, "pairs": phrases, "high_df_tokens": high}
     if a.command == "bootstrap":
-        linked = stats.cut(stats.linked_tokens(stats.skipgrams(now), df, n, 3).where(F.col("score") >= a.min_score))
+        linked = stats.cut(stats.linked_tokens(stats.skipgrams(now), df, n, a.min_support, ordered=True).where(F.col("score") >= a.min_score))
         groups = [r.asDict() for r in graph.synonym_groups(linked, 100).collect()]
         edges = spark.createDataFrame([(p["a"], p["b"]) for p in phrases], "a string, b string")
         topics = bootstrap.taxonomy(edges, bootstrap.keywords(df, n, stops))

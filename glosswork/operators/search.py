@@ -59,8 +59,8 @@ class Index:
 def breakdown(docs: DataFrame, queries: DataFrame, now: datetime, k: int = 3, weights: Weights = Weights(), normal: bool = True, min_df: int = 5, damped: bool = True) -> DataFrame:
     """query_id, doc_id, title columns kept in docs, and pmi, cats, recency, authority, length, damping, total of each candidate.
 
-    docs: doc_id, tokens, cats, published_at, links_out. queries: query_id, tokens, wanted, cats."""
-    docs = cut(docs.select("doc_id", "tokens", "cats", "published_at", "links_out"))
+    docs: doc_id, tokens, cats, published_at, links_out, best cut before. queries: query_id, tokens, wanted, cats."""
+    docs = docs.select("doc_id", "tokens", "cats", "published_at", "links_out")
     n = docs.count()
     found = cut(candidates(docs, queries, 4 * k))
     index = Index(docs, queries, min_df)

@@ -49,7 +49,8 @@ def found_tokens(ranked: DataFrame, docs: DataFrame) -> DataFrame:
 
 def bundle(queries: DataFrame, ranked: DataFrame, docs: DataFrame, found: DataFrame) -> dict[str, DataFrame]:
     """The three signals of a search. found: scored pairs (t1, t2, n, df1, df2, score); ranked: the top documents."""
-    near = stored(neighbors(found, 500))
+    asked = stored(queries.select(F.explode("tokens").alias("token")).distinct())
+    near = stored(neighbors(found, 500, only=asked))
     strengths = queries.select("query_id", F.posexplode("tokens").alias("pos", "token")).join(near.where("rank = 1").select("token", F.col("score").alias("strength")), "token")
     size = found_tokens(ranked, docs).groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
     return {

@@ -169,12 +169,14 @@ def both_ways(found: DataFrame) -> DataFrame:
     return found.select(F.explode(F.array(one, two)).alias("x"), "n", "score").select("x.*", "n", "score")
 
 
-def neighbors(found: DataFrame, k: int = 10, min_df: int = 5) -> DataFrame:
-    """The k best-scored neighbours of each token; ties by name. k of 0 or less means 10."""
+def neighbors(found: DataFrame, k: int = 10, min_df: int = 5, only: DataFrame | None = None) -> DataFrame:
+    """The k best-scored neighbours of each token, or of those in only (token); ties by name. k of 0 or less means 10."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("token").orderBy(F.desc(F.round("score", 9)), "neighbor")
     near = both_ways(found).where((F.col("neighbor_df") >= min_df) & (F.col("token_df") >= min_df))
+    if only is not None:
+        near = near.join(only.select(F.col("token").alias("__t")), F.col("token") == F.col("__t"), "left_semi")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= (k if k > 0 else 10)).select("token", "neighbor", "n", "score", "rank")
 
 
@@ -253,6 +255,12 @@ def phrase_pairs(found_bigrams: DataFrame, found: DataFrame, min_score: float, l
     return out.select("a", "b", "score", "bigrams", "support", (F.col("bigrams") * F.col("score")).alias("phrase_score")).orderBy(F.desc(F.round("phrase_score", 6)), F.desc("bigrams"), "a", "b").limit(limit)
 
 
+def supported_phrases(found_bigrams: DataFrame, found: DataFrame, min_score: float, support: int, limit: int) -> DataFrame:
+    """The best 2 * limit phrase pairs, of these the ones of enough support, of these the best limit: in that order."""
+    order = (F.desc(F.round("phrase_score", 6)), F.desc("bigrams"), "a", "b")
+    return phrase_pairs(found_bigrams, found, min_score, 2 * limit).where(F.col("support") >= support).orderBy(*order).limit(limit)
+
+
 def linked_tokens(skips: DataFrame, df: DataFrame, n: int, min_support: int, normal: bool = True, ordered: bool = False) -> DataFrame:
     """Skip-gram pairs of enough support with their score (contextual neighbours); ordered: the best first."""
     one, two = (df.select(F.col("token").alias(c), F.col("df").alias(f"df{k}")) for k, c in ((1, "a"), (2, "b")))

@@ -248,7 +248,7 @@ def _expanded(spark, q: DataFrame) -> DataFrame:
 
 
 def _searched(spark, sf, one: bool):
-    d = _docs(spark, sf).withColumn("cats", tagging.categories(F.col("tokens"), TAXONOMY))
+    d = stats.cut(_docs(spark, sf).withColumn("cats", tagging.categories(F.col("tokens"), TAXONOMY)))
     q = _expanded(spark, _queries(spark, sf, one))
     return d, q, search.breakdown(d, q, NOW)
 
@@ -274,8 +274,13 @@ def batch_search(spark, sf):
 
 
 def retrieve_with_neighbors(spark, sf):
-    near = stats.cut(stats.neighbors(_scored(spark, sf)[2]))
-    return search.with_neighbors(_docs(spark, sf), _queries(spark, sf, False), near)
+    q = _queries(spark, sf, False)
+    near = stats.cut(stats.neighbors(_scored(spark, sf)[2], only=_asked(q)))
+    return search.with_neighbors(stats.cut(_docs(spark, sf)), q, near)
+
+
+def _asked(q: DataFrame) -> DataFrame:
+    return stats.stored(q.select(F.explode("tokens").alias("token")).distinct())
 
 
 def cards(spark, sf):
@@ -290,7 +295,7 @@ def cards(spark, sf):
 def collisions(spark, sf):
     q = _queries(spark, sf, False)
     found = stats.stored(_scored(spark, sf)[2])
-    best = stats.neighbors(found, 1).select("token", F.col("score").alias("strength"))
+    best = stats.neighbors(found, 1, only=_asked(q)).select("token", F.col("score").alias("strength"))
     strengths = q.select("query_id", F.posexplode("tokens").alias("pos", "token")).join(best, "token")
     return signals.collisions(strengths, found).select("query_id", "a", "b", _r("strength_a"), _r("strength_b"), _r("joint"), _r("surprise"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.stats import members
-from ..runtime import stored
+from ..runtime import shared, stored
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -66,6 +66,11 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    @classmethod
+    def passing(cls, spark: SparkSession) -> "Store":
+        """A store that goes with the session."""
+        return cls(spark, shared(spark))
+
     def _fs(self):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.folder)

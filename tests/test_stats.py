@@ -119,6 +119,13 @@ def test_collision_and_prediction_error(spark):
     assert d["neighbors"] == 1 and d["factor"] == pytest.approx(1 - (2 / 3) ** 2 * (3 - 4 / 3) * 0.9)
 
 
+def test_support_is_asked_between_two_limits(spark):
+    bi = spark.createDataFrame([("a", "b", 9), ("c", "d", 8), ("e", "f", 7), ("g", "h", 6)], "a string, b string, n long")
+    found = spark.createDataFrame([("a", "b", 1, 1.0), ("c", "d", 5, 1.0), ("e", "f", 5, 1.0), ("g", "h", 5, 1.0)], "t1 string, t2 string, n long, score double")
+    assert [r["a"] for r in stats.supported_phrases(bi, found, 0.1, 3, 1).collect()] == ["c"]
+    assert [r["a"] for r in stats.supported_phrases(bi, found, 0.1, 3, 2).collect()] == ["c", "e"]
+
+
 def test_keywords_and_taxonomy(spark):
     df = spark.createDataFrame([("solar", 10), ("new", 10), ("ab", 10), ("a1234", 10), ("everywhere", 90), ("rare", 1), ("a-b-c-d", 10)], "token string, df long")
     assert [r["token"] for r in bootstrap.keywords(df, 100).collect()] == ["solar"]

@@ -67,8 +67,8 @@ def test_compaction_changes_nothing_and_lookups_read_their_buckets(spark, tmp_pa
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
 
 
-def test_stop_list_and_listings(spark, tmp_path):
-    s = st.Store(spark, str(tmp_path))
+def test_stop_list_and_listings(spark):
+    s = st.Store.passing(spark)
     s.add_stops(["The", "and"])
     s.add_stops(["and", "of"])
     s.remove_stops(["AND"])
