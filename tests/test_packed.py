@@ -35,7 +35,7 @@ def shared():
     return df, n
 
 
-@pytest.mark.parametrize("limits", [{}, {"ALONE": 1, "COMMON": 8}, {"BATCH": 1}, {"SHARD": 40, "BATCH": 50, "ALONE": 60}])
+@pytest.mark.parametrize("limits", [{}, {"ALONE": 1, "COMMON": 8}, {"ALONE": 1, "PIECE": 3}, {"BATCH": 1}, {"SHARD": 40, "BATCH": 50, "ALONE": 60}])
 def test_rows_equal_brute_force(spark, folder, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(packed, k, v)
@@ -89,3 +89,18 @@ def test_a_forest_connects_what_its_edges_connect(spark):
 def test_no_pair_is_shuffled(spark, folder, name):
     plan = roster.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("name,most", [("category_histogram", 1), ("reingest_deltas", 0)])
+def test_texts_are_tokenized_once(spark, folder, name, most):
+    plan = roster.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= most
+
+
+def test_rounds_equal_sql(spark, folder):
+    """Stop words, rounds, factors and phrases of a corpus whose hubs and best partners change from round to round."""
+    from .oracle import connect, differences
+
+    con = connect(folder)
+    for name in ("stopword_stats", "damping_factors", "autotune_rounds", "phrase_pairs", "clusters", "collisions", "top_neighbors"):
+        assert differences(roster.queries()[name](spark, folder), con, roster.SQL[name]) == [], name
