@@ -3,6 +3,9 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
+
+from glosswork.functions import text
 from glosswork.operators import search
 
 
@@ -20,3 +23,12 @@ def test_candidates_keep_the_newest_of_each_token_before_queries_join(spark):
     assert "WindowGroupLimit [token" in plan(out)
     expected = {(q, i) for q, w in queries for i in [i for _, i in sorted({(-p.timestamp(), i) for i, t, p in docs if set(t) & set(w)})][:5]}
     assert {(r["query_id"], r["doc_id"]) for r in out.collect()} == expected and out.count() == len(expected)
+
+
+def test_tokens_of_plain_letters_meet_no_regular_expression(spark):
+    x = spark.createDataFrame([("a--b -c- 12 1-2 x ab É-é 9a İstanbul ٣٤ {z ~q Zz -- ab--- naïve źz",)], "text string")
+    out = x.select(text.tokens(F.col("text")).alias("t"))
+    plain = F.transform(F.regexp_extract_all("text", F.lit(text.TOKEN), F.lit(0)), lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"^-+|-+$", ""), "-{2,}", "-"))
+    plain = x.select(F.filter(plain, lambda c: (F.octet_length(c) > 1) & ~c.rlike(r"^[\p{Nd}-]+$")).alias("t"))
+    assert out.first() == plain.first() and "ab" in out.first()["t"]
+    assert "Contains(" in plan(out) or "contains(" in plan(out).lower()
