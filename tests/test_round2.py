@@ -1,12 +1,15 @@
 """What the second round mended."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from glosswork.functions import text
-from glosswork.operators import search
+from glosswork.operators import search, stats
 
 
 def plan(df) -> str:
@@ -32,3 +35,32 @@ def test_tokens_of_plain_letters_meet_no_regular_expression(spark):
     plain = x.select(F.filter(plain, lambda c: (F.octet_length(c) > 1) & ~c.rlike(r"^[\p{Nd}-]+$")).alias("t"))
     assert out.first() == plain.first() and "ab" in out.first()["t"]
     assert "Contains(" in plan(out) or "contains(" in plan(out).lower()
+
+
+def documents():
+    rng = random.Random(7)
+    return [[rng.choice(["aa", "bb", "cc", "dd", "éé", "x-y"]) for _ in range(rng.randint(0, 12))] for _ in range(40)] + [None, []]
+
+
+def brute(window, ordered):
+    out = Counter()
+    for d in documents():
+        found = [(i, j) for i in range(len(d or [])) for j in range(i + 1, min(len(d), i + window))]
+        out.update((d[i], d[j]) for i, j in found) if ordered else out.update({tuple(sorted((d[i], d[j]))) for i, j in found if d[i] != d[j]})
+    return out
+
+
+@pytest.mark.parametrize("near", [1, 9, 50, 10**6])
+@pytest.mark.parametrize("window, ordered", [(5, False), (2, True)])
+def test_near_pairs_are_counted_in_bounded_pieces(monkeypatch, near, window, ordered):
+    monkeypatch.setattr(stats, "NEAR", near)
+    lists = pa.array(documents(), pa.list_(pa.string()))
+    tables = [pa.RecordBatch.from_arrays([x], names=["t"]) for x in (lists.slice(0, 11), lists.slice(11))]
+    got, held = Counter(), list(stats.near_pieces(tables))
+    assert sum(len(x) for h in held for x in h) == len(lists)
+    assert all(sum(len(x.flatten()) for x in h) < near + 12 for h in held)  # a document has 12 at most
+    for h in held:
+        for t in stats._near_counts(h, window, ordered):
+            for a, b, n in zip(*(t.column(c).to_pylist() for c in "abn")):
+                got[a, b] += n
+    assert got == brute(window, ordered)
