@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosswork.functions import text
-from glosswork.operators import search, stats
+from glosswork.operators import packed, search, stats
 
 
 def plan(df) -> str:
@@ -64,3 +64,13 @@ def test_near_pairs_are_counted_in_bounded_pieces(monkeypatch, near, window, ord
             for a, b, n in zip(*(t.column(c).to_pylist() for c in "abn")):
                 got[a, b] += n
     assert got == brute(window, ordered)
+
+
+@pytest.mark.parametrize("support", [1, 3, 9, 41])
+def test_linked_pairs_are_counted_as_numbers(spark, support):
+    c = spark.createDataFrame([(t,) for t in documents()] + [(["rare", "aa", "bb"],)], "tokens array<string>")
+    links, n = packed.skip_links(c, support)
+    assert n == 43 and "Join" not in plan(links)
+    more = brute(5, False) + Counter({("aa", "rare"): 1, ("bb", "rare"): 1, ("aa", "bb"): 1})
+    df = Counter(w for t in [*documents(), ["rare", "aa", "bb"]] for w in set(t or []))
+    assert {tuple(r) for r in links.collect()} == {(a, b, k, df[a], df[b]) for (a, b), k in more.items() if k >= support}
