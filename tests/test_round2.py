@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosswork.functions import text
-from glosswork.operators import packed, search, stats
+from glosswork.operators import packed, search, stats, tagging
 
 
 def plan(df) -> str:
@@ -74,3 +74,12 @@ def test_linked_pairs_are_counted_as_numbers(spark, support):
     more = brute(5, False) + Counter({("aa", "rare"): 1, ("bb", "rare"): 1, ("aa", "bb"): 1})
     df = Counter(w for t in [*documents(), ["rare", "aa", "bb"]] for w in set(t or []))
     assert {tuple(r) for r in links.collect()} == {(a, b, k, df[a], df[b]) for (a, b), k in more.items() if k >= support}
+
+
+def test_phrases_are_parsed_in_bounded_pieces(monkeypatch):
+    p, lists = tagging.Phrases([("x-y aa", ["aa bb cc"]), ("dd", ["cc"])]), pa.array(documents(), pa.list_(pa.string()))
+    monkeypatch.setattr(tagging, "PIECE", 20)
+    held = [lists.slice(a, n) for a, n in tagging.pieces(lists)]
+    assert all(len(x.flatten()) <= 20 for x in held) and len(held) > 5
+    assert [y for x in held for y in p.parsed(x).to_pylist()] == [None if d is None else p.parse(d) for d in documents()]
+    assert p.parse("aa bb cc AA bb x-y Aa cc".split()) == ["x-y aa", "AA", "bb", "x-y aa", "dd"]
