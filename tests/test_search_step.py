@@ -62,3 +62,11 @@ def test_a_stored_table_can_be_dropped(spark):
     assert os.path.isdir(at)
     dropped(t)
     assert not os.path.exists(at)
+
+
+def test_only_pairs_of_one_query_leave_the_tasks(spark):
+    c = spark.createDataFrame([(["aa", "bb", "cc", "dd"],)] * 3 + [(["aa", "dd"],)], "tokens array<string>")
+    p, _ = packed.pack(c)
+    groups = spark.createDataFrame([(1, "aa"), (1, "bb"), (1, "zz"), (2, "cc"), (2, "aa"), (3, "dd")], "query_id long, token string")
+    out = packed.rows(spark, p, packed.among(p, groups), packed.SUPPORTED, half=True)
+    assert sorted((r["t1"], r["t2"], r["n"]) for r in out.collect()) == [("aa", "bb", 3), ("aa", "cc", 3)]
