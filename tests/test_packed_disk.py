@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from glosswork.operators import packed
+from glosswork.operators import graph, packed
 from glosswork.runtime import setting, stored
 
 
@@ -56,3 +56,13 @@ def test_a_setting_holds_only_inside(spark):
         assert spark.conf.get("spark.x") == "1"
         raise ValueError
     assert spark.conf.get("spark.x", None) is None
+
+
+def test_a_forest_grows_with_the_nodes_not_with_the_partitions(spark):
+    """A chain that every partition holds is left once a task, and tasks are bounded by the cores."""
+    cores = spark.sparkContext.defaultParallelism
+    n = 20 * cores
+    e = spark.range(0, 9 * n, 1, n).selectExpr("id % 9 as a", "id % 9 + 1 as b")
+    out = packed.forest(e)
+    assert out.count() <= 4 * cores * 9
+    assert {tuple(r) for r in graph.components(out).collect()} == {(i, 0) for i in range(10)}
