@@ -63,6 +63,6 @@ def test_a_forest_grows_with_the_nodes_not_with_the_partitions(spark):
     cores = spark.sparkContext.defaultParallelism
     n = 20 * cores
     e = spark.range(0, 9 * n, 1, n).selectExpr("id % 9 as a", "id % 9 + 1 as b")
-    out = packed.forest(e)
+    out = packed.forest(e, parts=4 * cores)
     assert out.count() <= 4 * cores * 9
     assert {tuple(r) for r in graph.components(out).collect()} == {(i, 0) for i in range(10)}
